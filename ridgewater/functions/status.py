@@ -155,31 +155,45 @@ def worst_window(pairs: dict[str, tuple[Column, Column, Column]]) -> Column:
     return F.array_max(F.filter(F.array(*options), lambda x: x.isNotNull()))
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def outlook(now_rank: Column, forecast: Column, thresholds: dict[str, tuple[Column, Column]]) -> Column:
     """First hour of the worst status the forecast reaches, if worse than now; else null.
 
     ``forecast`` is an array of struct(1h, 3h, 24h). Result: struct(status, in_hours, window, rain_mm, threshold_mm).
     """
+    worst = F.transform(
+        forecast, lambda step: worst_window({w: (step[w], watch, crit) for w, (watch, crit) in thresholds.items()})
+    )
+    return first_worst(now_rank, worst)
 
-    def at(step: Column, hour: Column) -> Column:
-        worst = worst_window({w: (step[w], watch, crit) for w, (watch, crit) in thresholds.items()})
-        return F.struct(
-            F.coalesce(worst["rank"], F.lit(0)).alias("rank"),
-            (-hour).alias("neg_hour"),
-            worst.window.alias("window"),
-            worst.rain_mm.alias("rain_mm"),
-            worst.threshold_mm.alias("threshold_mm"),
-        )
 
-    best = F.array_max(F.transform(forecast, lambda step, i: at(step, i + 1)))
-    return F.when(
-        (best["rank"] >= 2) & (best["rank"] > now_rank),
-        F.struct(
-            F.element_at(F.array(*[F.lit(s) for s in STATUSES]), best["rank"]).alias("status"),
-            (-best.neg_hour).alias("in_hours"),
-            best.window.alias("window"),
-            best.rain_mm.alias("rain_mm"),
-            best.threshold_mm.alias("threshold_mm"),
+def outlook_ahead(worst: Column, now_rank: Column, window, hours: int = 6) -> Column:
+    """The same from a series: ``worst`` is each hour's own worst_window, looked up over the next hours."""
+    return first_worst(now_rank, F.array(*[F.lead(worst, k).over(window) for k in range(1, hours + 1)]))
+
+
+def first_worst(now_rank: Column, worst: Column) -> Column:
+    """Pick from an array of worst_window results, one per hour ahead."""
+    hours = F.transform(
+        worst,
+        lambda x, i: F.struct(
+            F.coalesce(x["rank"], F.lit(0)).alias("rank"), (-i - 1).alias("neg_hour"), x.window.alias("window"),
+            x.rain_mm.alias("rain_mm"), x.threshold_mm.alias("threshold_mm"),
+        ),
+    )
+    names = F.array(*[F.lit(s) for s in STATUSES])
+    return _let(
+        F.array_max(hours),
+        lambda best: F.when(
+            (best["rank"] >= 2) & (best["rank"] > now_rank),
+            F.struct(
+                F.element_at(names, best["rank"]).alias("status"), (-best.neg_hour).alias("in_hours"),
+                best.window.alias("window"), best.rain_mm.alias("rain_mm"), best.threshold_mm.alias("threshold_mm"),
+            ),
         ),
     )
 
@@ -293,7 +307,7 @@ def diversified_cards(zones: DataFrame, slots: dict[str, int] | None = None) ->
     rows = short.drop("_one")
     fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = f"zone_id {fields['zone_id']}, status string, area {fields['area']}, risk_key double, position long"
-    return rows.groupBy(F.lit(1)).applyInPandas(lambda pdf: _pick_cards(pdf, slots), schema)
+    return rows.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda pdf: _pick_cards(pdf, slots), schema)
 
 
 def _pick_cards(pdf, slots: dict[str, int]):

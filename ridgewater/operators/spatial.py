@@ -272,15 +272,20 @@ def nearest_k(
 ) -> DataFrame:
     """The k nearest targets of every point: point_id, target_id, km, rank. Exact, with no pair cap.
 
-    The search starts at a radius small enough for the fullest part of the target layer, settles the
-    points that already have k targets inside it, and doubles it for the rest.
+    The search starts at a radius fitted to the fullest part of the target layer, settles the points
+    that already have k targets inside it, and doubles it for the rest.
     """
     spark = points.sparkSession
     places = stage(_distinct_places(targets.select("target_id", "lat", "lon"), k), "targets")
     limit_km = max_km if max_km is not None else 20_100.0
     radius = min(start_km, limit_km)
-    while radius > 0.05 and _fullest_cell(places, radius) > 64 * k:
+    fullest = _fullest_cell(places, radius)
+    while radius > 0.05 and fullest > 64 * k:
         radius /= 2.0
+        fullest = _fullest_cell(places, radius)
+    while radius * 2.0 < limit_km and fullest < 2 * k:
+        radius *= 2.0
+        fullest = _fullest_cell(places, radius)
     pending, done = points.select("point_id", "lat", "lon"), None
     while True:
         pairs = within_radius(pending, places, radius).select("point_id", "target_id", "km")
