@@ -9,6 +9,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ridgewater.session import stage
+
 SMALL_SIDE_ROWS = 200_000
 HOT_KEYS_AT_MOST = 1_000
 HOT_KEY_MIN_ROWS = 1_000_000
@@ -91,13 +93,16 @@ def running_totals(
     sums: dict[str, Column],
     descending: bool = False,
     buckets: int | None = None,
+    staged: bool = False,
 ) -> DataFrame:
     """Cumulative sums along ``order`` within ``group`` without putting a group in one task.
 
     Rows must be unique per (group, order), so aggregate first. The order column is cut into ranges;
     each range is summed on its own and receives the total of the ranges before it. The table of range
-    totals has one row per group and range. ``sums`` maps each new column to what it accumulates.
+    totals has one row per group and range. ``sums`` maps each new column to what it accumulates. The
+    input is read three times, so it is written out first unless ``staged`` says it already is.
     """
+    df = df if staged else stage(df, "running")
     df = _range_bucket(df.withColumn("_order", F.col(order).cast("double")), "_order", buckets)
     df = df.select("*", *[c.alias(f"_in_{name}") for name, c in sums.items()])
     direction = F.desc if descending else F.asc
@@ -128,7 +133,8 @@ def exact_quantiles(
     if not group:
         return exact_quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, probs, buckets).drop("_all")
     counts = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c"))
-    placed = running_totals(counts, group, value, {"_upto": F.col("_c")}, buckets=buckets)
+    counts = stage(counts, "counts")
+    placed = running_totals(counts, group, value, {"_upto": F.col("_c")}, buckets=buckets, staged=True)
     sizes = counts.groupBy(*group).agg(F.sum("_c").alias("n"))
     placed = placed.join(sizes, group)
     wanted = F.explode(F.array(*[F.lit(float(p)) for p in probs]))
