@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ridgewater.functions.columns import let, lookup
+
 # Base thresholds in mm per hazard class and window, (watch, critical).
 CLASS_THRESHOLDS = {
     "EXTREME": {"1h": (4.0, 8.0), "3h": (8.0, 15.0), "24h": (20.0, 40.0)},
@@ -25,13 +27,6 @@ BAND_TO_CLASS = {
 }
 
 
-def lookup(key: Column, table: dict, default=None) -> Column:
-    """Value of ``key`` in a small constant table."""
-    pairs = [F.lit(x) for item in table.items() for x in item]
-    found = F.element_at(F.create_map(*pairs), key)
-    return found if default is None else F.coalesce(found, F.lit(default))
-
-
 def window_status(rain: Column, watch: Column, critical: Column) -> Column:
     known = rain.isNotNull() & watch.isNotNull() & critical.isNotNull()
     return (
@@ -155,11 +150,6 @@ def worst_window(pairs: dict[str, tuple[Column, Column, Column]]) -> Column:
     return F.array_max(F.filter(F.array(*options), lambda x: x.isNotNull()))
 
 
-def _let(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` evaluated once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def outlook(now_rank: Column, forecast: Column, thresholds: dict[str, tuple[Column, Column]]) -> Column:
     """First hour of the worst status the forecast reaches, if worse than now; else null.
 
@@ -186,7 +176,7 @@ def first_worst(now_rank: Column, worst: Column) -> Column:
         ),
     )
     names = F.array(*[F.lit(s) for s in STATUSES])
-    return _let(
+    return let(
         F.array_max(hours),
         lambda best: F.when(
             (best["rank"] >= 2) & (best["rank"] > now_rank),

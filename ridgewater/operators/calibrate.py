@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ridgewater.functions.columns import let
 from ridgewater.operators.rain import FLOOD_WINDOWS, day_peaks, in_season, running_total
 from ridgewater.operators.scale import exact_quantiles, running_totals, spread_join
 from ridgewater.session import stage
@@ -279,19 +280,23 @@ def baseline_flags(frame: DataFrame, zone_thresholds: DataFrame, windows: list[s
 
 def interpolate(x: Column, xs: Column, ys: Column) -> Column:
     """Piecewise linear value of sorted (xs, ys) at x, flat beyond the ends; the last of equal xs counts."""
-    j = F.size(F.filter(xs, lambda e: e <= x))
-    n = F.size(xs)
-    x0, x1 = F.try_element_at(xs, F.greatest(j, F.lit(1))), F.try_element_at(xs, F.least(j + 1, n))
-    y0, y1 = F.try_element_at(ys, F.greatest(j, F.lit(1))), F.try_element_at(ys, F.least(j + 1, n))
-    return F.when(j == 0, F.element_at(ys, 1)).when(j >= n, F.element_at(ys, -1)).otherwise(
-        y0 + (y1 - y0) * (x - x0) / (x1 - x0)
-    )
+
+    def at(j: Column) -> Column:
+        x0, x1, y0, y1 = (F.try_element_at(a, k) for a in (xs, ys) for k in (F.greatest(j, F.lit(1)), j + 1))
+        return (
+            F.when(j == 0, F.element_at(ys, 1))
+            .when(j >= F.size(xs), F.element_at(ys, -1))
+            .otherwise(y0 + (y1 - y0) * (x - x0) / (x1 - x0))
+        )
+
+    return let(F.size(F.filter(xs, lambda e: e <= x)), at)
 
 
 def to_live_units(mm: Column, archive_q: Column, live_q: Column, levels: Column) -> Column:
     """An archive amount as the live feed's amount of the same rarity; beyond the last quantile the ratio is kept."""
     top, live_top = F.element_at(archive_q, -1), F.element_at(live_q, -1)
-    return F.when(mm >= top, mm * live_top / top).otherwise(interpolate(interpolate(mm, archive_q, levels), levels, live_q))
+    mapped = let(interpolate(mm, archive_q, levels), lambda level: interpolate(level, levels, live_q))
+    return F.when(mm >= top, mm * live_top / top).otherwise(mapped)
 
 
 def bias_table(pairs: DataFrame, levels: list[float], by: list[str]) -> DataFrame:

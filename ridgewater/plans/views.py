@@ -233,7 +233,7 @@ def sql(views: str, body: str, **extra: str) -> str:
     recursive = "RECURSIVE " if any("USING KEY" in text for _, text in parts) else ""
     texts = []
     for name, text in parts:
-        if "USING KEY" in text:
+        if "USING KEY" in text:  # the text names its own columns and key
             texts.append(text)
         else:
             texts.append(f"{name} AS ({text})")
