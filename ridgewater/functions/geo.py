@@ -195,28 +195,27 @@ def polygon_measures(polygons: DataFrame) -> DataFrame:
 
 def clip_ring_to_box(ring: Column, west: float, south: float, east: float, north: float) -> Column:
     """A ring cut to an axis-parallel box, one box side after the other."""
-    point = "array<struct<x:double,y:double>>"
     for axis, limit, sign in (("x", west, 1.0), ("x", east, -1.0), ("y", south, 1.0), ("y", north, -1.0)):
-        n = F.size(ring)
-        pairs = F.zip_with(ring, F.concat(F.slice(ring, F.lit(2), n - 1), F.slice(ring, 1, 1)),
-                           lambda p, q: F.struct(p.alias("p"), q.alias("q")))
-
-        def cut(pq: Column, axis=axis, limit=limit, sign=sign) -> Column:
-            p, q = pq.p, pq.q
-            p_in, q_in = (p[axis] - limit) * sign >= 0, (q[axis] - limit) * sign >= 0
-            t = (F.lit(limit) - p[axis]) / (q[axis] - p[axis])
-            hit = F.struct((p.x + t * (q.x - p.x)).alias("x"), (p.y + t * (q.y - p.y)).alias("y"))
-            return (
-                F.when(p_in & q_in, F.array(q))
-                .when(p_in, F.array(hit))
-                .when(q_in, F.array(hit, q))
-                .otherwise(F.array().cast(point))
-            )
-
-        ring = F.flatten(F.transform(pairs, cut))
+        ring = _cut_ring(ring, axis, limit, sign)
     return ring
 
 
+def _cut_ring(ring: Column, axis: str, limit: float, sign: float) -> Column:
+    """Part of a ring on one side of a line."""
+    following = F.concat(F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
+    pairs = F.zip_with(ring, following, lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+
+    def cut(pair: Column) -> Column:
+        p, q = pair.p, pair.q
+        p_in, q_in = (p[axis] - limit) * sign >= 0, (q[axis] - limit) * sign >= 0
+        t = F.try_divide(F.lit(limit) - p[axis], q[axis] - p[axis])
+        hit = F.struct((p.x + t * (q.x - p.x)).alias("x"), (p.y + t * (q.y - p.y)).alias("y"))
+        nothing = F.array().cast("array<struct<x:double,y:double>>")
+        return F.when(p_in & q_in, F.array(q)).when(p_in, F.array(hit)).when(q_in, F.array(hit, q)).otherwise(nothing)
+
+    return F.flatten(F.transform(pairs, cut))
+
+
 def clip_to_box(polygons: DataFrame, west: float, south: float, east: float, north: float) -> DataFrame:
     """Polygons cut to a box; polygons left with no area are dropped."""
     first_open = lambda r: F.when(

@@ -81,19 +81,15 @@ def mentions(texts: DataFrame, text_id: str, text: str, names: DataFrame) -> Dat
     if len(lengths) > 32:
         raise ValueError("names of more than 32 different lengths")
     tokens = texts.select(text_id, words(F.col(text)).alias("_w"))
+
+    def runs_of(n: int) -> DataFrame:
+        starts = F.sequence(F.lit(1), F.size("_w") - n + 1)
+        every = F.transform(starts, lambda i: F.array_join(F.slice("_w", i, n), " "))
+        return tokens.filter(F.size("_w") >= n).select(text_id, F.explode(F.array_distinct(every)).alias("run"))
+
     runs = None
     for n in lengths:
-        part = tokens.filter(F.size("_w") >= n).select(
-            text_id,
-            F.explode(
-                F.array_distinct(
-                    F.transform(
-                        F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i, n=n: F.array_join(F.slice("_w", i, n), " ")
-                    )
-                )
-            ).alias("run"),
-        )
-        runs = part if runs is None else runs.unionByName(part)
+        runs = runs_of(n) if runs is None else runs.unionByName(runs_of(n))
     # Auto-broadcast applies only while the name table is below the threshold.
     return runs.join(keyed.select("name", "run"), "run").select(text_id, "name").distinct()
 
@@ -123,16 +119,15 @@ def correct_spelling(queries: DataFrame, query: str, places: list[str], least: f
     scored = F.array(
         *[F.struct(similarity(first, F.lit(p)).alias("score"), F.lit(-i).alias("i"), F.lit(p).alias("place")) for i, p in enumerate(places)]
     )
-    return let(
-        F.array_max(scored),
-        lambda best: F.when(
-            (F.length(first) > 0) & (best.score >= least) & (F.lower(best.place) != F.lower(first)),
-            F.concat(
-                F.substring_index(F.col(query), first, 1), best.place,
-                F.substring(F.col(query), F.length(F.substring_index(F.col(query), first, 1)) + F.length(first) + 1, F.lit(100000)),
-            ),
-        ).otherwise(F.col(query)),
-    )
+    whole = F.col(query)
+    at = F.position(first, whole)
+
+    def fixed(best: Column) -> Column:
+        wanted = (F.length(first) > 0) & (best.score >= least) & (F.lower(best.place) != F.lower(first))
+        swapped = F.concat(F.left(whole, at - 1), best.place, F.substr(whole, at + F.length(first)))
+        return F.when(wanted, swapped).otherwise(whole)
+
+    return let(F.array_max(scored), fixed)
 
 
 def indian_mobile(value: Column) -> Column:

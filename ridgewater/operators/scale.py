@@ -163,3 +163,29 @@ def first_per_group(df: DataFrame, keys: list[str], order: list[Column]) -> Data
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= k)
+
+
+def carry_forward(
+    df: DataFrame, group: list[str], order: list[str], values: list[str], buckets: int | None = None, inclusive: bool = True
+) -> DataFrame:
+    """As-of lookup: the last non-null value of each of ``values`` up to the row, within ``group``.
+
+    Works on time ranges like ``running_totals``, so a group of any size is spread over many tasks. The
+    first of ``order`` must be a timestamp or number; the others break ties. New columns: last_<value>.
+    With ``inclusive`` false a row's own value does not count.
+    """
+    df = stage(df, "asof").withColumn("_order", F.col(order[0]).cast("double"))
+    df = _range_bucket(df, "_order", buckets)
+    inside = Window.partitionBy(*group, "_bucket").orderBy("_order", *order[1:])
+    frame = inside.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    key = F.struct("_order", *order[1:])
+    ends = df.groupBy(*group, "_bucket").agg(
+        *[F.max_by(v, F.when(F.col(v).isNotNull(), key)).alias(f"_end_{v}") for v in values]
+    )
+    before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ends.select(*group, "_bucket", *[F.last(f"_end_{v}", True).over(before).alias(f"_before_{v}") for v in values])
+    out = df.select("*", *[F.last(v, True).over(frame).alias(f"_in_{v}") for v in values]).join(offsets, [*group, "_bucket"])
+    return out.select(
+        *[c for c in df.columns if c not in ("_order", "_bucket")],
+        *[F.coalesce(f"_in_{v}", f"_before_{v}").alias(f"last_{v}") for v in values],
+    )

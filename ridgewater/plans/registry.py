@@ -6,10 +6,12 @@ from importlib import import_module
 
 FAMILIES = [
     "calibrate_plans",
+    "feed_plans",
     "rain_plans",
     "raster_plans",
     "road_plans",
     "spatial_plans",
+    "stream_plans",
 ]
 
 
