@@ -7,6 +7,7 @@ from importlib import import_module
 FAMILIES = [
     "calibrate_plans",
     "feed_plans",
+    "model_plans",
     "rain_plans",
     "raster_plans",
     "road_plans",
