@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ridgewater.operators.scale import hot_keys, spread_join
+from ridgewater.operators.scale import hot_keys, spread, spread_join
 from ridgewater.session import drop_staged, stage
 
 
@@ -17,26 +18,30 @@ def _observed_stage(df: DataFrame, changed: Column, label: str) -> tuple[DataFra
 
 
 def _split_hubs(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Edges with a split number for start nodes that hold a large share of all edges."""
+    """Edges with a split number for start nodes that hold a large share of all edges.
+
+    The edges are laid out by start node once and kept on the executors, so no round shuffles them again; a
+    lost partition is rebuilt from the written table.
+    """
     edges = stage(edges, "edges")
     hubs = hot_keys(edges, ["src"])
-    if hubs is None:
-        return edges.withColumn("_salt", F.lit(0)), None
-    hubs = stage(hubs, "hubs")
-    split = F.coalesce(F.col("_splits"), F.lit(1))
-    salted = edges.join(F.broadcast(hubs), "src", "left")
-    return stage(salted.withColumn("_salt", F.pmod(F.hash("dst"), split)).drop("_splits"), "edges"), hubs
+    salt = F.lit(0)
+    if hubs is not None:
+        hubs = stage(hubs, "hubs")
+        edges = edges.join(F.broadcast(hubs), "src", "left")
+        salt = F.pmod(F.hash("dst"), F.coalesce(F.col("_splits"), F.lit(1)))
+    salted = edges.withColumn("_salt", salt).drop("_splits")
+    return spread(salted, "src", "_salt").persist(StorageLevel.MEMORY_AND_DISK), hubs
 
 
 def _repeat_hubs(frontier: DataFrame, hubs: DataFrame | None) -> DataFrame:
     """Frontier rows once per split of their node's edges."""
     if hubs is None:
-        return frontier.withColumn("_salt", F.lit(0))
+        return spread(frontier.withColumn("_salt", F.lit(0)), "node", "_salt")
     split = F.coalesce(F.col("_splits"), F.lit(1))
     known = F.broadcast(hubs.withColumnRenamed("src", "node"))
-    return frontier.join(known, "node", "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), split - 1))
-    ).drop("_splits")
+    repeated = frontier.join(known, "node", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), split - 1)))
+    return spread(repeated.drop("_splits"), "node", "_salt")
 
 
 def shortest_paths(
@@ -49,44 +54,76 @@ def shortest_paths(
 ) -> DataFrame:
     """Cheapest cost from every origin to every node it reaches, all origins at once.
 
-    ``edges``: src, dst, cost and whatever ``carry`` mentions. ``origins``: origin, node (several nodes may
-    share an origin, which then means "nearest of them") and optionally a starting cost. Columns: origin, node, cost, and, when
-    ``carry`` is given, prev and the carried sums along the chosen path. Each round extends the rows that
-    improved in the round before; candidates are reduced map-side before they are merged with the table.
-    ``forbid`` rules out steps, given the path row as f and the edge as e.
+    ``edges``: src, dst, cost (positive) and whatever ``carry`` mentions. ``origins``: origin, node (several
+    nodes may share an origin, which then means "nearest of them") and optionally a starting cost. Columns:
+    origin, node, cost, and, when ``carry`` is given, prev and the carried sums along the chosen path. Each
+    round extends the rows that improved in the round before; the loop moves costs only, and candidates are
+    reduced map-side before they are merged with the table. ``forbid`` rules out steps, given the path row as
+    f and the edge as e.
     """
     carry = carry or {}
-    names = list(carry)
-    prepared = edges.select("src", "dst", "cost", *[c.alias(f"_e_{n}") for n, c in carry.items()])
+    prepared = edges.select("src", "dst", "cost", *[c.cast("double").alias(f"_e_{n}") for n, c in carry.items()])
     prepared, hubs = _split_hubs(prepared)
     first = F.col("cost") if "cost" in origins.columns else F.lit(0.0)
-    start = origins.select(
-        "origin", "node", first.alias("cost"), F.lit(None).cast("long").alias("prev"),
-        *[F.lit(0.0).alias(n) for n in names], F.lit(True).alias("changed"),
-    ).dropDuplicates(["origin", "node"])
-    state = stage(start, "paths")
+    starts = stage(origins.select("origin", "node", first.alias("cost")).groupBy("origin", "node").agg(F.min("cost").alias("cost")), "starts")
+    state = stage(starts.withColumn("changed", F.lit(True)), "paths")
     rounds = 0
     while True:
-        frontier = state.filter("changed")
-        f, e = _repeat_hubs(frontier, hubs).alias("f"), prepared.alias("e")
+        f, e = _repeat_hubs(state.filter("changed"), hubs).alias("f"), prepared.alias("e")
         moved = f.join(e, (F.col("f.node") == F.col("e.src")) & (F.col("f._salt") == F.col("e._salt")))
         total = F.col("f.cost") + F.col("e.cost")
         if forbid is not None:
             moved = moved.filter(~forbid)
         if max_cost is not None:
             moved = moved.filter(total <= max_cost)
-        if names:
-            merged = _merge_carried(state, moved, total, names)
-        else:
-            merged = _merge_costs(state, moved, total)
         before = state
-        state, changed = _observed_stage(merged, F.col("changed"), "paths")
+        state, changed = _observed_stage(_merge_costs(state, moved, total), F.col("changed"), "paths")
         drop_staged(before)
         rounds += 1
         if changed == 0 or rounds == max_rounds:
             break
-    out = state.drop("changed")
-    return out if names else out.drop("prev")
+    found = state.drop("changed")
+    if carry:
+        found = _add_path_sums(found, starts, prepared, hubs, list(carry))
+    prepared.unpersist()
+    return found
+
+
+def _add_path_sums(
+    found: DataFrame, starts: DataFrame, edges: DataFrame, hubs: DataFrame | None, names: list[str]
+) -> DataFrame:
+    """Adds prev (lowest start node of a cheapest last step) and the sums of ``_e_*`` from origin to node.
+
+    A step is on a cheapest path when its start's cost plus its own is exactly the end's cost. Sums are
+    completed by doubling: what a row lacks is its ancestor's sum, 1, 2, 4, 8 .. steps up.
+    """
+    sums = [f"_e_{n}" for n in names]
+    f, e = _repeat_hubs(found, hubs).alias("f"), edges.alias("e")
+    steps = f.join(e, (F.col("f.node") == F.col("e.src")) & (F.col("f._salt") == F.col("e._salt"))).select(
+        F.col("f.origin").alias("origin"), F.col("e.dst").alias("node"), (F.col("f.cost") + F.col("e.cost")).alias("cost"),
+        F.col("f.node").alias("prev"), *[F.col(f"e.{c}").alias(c) for c in sums],
+    )
+    tight = steps.join(found, ["origin", "node", "cost"], "left_semi")
+    best = tight.groupBy("origin", "node", "cost").agg(F.min(F.struct("prev", *sums)).alias("b"))
+    roots = starts.join(found, ["origin", "node", "cost"], "left_semi").select("origin", "node", F.lit(True).alias("_root"))
+    linked = found.join(best, ["origin", "node", "cost"], "left").join(roots, ["origin", "node"], "left")
+    own = F.col("_root").isNull()
+    rows = linked.select(
+        "origin", "node", "cost", F.when(own, F.col("b.prev")).alias("prev"), F.when(own, F.col("b.prev")).alias("_up"),
+        *[F.when(own, F.col(f"b.{c}")).otherwise(0.0).alias(c) for c in sums],
+    )
+    table = stage(rows, "sums")
+    while True:
+        above = table.select("origin", F.col("node").alias("_up"), F.col("_up").alias("_next"), *[F.col(c).alias(f"_up{c}") for c in sums])
+        grown = table.join(above, ["origin", "_up"], "left").select(
+            "origin", "node", "cost", "prev", F.col("_next").alias("_up"),
+            *[(F.col(c) + F.coalesce(f"_up{c}", F.lit(0.0))).alias(c) for c in sums],
+        )
+        before = table
+        table, left = _observed_stage(grown, F.col("_up").isNotNull(), "sums")
+        drop_staged(before)
+        if left == 0:
+            return table.select("origin", "node", "cost", "prev", *[F.col(f"_e_{n}").alias(n) for n in names])
 
 
 def _merge_costs(state: DataFrame, moved: DataFrame, total: Column) -> DataFrame:
@@ -98,20 +135,8 @@ def _merge_costs(state: DataFrame, moved: DataFrame, total: Column) -> DataFrame
     best = both.groupBy("origin", "node").agg(F.min("old").alias("old"), F.min("new").alias("new"))
     better = F.col("old").isNull() | (F.col("new") < F.col("old"))
     return best.select(
-        "origin", "node", F.least("old", "new").alias("cost"), F.lit(None).cast("long").alias("prev"),
-        F.coalesce(better, F.lit(False)).alias("changed"),
-    )
-
-
-def _merge_carried(state: DataFrame, moved: DataFrame, total: Column, names: list[str]) -> DataFrame:
-    fields = ["cost", "is_new", "prev", *names]
-    known = state.select("origin", "node", "cost", F.lit(0).alias("is_new"), "prev", *names)
-    new = moved.select(
-        F.col("f.origin").alias("origin"), F.col("e.dst").alias("node"), total.alias("cost"), F.lit(1).alias("is_new"),
-        F.col("f.node").cast("long").alias("prev"), *[(F.col(f"f.{n}") + F.col(f"e._e_{n}")).alias(n) for n in names],
+        "origin", "node", F.least("old", "new").alias("cost"), F.coalesce(better, F.lit(False)).alias("changed")
     )
-    best = known.unionByName(new).groupBy("origin", "node").agg(F.min(F.struct(*fields)).alias("b"))
-    return best.select("origin", "node", "b.cost", "b.prev", *[f"b.{n}" for n in names], (F.col("b.is_new") == 1).alias("changed"))
 
 
 def nearest_source(edges: DataFrame, sources: DataFrame, max_cost: float | None = None) -> DataFrame:
@@ -143,6 +168,7 @@ def nearest_source(edges: DataFrame, sources: DataFrame, max_cost: float | None
         state, changed = _observed_stage(merged, F.col("changed"), "labels")
         drop_staged(before)
         if changed == 0:
+            reverse.unpersist()
             return state.drop("changed")
 
 

@@ -54,14 +54,14 @@ def hazard_overlay(edges: DataFrame, nodes: DataFrame, polygons: DataFrame) -> D
     hits = segments_in_polygons(segments, polygons)
     worst = (
         hits.join(polygons.select("polygon_id", "hazard_class"), "polygon_id")
-        .groupBy("segment_id")
+        .groupBy(F.col("segment_id.a").alias("_a"), F.col("segment_id.b").alias("_b"))
         .agg(
             F.max(lookup(F.col("hazard_class"), CLASS_RISK, 1.0)).alias("risk"),
             F.max(lookup(F.col("hazard_class"), CLASS_CODE, 0)).alias("hazard_code"),
         )
     )
-    keyed = edges.withColumn("segment_id", F.struct(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")))
-    return keyed.join(worst, "segment_id", "left").select(
+    keyed = edges.withColumn("_a", F.least("src", "dst")).withColumn("_b", F.greatest("src", "dst"))
+    return keyed.join(worst, ["_a", "_b"], "left").select(
         *edges.columns,
         F.coalesce("risk", F.lit(1.0)).alias("risk"),
         F.coalesce("hazard_code", F.lit(0)).alias("hazard_code"),

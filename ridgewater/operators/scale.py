@@ -22,6 +22,14 @@ def small_or_plain(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> tuple[Data
     return (F.broadcast(df) if small else df), small
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Shuffle into the session's full number of partitions, ahead of a step that multiplies small rows.
+
+    Adaptive execution merges partitions by their bytes, which would leave few tasks for such a step.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def hot_keys(df: DataFrame, keys: list[str], min_rows: int = HOT_KEY_MIN_ROWS) -> DataFrame | None:
     """Keys holding more than 1/1000 of all rows (and at least ``min_rows``), with the splits each needs.
 

@@ -22,7 +22,7 @@ from ridgewater.functions.geo import (
     segment_km,
     segments_intersect,
 )
-from ridgewater.operators.scale import first_per_group, spread_join, top_per_group
+from ridgewater.operators.scale import first_per_group, spread, spread_join, top_per_group
 from ridgewater.session import stage
 
 CLASSIFY_MAX_KM = 15.0
@@ -346,7 +346,7 @@ def segments_in_polygons(segments: DataFrame, polygons: DataFrame, size: float =
     """Every (segment_id, polygon_id) that share a point. ``segments``: segment_id, x1, y1, x2, y2."""
     index = stage(polygon_index(polygons, size), "polygon-index")
     ends = ("x1", "y1", "x2", "y2")
-    pieces = segment_cells(segments.select("segment_id", *ends), size, ends=ends).filter("local").drop("local")
+    pieces = segment_cells(spread(segments.select("segment_id", *ends), "segment_id"), size, ends=ends).filter("local").drop("local")
     start_here = (F.floor(F.col("y1") / size) == F.col("cell_row")) & (F.floor(F.col("x1") / size) == F.col("cell_col"))
     joined = spread_join(pieces, index.filter("local"), ["cell_row", "cell_col"], row_id="segment_id")
     meets = segments_intersect(
@@ -374,7 +374,7 @@ def flooded_ratio(segments: DataFrame, polygons: DataFrame, size: float = 0.15)
 
     index = stage(polygon_index(polygons, size), "polygon-index")
     ends = ("x1", "y1", "x2", "y2")
-    pieces = segment_cells(segments.select("segment_id", *ends), size, ends=ends).filter("local").drop("local")
+    pieces = segment_cells(spread(segments.select("segment_id", *ends), "segment_id"), size, ends=ends).filter("local").drop("local")
     joined = spread_join(pieces, index.filter("local"), ["cell_row", "cell_col"], row_id="segment_id")
     a, b = (F.col("x1"), F.col("y1")), (F.col("x2"), F.col("y2"))
     c, d = (F.col("ax"), F.col("ay")), (F.col("bx"), F.col("by"))
