@@ -70,15 +70,17 @@ def on_segment(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: C
 
 
 def segments_intersect(a: tuple, b: tuple, c: tuple, d: tuple) -> Column:
-    """True when closed segments a-b and c-d share a point. Each argument is an (x, y) pair."""
-    s1 = F.signum(side(*c, *a, *b))
-    s2 = F.signum(side(*d, *a, *b))
-    s3 = F.signum(side(*a, *c, *d))
-    s4 = F.signum(side(*b, *c, *d))
-    touching = (
-        on_segment(*c, *a, *b) | on_segment(*d, *a, *b) | on_segment(*a, *c, *d) | on_segment(*b, *c, *d)
-    )
-    return ((s1 * s2 < 0) & (s3 * s4 < 0)) | touching
+    """True when closed segments a-b and c-d share a point. Each argument is an (x, y) pair.
+
+    Their boxes overlap and neither segment lies wholly on one side of the other.
+    """
+    boxes = None
+    for k in (0, 1):
+        overlap = (F.least(a[k], b[k]) <= F.greatest(c[k], d[k])) & (F.least(c[k], d[k]) <= F.greatest(a[k], b[k]))
+        boxes = overlap if boxes is None else boxes & overlap
+    split_ab = F.signum(side(*c, *a, *b)) * F.signum(side(*d, *a, *b)) <= 0
+    split_cd = F.signum(side(*a, *c, *d)) * F.signum(side(*b, *c, *d)) <= 0
+    return boxes & split_ab & split_cd
 
 
 def crossing_fraction(a: tuple, b: tuple, c: tuple, d: tuple) -> Column:

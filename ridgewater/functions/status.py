@@ -116,7 +116,7 @@ def headroom(pairs: dict[str, tuple[Column, Column]]) -> Column:
                 F.struct((left / crit).alias("share"), F.lit(i).alias("i"), left.alias("mm"), F.lit(window).alias("window")),
             )
         )
-    best = F.array_min(F.filter(F.array(*options), lambda x: x.isNotNull()))
+    best = F.least(*options)
     return F.struct(best.mm.alias("mm"), best.window.alias("window"))
 
 
@@ -147,7 +147,7 @@ def worst_window(pairs: dict[str, tuple[Column, Column, Column]]) -> Column:
                 ),
             )
         )
-    return F.array_max(F.filter(F.array(*options), lambda x: x.isNotNull()))
+    return F.greatest(*options)
 
 
 def outlook(now_rank: Column, forecast: Column, thresholds: dict[str, tuple[Column, Column]]) -> Column:
@@ -162,8 +162,19 @@ def outlook(now_rank: Column, forecast: Column, thresholds: dict[str, tuple[Colu
 
 
 def outlook_ahead(worst: Column, now_rank: Column, window, hours: int = 6) -> Column:
-    """The same from a series: ``worst`` is each hour's own worst_window, looked up over the next hours."""
-    return first_worst(now_rank, F.array(*[F.lead(worst, k).over(window) for k in range(1, hours + 1)]))
+    """The same from a series: ``worst`` is each hour's own worst_window, looked up over the next hours.
+
+    Result: struct(rank, neg_hour, window, rain_mm, threshold_mm), null when nothing worse than SAFE is ahead.
+    """
+    options = []
+    for k in range(1, hours + 1):
+        x = F.lead(worst, k).over(window)
+        found = F.struct(
+            x["rank"].alias("rank"), F.lit(-k).alias("neg_hour"), x.window.alias("window"), x.rain_mm.alias("rain_mm"),
+            x.threshold_mm.alias("threshold_mm"),
+        )
+        options.append(F.when((x["rank"] >= 2) & (x["rank"] > now_rank), found))
+    return F.greatest(*options)
 
 
 def first_worst(now_rank: Column, worst: Column) -> Column:

@@ -146,16 +146,49 @@ def parse_payload(raw: DataFrame, column: str = "payload") -> DataFrame:
     )
 
 
-def readings_now(parsed: DataFrame, keys: list[str], decimals: int = 2) -> DataFrame:
-    """Reading with its forecast at the current hour of each location of a parsed payload."""
-    hourly = parsed.select(*keys, "current_time", "ts", "mm")
-    full = readings(hourly, keys, decimals).join(
-        forecasts(hourly, keys, decimals=decimals).select(*keys, "ts", "forecast"), [*keys, "ts"]
+def _ending(hours: int, now: Column, ahead: int, decimals: int, first: Column, last: Column | None = None) -> Column:
+    """Rain of the ``hours`` hours ending ``ahead`` hours after ``now``; null unless the series spans them."""
+    end = now + F.expr(f"interval {ahead} hours")
+    start = end - F.expr(f"interval {hours - 1} hours")
+    total = F.coalesce(F.sum(F.when(F.col("ts").between(start, end), F.col("mm"))), F.lit(0.0))
+    spans = F.min(first) <= F.min(start)
+    if last is not None:
+        spans = spans & (F.max(last) >= F.max(end))
+    return F.when(spans, F.round(total, decimals))
+
+
+def reading_at(observed: DataFrame, span: DataFrame, keys: list[str], decimals: int = 2) -> DataFrame:
+    """Reading of every series at one moment in a single aggregation, with no window and no hourly spine.
+
+    ``observed`` may lack hours (they count as 0). ``span``: one row, first and now.
+    """
+    timed = observed.join(F.broadcast(span), F.lit(True))  # one row
+    totals = [_ending(h, F.col("now"), 0, decimals, F.col("first")).alias(w) for w, h in READING_WINDOWS.items()]
+    return timed.groupBy(*keys).agg(*totals)
+
+
+def readings_now(parsed: DataFrame, keys: list[str], decimals: int = 2, ahead: int = FORECAST_HOURS) -> DataFrame:
+    """Reading with its forecast at the current hour of each location of a parsed payload.
+
+    The current hour is the latest slot not after the payload's clock, or the last slot without a clock.
+    """
+    hour = F.date_trunc("hour", "current_time")
+    slots = parsed.groupBy(*keys).agg(
+        F.max(F.when(hour.isNull() | (F.col("ts") <= hour), F.col("ts"))).alias("now"),
+        F.min("ts").alias("first"), F.max("ts").alias("last"),
     )
-    now = parsed.groupBy(*keys).agg(
-        F.max("current_time").alias("_now"), F.max("ts").alias("_end")
-    ).select(*keys, F.date_trunc("hour", F.coalesce("_now", "_end")).alias("_now"))
-    return latest_at(full.join(now, keys).filter(F.col("ts") <= F.col("_now")), keys, F.col("_now")).drop("_now")
+    timed = parsed.join(slots, keys)
+    now, first, last = F.col("now"), F.col("first"), F.col("last")
+    totals = [_ending(h, now, 0, decimals, first).alias(w) for w, h in READING_WINDOWS.items()]
+    steps = [
+        F.when(
+            F.max(last) >= F.max(now + F.expr(f"interval {k} hours")),
+            F.struct(*[_ending(h, now, k, decimals, first).alias(w) for w, h in FLOOD_WINDOWS.items()]),
+        )
+        for k in range(1, ahead + 1)
+    ]
+    found = timed.groupBy(*keys).agg(F.min(now).alias("ts"), *totals, F.array(*steps).alias("forecast"))
+    return found.withColumn("forecast", F.filter("forecast", lambda x: x.isNotNull()))
 
 
 def plausible(mm: Column, limit: float = 3000.0) -> Column:

@@ -43,9 +43,10 @@ def forecast_outlook(spark, sf):
     out = totals.withColumn("worst", worst).withColumn(
         "best", st.outlook_ahead(F.col("worst"), F.coalesce(F.col("worst.rank"), F.lit(0)), by_time)
     )
+    names = F.array(*[F.lit(s) for s in st.STATUSES])
     return out.filter("best IS NOT NULL").select(
-        "point_id", "ts", "best.status", F.col("best.in_hours").cast("int").alias("in_hours"), "best.window",
-        F.round("best.rain_mm", 6).alias("rain_mm"), "best.threshold_mm",
+        "point_id", "ts", F.element_at(names, F.col("best.rank")).alias("status"), (-F.col("best.neg_hour")).alias("in_hours"),
+        "best.window", F.round("best.rain_mm", 6).alias("rain_mm"), "best.threshold_mm",
     )
 
 
@@ -131,11 +132,10 @@ def zone_table(spark, sf):
 
 
 def zone_readings(spark, sf):
-    """The reading of every series at the last hour of the record."""
-    hourly = v.rain(spark, sf)
-    now = hourly.agg(F.max("ts").alias("now"))
-    last = rn.readings(hourly, _KEY, 6).join(F.broadcast(now), F.col("ts") == F.col("now")).drop("now")
-    return last.withColumnRenamed("point_id", "rain_id")
+    """The reading of every series at the last hour of the record; hours without rain need no rows."""
+    observed = v.rain_observed(spark, sf)
+    span = observed.agg(F.min("ts").alias("first"), F.max("ts").alias("now"))
+    return rn.reading_at(observed, span, _KEY, 6).withColumnRenamed("point_id", "rain_id")
 
 
 def zone_status(spark, sf):
