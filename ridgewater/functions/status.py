@@ -77,6 +77,15 @@ def class_thresholds(hazard_class: Column, multiplier: Column | None = None) ->
     return out
 
 
+def with_thresholds(df: DataFrame, limits: dict[str, tuple[Column, Column]]) -> tuple[DataFrame, dict]:
+    """Adds watch_<window> and critical_<window> columns; returns {window: (rain, watch, critical)} over them.
+
+    Later rules mention each threshold many times, so they refer to columns, not to the whole expression.
+    """
+    df = df.withColumns({f"{k}_{w}": pair[i] for w, pair in limits.items() for i, k in enumerate(("watch", "critical"))})
+    return df, {w: (F.col(w), F.col(f"watch_{w}"), F.col(f"critical_{w}")) for w in limits}
+
+
 def resolve_class(surveyed: Column, band: Column) -> tuple[Column, Column]:
     """(class, source): the surveyed class wins, the index band fills gaps."""
     from_band = lookup(band, BAND_TO_CLASS)

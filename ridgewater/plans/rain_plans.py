@@ -9,6 +9,7 @@ from ridgewater.functions import status as st
 from ridgewater.operators import rain as rn
 from ridgewater.operators import spatial
 from ridgewater.plans import views as v
+from ridgewater.session import stage
 
 _KEY = ["point_id"]
 
@@ -140,14 +141,15 @@ def zone_readings(spark, sf):
 
 def zone_status(spark, sf):
     """Every zone that is WATCH or CRITICAL at the end of the record, with the reason, worst first."""
-    zones = zone_table(spark, sf)
+    # The static facts of a zone change rarely: they are written once, and the final sort, which reads its
+    # input twice, starts from the table.
+    zones = stage(zone_table(spark, sf), "zone-static")
     effective, source = st.resolve_class(F.col("hazard_class"), F.col("band"))
     zones = zones.withColumn("effective_class", effective).withColumn("hazard_source", source)
     zones = zones.filter(F.col("effective_class").isNotNull())
     z = zones.join(zone_readings(spark, sf), "rain_id")
     multiplier = st.antecedent_multiplier(F.col("antecedent_48h")) * st.static_multiplier(F.col("soil"), F.col("up_area_km2"))
-    limits = st.class_thresholds(F.col("effective_class"), multiplier)
-    triples = {w: (F.col(w), a, b) for w, (a, b) in limits.items()}
+    z, triples = st.with_thresholds(z, st.class_thresholds(F.col("effective_class"), multiplier))
     fraction = st.critical_fraction({w: (r, c) for w, (r, _, c) in triples.items()})
     left = st.headroom({w: (r, c) for w, (r, _, c) in triples.items()})
     out = z.select(
@@ -156,7 +158,7 @@ def zone_status(spark, sf):
         "hazard_source",
         st.zone_status(triples).alias("status"),
         *[F.round(r, 3).alias(f"rain_{w}") for w, (r, _, _) in triples.items()],
-        F.round(limits["24h"][1], 1).alias("critical_24h"),
+        triples["24h"][2].alias("critical_24h"),
         F.round(fraction, 6).alias("critical_fraction"),
         F.round(left.mm, 6).alias("headroom_mm"),
         left.window.alias("headroom_window"),
@@ -168,8 +170,8 @@ def zone_status(spark, sf):
 def alert_banner(spark, sf):
     """Zone ids per status, flood and landslide kept apart, as one text list per status."""
     z = zone_table(spark, sf).join(zone_readings(spark, sf), "rain_id")
-    limits = st.class_thresholds(F.col("hazard_class"))
-    flood = st.zone_status({w: (F.col(w), a, b) for w, (a, b) in limits.items()})
+    z, triples = st.with_thresholds(z, st.class_thresholds(F.col("hazard_class")))
+    flood = st.zone_status(triples)
     slide_limits = {"24h": (20.0, 40.0), "72h": (45.0, 80.0), "168h": (90.0, 150.0)}
     slide = st.zone_status({w: (F.col(w), F.lit(a), F.lit(b)) for w, (a, b) in slide_limits.items()})
     layers = F.explode(F.create_map(F.lit("flood"), flood, F.lit("landslide"), slide))
@@ -187,8 +189,7 @@ def diversified_cards(spark, sf):
 def zone_status_all(spark, sf):
     z = zone_table(spark, sf).join(zone_readings(spark, sf), "rain_id")
     effective, _ = st.resolve_class(F.col("hazard_class"), F.col("band"))
-    limits = st.class_thresholds(effective)
-    triples = {w: (F.col(w), a, b) for w, (a, b) in limits.items()}
+    z, triples = st.with_thresholds(z, st.class_thresholds(effective))
     status = st.zone_status(triples)
     fraction = st.critical_fraction({w: (r, c) for w, (r, _, c) in triples.items()})
     key = st.status_rank(status) * 1000.0 + F.round(fraction, 6)

@@ -19,6 +19,8 @@ def local_session(name: str = "ridgewater", cores: str = "*", shuffle_partitions
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
+        # Generated methods above this size are never compiled by the JVM; smaller units are faster then.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
