@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ridgewater.functions.columns import lookup
 from ridgewater.operators.graph import nearest_source, shortest_paths, unroll
-from ridgewater.operators.spatial import nearest_k, segments_in_polygons, within_radius
+from ridgewater.operators.scale import spread_join
+from ridgewater.operators.spatial import nearest_k, segments_in_polygons
 from ridgewater.session import stage
 
 # Risk and code per hazard class, and the multipliers of the route weights.
@@ -50,7 +51,8 @@ def hazard_overlay(edges: DataFrame, nodes: DataFrame, polygons: DataFrame) -> D
     pairs = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
     a = nodes.select(F.col("node_id").alias("a"), F.col("lon").alias("x1"), F.col("lat").alias("y1"))
     b = nodes.select(F.col("node_id").alias("b"), F.col("lon").alias("x2"), F.col("lat").alias("y2"))
-    segments = pairs.join(a, "a").join(b, "b").withColumn("segment_id", F.struct("a", "b"))
+    placed = spread_join(spread_join(pairs, a, ["a"], "b"), b, ["b"], "a")
+    segments = placed.withColumn("segment_id", F.struct("a", "b"))
     hits = segments_in_polygons(segments, polygons)
     worst = (
         hits.join(polygons.select("polygon_id", "hazard_class"), "polygon_id")
@@ -73,11 +75,15 @@ def mark_reports(edges: DataFrame, nodes: DataFrame, reports: DataFrame) -> Data
 
     ``reports``: report_id, lat, lon, blocks_road. An edge is near when one of its ends is within 150 m.
     """
-    targets = reports.select(F.col("report_id").alias("target_id"), "lat", "lon", "blocks_road")
-    near = within_radius(nodes.select(F.col("node_id").alias("point_id"), "lat", "lon"), targets, REPORT_RADIUS_KM)
-    ranked = near.groupBy(F.col("point_id").alias("node")).agg(
-        F.max(F.when(F.col("blocks_road"), 2).otherwise(1)).alias("rank")
-    )
+    points = nodes.select(F.col("node_id").alias("point_id"), "lat", "lon")
+
+    def near(chosen: DataFrame, rank: int) -> DataFrame:
+        # One nearest report is enough to mark a node, so crowded places do not multiply pairs.
+        targets = chosen.select(F.col("report_id").alias("target_id"), "lat", "lon")
+        return nearest_k(points, targets, 1, REPORT_RADIUS_KM).select(F.col("point_id").alias("node"), F.lit(rank).alias("rank"))
+
+    both_kinds = near(reports.filter("blocks_road"), 2).unionByName(near(reports.filter("NOT blocks_road"), 1))
+    ranked = both_kinds.groupBy("node").agg(F.max("rank").alias("rank"))
     src = ranked.select(F.col("node").alias("src"), F.col("rank").alias("_src_rank"))
     dst = ranked.select(F.col("node").alias("dst"), F.col("rank").alias("_dst_rank"))
     both = edges.join(src, "src", "left").join(dst, "dst", "left")

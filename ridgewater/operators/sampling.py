@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgewater.operators.scale import top_per_group
-from ridgewater.operators.spatial import containing_polygons, grid_nodes_in, within_radius
+from ridgewater.operators.spatial import containing_polygons, grid_nodes_in, nearest_k
 
 
 def uniform(*parts: Column | int) -> Column:
@@ -41,10 +41,10 @@ def background_points(
     inside = containing_polygons(drawn, region).select("point_id").distinct()
     kept = drawn.join(inside, "point_id", "left_semi")
     targets = events.select(F.col("event_id").alias("target_id"), "lat", "lon")
-    kept = kept.join(within_radius(kept, targets, away_km).select("point_id").distinct(), "point_id", "left_anti")
+    kept = kept.join(nearest_k(kept, targets, 1, away_km).select("point_id"), "point_id", "left_anti")
     if settlements is not None:
         towns = settlements.select("target_id", "lat", "lon")
-        kept = kept.join(within_radius(kept, towns, settled_km).select("point_id").distinct(), "point_id", "left_semi")
+        kept = kept.join(nearest_k(kept, towns, 1, settled_km).select("point_id"), "point_id", "left_semi")
     return kept.orderBy(uniform(F.col("point_id"), seed, 3)).limit(n)
 
 

@@ -45,7 +45,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_table_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/ridgewater/{label}-{uuid.uuid4().hex[:12]}"
+    return f"{_app_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def _app_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/ridgewater/{spark.sparkContext.applicationId}"
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Delete every table this application has staged; results that still read them must be saved first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_app_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
