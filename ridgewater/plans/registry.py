@@ -6,6 +6,7 @@ from importlib import import_module
 
 FAMILIES = [
     "calibrate_plans",
+    "export_plans",
     "feed_plans",
     "model_plans",
     "rain_plans",
