@@ -1,8 +1,8 @@
 """Keyed state for reports, alerts and limits, as transformWithStateInPandas processors.
 
-State per key is a few numbers (or, for sliding limits, at most as many times as the limit allows), and rows
-arrive in chunks, so a key with any share of the traffic needs no more memory than another. Each processor
-orders the rows of a micro-batch by event time before applying them.
+State per key is a few numbers, or, for sliding limits, at most as many times as the limit allows. Each
+processor orders a key's rows of one micro-batch by event time before applying them and holds those rows while
+it does, so bound the micro-batch at the source (maxFilesPerTrigger, maxOffsetsPerTrigger).
 """
 
 from __future__ import annotations
