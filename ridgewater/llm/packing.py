@@ -1,11 +1,12 @@
 """Packing token sequences into windows by Karmarkar-Karp multiway differencing.
 
 Every document is tokenized and closed with an end id. Whole windows are cut off first and stand alone; what is left
-is cut into pieces of at most ``piece`` tokens, which are pooled and balanced over windows of the pool: differencing
-starts with one partial partition per piece and keeps merging the two with the largest imbalance, the largest window
-of one with the smallest of the other, until one partition is left. If a window exceeds the capacity, the pool is
-balanced again over one window more. A pool closes when it could fill ``pool`` windows, so its cost is bounded; each
-task packs its own documents and no row is shuffled.
+is pooled and balanced over windows of the pool: differencing starts with one partial partition per piece and keeps
+merging the two with the largest imbalance, the largest window of one with the smallest of the other, until one
+partition is left. If a window exceeds the capacity, the pool is balanced again over one window more. A pool closes
+when it nearly fills ``pool`` windows (the document that reaches that point is cut there), so its cost is bounded, and
+a ``share`` of its tokens is cut into crumbs of ``crumb`` tokens, with which differencing can even out the windows.
+Each task packs its own documents and no row is shuffled.
 
 A null text is empty and gives the end id alone. Repeated rows and ids are packed as they come. No rows in, no rows
 out. Tokens are those of the given tokenizer file: words between single spaces are encoded once per task and
@@ -26,8 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CAPACITY = 1024
-PIECE = 256
 POOL = 64
+CRUMB = 16
+SHARE = 0.06
+SLACK = 4
 END_ID = 0
 REMEMBERED = 400_000
 
@@ -111,8 +114,10 @@ def pack(
     id_col: str = "doc_id",
     text_col: str = "text",
     capacity: int = CAPACITY,
-    piece: int = PIECE,
     pool: int = POOL,
+    crumb: int = CRUMB,
+    share: float = SHARE,
+    slack: int = SLACK,
     with_ids: bool = False,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and the ids on request."""
@@ -123,14 +128,15 @@ def pack(
         encoder = Encoder(tokenizer)
         sequence = TaskContext.get().partitionId() << 33
         waiting: list[tuple] = []
-        held, rows = 0, []
+        full = pool * max(1, capacity - slack)
+        held, crumbs, rows = 0, 0, []
 
         def place(doc, start: int, ids: bytes, total: int, offset: int) -> None:
             row = (doc, start, len(ids) // 4, zlib.crc32(ids), total, sequence, offset)
             rows.append((*row, np.frombuffer(ids, "<u4").astype(np.int32)) if with_ids else row)
 
         def close() -> None:
-            nonlocal sequence, held
+            nonlocal sequence, held, crumbs
             for window in balanced([len(w[2]) // 4 for w in waiting], capacity):
                 offset = 0
                 for i in window:
@@ -139,7 +145,20 @@ def pack(
                     offset += len(ids) // 4
                 sequence += 1
             waiting.clear()
-            held = 0
+            held = crumbs = 0
+
+        def wait(doc, start: int, ids: bytes, total: int) -> None:
+            """Put a piece into the pool, as crumbs if those are short; the pool closes where it is full."""
+            nonlocal held, crumbs
+            while ids:
+                part, ids = ids[: 4 * (full - held)], ids[4 * (full - held) :]
+                n = len(part) // 4
+                step = n if crumbs >= share * held else crumb
+                for at in range(0, n, step):
+                    waiting.append((doc, start + at, part[4 * at : 4 * (at + step)], total))
+                held, crumbs, start = held + n, crumbs + (step < n) * n, start + n
+                if held == full:
+                    close()
 
         def flush() -> pa.RecordBatch:
             columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
@@ -161,14 +180,7 @@ def pack(
                     for start in range(0, whole, capacity):
                         place(doc, start, ids[4 * start : 4 * (start + capacity)], total, 0)
                         sequence += 1
-                    left = total - whole
-                    cuts = -(-left // piece)
-                    for c in range(cuts):
-                        start, stop = whole + left * c // cuts, whole + left * (c + 1) // cuts
-                        waiting.append((doc, start, ids[4 * start : 4 * stop], total))
-                    held += left
-                    if held >= pool * capacity:
-                        close()
+                    wait(doc, whole, ids[4 * whole :], total)
                 if len(rows) >= 10_000:
                     yield flush()
         if waiting:

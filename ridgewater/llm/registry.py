@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgewater.llm import exact_dedup, mixing, packing
+from ridgewater.llm import exact_dedup, minhash_dedup, mixing, packing
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +63,11 @@ FROM a
 """
 
 
+def op4_minmax_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash_dedup.near_duplicates(documents(spark, sf_dir))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept", "class_id")
+
+
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path())
 
@@ -85,6 +90,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 
 QUERIES = {
     "op2_mix_sources": (op2_mix_sources, OP2_SQL),
+    "op4_minmax_hash": (op4_minmax_hash, None),
     "op9_pack": (op9_pack, None),
     "op10_exact_dedup": (op10_exact_dedup, OP10_SQL),
 }
