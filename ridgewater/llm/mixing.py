@@ -160,9 +160,11 @@ def mix_sources(
     return joined.select("row", "id", "source", "size", "source_size", "target"), taken
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mixed_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str = "n_chars"
+) -> DataFrame:
     """The mix as documents: each row of ``docs`` as often as it is drawn, with all columns; the one document per source
-    at which the target is reached has its text cut after the words that are taken.
+    at which the target is reached has its text cut after the words that are taken, and its length set anew.
 
     A document that is never drawn is left out. Ids must be unique and not null for this form; a row whose id is
     repeated appears once for every draw of that id.
@@ -173,4 +175,9 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cut = F.array_join(F.slice(pieces, 1, F.col("__words").cast("int")), "")
     text = F.when(F.col("__words") < F.col("__size"), cut).otherwise(F.col(text_col))
     out = docs.join(draws, docs[id_col] == draws["__id"]).withColumn("__text", text)
-    return out.select(*[F.col("__text").alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    is_cut = F.col("__words") < F.col("__size")
+    columns = {c: F.col(c) for c in docs.columns} | {text_col: F.col("__text")}
+    if length_col in columns:
+        kind = dict(docs.dtypes)[length_col]
+        columns[length_col] = F.when(is_cut, F.length("__text").cast(kind)).otherwise(F.col(length_col))
+    return out.select(*[column.alias(name) for name, column in columns.items()])

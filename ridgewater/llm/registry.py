@@ -7,7 +7,10 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgewater.llm import exact_dedup, minhash_dedup, mixing, packing
+from ridgewater.llm import cotraining, exact_dedup, minhash_dedup, mixing, packing, pseudonyms, syncmers
+
+# The queries' own key; a deployment passes its secret instead.
+KEY = "query key"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +27,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymised(documents(spark, sf_dir), KEY).drop("lang", "source", "n_chars")
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, draws = mixing.mix_sources(documents(spark, sf_dir))
     taken = draws.groupBy("row").agg(F.sum("words").alias("taken"))
@@ -63,11 +70,22 @@ FROM a
 """
 
 
+def op3_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.edited_fingerprints(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 def op4_minmax_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash_dedup.near_duplicates(documents(spark, sf_dir))
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept", "class_id")
 
 
+def op7_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = cotraining.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    names = [F.col(f"__{c}").alias(c) for c in ("text_score", "meta_score", "score")]
+    return cotraining.scored(docs, model).select("doc_id", *names, (F.col("__score") >= 0.5).alias("kept"))
+
+
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path())
 
@@ -89,8 +107,11 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
 QUERIES = {
+    "op1_pseudonyms": (op1_pseudonyms, None),
     "op2_mix_sources": (op2_mix_sources, OP2_SQL),
+    "op3_syncmers": (op3_syncmers, None),
     "op4_minmax_hash": (op4_minmax_hash, None),
+    "op7_cotraining": (op7_cotraining, None),
     "op9_pack": (op9_pack, None),
     "op10_exact_dedup": (op10_exact_dedup, OP10_SQL),
 }
