@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgewater.llm import cotraining, exact_dedup, minhash_dedup, mixing, packing, pseudonyms, syncmers
+from ridgewater.llm import automata, cotraining, exact_dedup, minhash_dedup, mixing, packing, parsing, pseudonyms, syncmers
 
 # The queries' own key; a deployment passes its secret instead.
 KEY = "query key"
@@ -79,6 +79,10 @@ def op4_minmax_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept", "class_id")
 
 
+def op6_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return automata.without_repeats(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 def op7_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = cotraining.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -86,6 +90,10 @@ def op7_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotraining.scored(docs, model).select("doc_id", *names, (F.col("__score") >= 0.5).alias("kept"))
 
 
+def op8_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsing.without_repeats(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path())
 
@@ -111,7 +119,9 @@ QUERIES = {
     "op2_mix_sources": (op2_mix_sources, OP2_SQL),
     "op3_syncmers": (op3_syncmers, None),
     "op4_minmax_hash": (op4_minmax_hash, None),
+    "op6_suffix_automata": (op6_suffix_automata, None),
     "op7_cotraining": (op7_cotraining, None),
+    "op8_prefix_free_parsing": (op8_prefix_free_parsing, None),
     "op9_pack": (op9_pack, None),
     "op10_exact_dedup": (op10_exact_dedup, OP10_SQL),
 }
