@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgewater.llm import automata, cotraining, exact_dedup, minhash_dedup, mixing, packing, parsing, pseudonyms, syncmers
+from ridgewater.llm import automata, cotraining, exact_dedup, licences, minhash_dedup, mixing, packing, parsing, pseudonyms, syncmers
 
 # The queries' own key; a deployment passes its secret instead.
 KEY = "query key"
@@ -79,6 +79,12 @@ def op4_minmax_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept", "class_id")
 
 
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document lies at source / language / id; documents that are mostly a licence statement speak for their folder."""
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))
+    return licences.scan(documents(spark, sf_dir), "doc_id", path).withColumnRenamed("id", "doc_id")
+
+
 def op6_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automata.without_repeats(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
@@ -119,6 +125,7 @@ QUERIES = {
     "op2_mix_sources": (op2_mix_sources, OP2_SQL),
     "op3_syncmers": (op3_syncmers, None),
     "op4_minmax_hash": (op4_minmax_hash, None),
+    "op5_licences": (op5_licences, None),
     "op6_suffix_automata": (op6_suffix_automata, None),
     "op7_cotraining": (op7_cotraining, None),
     "op8_prefix_free_parsing": (op8_prefix_free_parsing, None),
