@@ -175,17 +175,29 @@ def polygon_edges(polygons: DataFrame, keep: tuple = ()) -> DataFrame:
 
 
 def polygon_measures(polygons: DataFrame) -> DataFrame:
-    """Area in m2 and hectares (on UTM 44N) and centroid in degrees, per polygon."""
-    edges = polygon_edges(polygons)
+    """Area in m2 and hectares (on UTM 44N) and centroid in degrees, per polygon.
+
+    The first ring of a part is its outline and the others are its holes, whichever way they turn. ``parts``, if
+    there is such a column, holds the part number of every ring; without it all rings are one part.
+    """
+    part = F.col("parts") if "parts" in polygons.columns else F.transform("rings", lambda r: F.lit(0))
+    role = F.transform(part, lambda p, i: F.when((i == 0) | (F.get(part, i - 1) != p), 1).otherwise(-1))
+    rings = polygons.select("polygon_id", F.posexplode(F.arrays_zip(F.col("rings").alias("ring"), role.alias("role"))).alias("ring_no", "r"))
+    edges = rings.select("polygon_id", "ring_no", F.col("r.role").alias("role"), F.inline(ring_edges(F.array("r.ring"))))
     ex1, ey1 = utm44(F.col("ay"), F.col("ax"))
     ex2, ey2 = utm44(F.col("by"), F.col("bx"))
     cross_deg = F.col("ax") * F.col("by") - F.col("bx") * F.col("ay")
-    sums = edges.groupBy("polygon_id").agg(
+    of_ring = edges.groupBy("polygon_id", "ring_no", "role").agg(
         F.sum(ex1 * ey2 - ex2 * ey1).alias("_area2"),
         F.sum(cross_deg).alias("_deg2"),
         F.sum((F.col("ax") + F.col("bx")) * cross_deg).alias("_cx"),
         F.sum((F.col("ay") + F.col("by")) * cross_deg).alias("_cy"),
     )
+    turn = F.col("role") * F.signum("_deg2")
+    sums = of_ring.groupBy("polygon_id").agg(
+        F.sum(F.col("role") * F.abs("_area2")).alias("_area2"),
+        *[F.sum(F.col(c) * turn).alias(c) for c in ("_deg2", "_cx", "_cy")],
+    )
     return sums.select(
         "polygon_id",
         (F.abs(F.col("_area2")) / 2.0).alias("area_m2"),

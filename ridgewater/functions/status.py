@@ -264,10 +264,10 @@ def risk_order(status: Column, fraction: Column, hazard_class: Column, probabili
 def critical_message(label: Column, hazard_class: Column, hit: Column) -> Column:
     """Alert text from the worst window: struct(window, rain_mm, threshold_mm)."""
     return F.format_string(
-        "CRITICAL at %s: %.1f mm of rain in the last %s, at or above this %s zone's critical level of %.0f mm.",
+        "%s is CRITICAL now. Rain of the past %s: %.1f mm; limit for hazard class %s: %.0f mm.",
         label,
-        hit.rain_mm,
         hit.window,
+        hit.rain_mm,
         hazard_class,
         hit.threshold_mm,
     )
@@ -275,12 +275,11 @@ def critical_message(label: Column, hazard_class: Column, hit: Column) -> Column
 
 def forecast_message(label: Column, hazard_class: Column, expected: Column) -> Column:
     return F.format_string(
-        "CRITICAL expected at %s: %.1f mm in the %s window within about %d h, at or above this %s zone's critical "
-        "level of %.0f mm. A forecast, less certain than rain already fallen.",
+        "%s may turn CRITICAL in %d h. Forecast for %s: %.1f mm; limit for hazard class %s: %.0f mm.",
         label,
-        expected.rain_mm,
-        expected.window,
         expected.in_hours,
+        expected.window,
+        expected.rain_mm,
         hazard_class,
         expected.threshold_mm,
     )

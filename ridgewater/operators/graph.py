@@ -49,7 +49,6 @@ def shortest_paths(
     origins: DataFrame,
     carry: dict[str, Column] | None = None,
     max_cost: float | None = None,
-    max_rounds: int | None = None,
     forbid: Column | None = None,
 ) -> DataFrame:
     """Cheapest cost from every origin to every node it reaches, all origins at once.
@@ -80,9 +79,11 @@ def shortest_paths(
         state, changed = _observed_stage(_merge_costs(state, moved, total), F.col("changed"), "paths")
         drop_staged(before)
         rounds += 1
-        if changed == 0 or rounds == max_rounds:
+        if changed == 0:
             break
     found = state.drop("changed")
+    if carry and forbid is not None:
+        raise ValueError("sums along paths with forbidden steps are not supported")
     if carry:
         found = _add_path_sums(found, starts, prepared, hubs, list(carry))
     prepared.unpersist()
@@ -202,7 +203,7 @@ def unroll(paths: DataFrame, ends: DataFrame) -> DataFrame:
         width *= 2
 
 
-def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """Connected components of undirected ``links`` (a, b): node, component (its smallest node).
 
     Alternates two contractions: every node points its larger neighbours, then its smaller ones, at the
@@ -211,8 +212,8 @@ def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
     """
     nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
     pairs = stage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
-    mark = None
-    for _ in range(max_rounds):
+    while True:
+        before = pairs
         both = pairs.union(pairs.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = (
@@ -224,9 +225,7 @@ def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
         joined = spread_join(large, low, ["u"], "v")
         small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m"))
         pairs = stage(small.filter("u <> v").distinct(), "links")
-        now = pairs.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v").cast("long"))).first()
-        if now == mark:
+        if pairs.join(before, ["u", "v"], "left_anti").isEmpty() and before.join(pairs, ["u", "v"], "left_anti").isEmpty():
             break
-        mark = now
     root = pairs.groupBy("u").agg(F.min("v").alias("component"))
     return nodes.join(root, nodes.node == root.u, "left").select("node", F.coalesce("component", "node").alias("component"))

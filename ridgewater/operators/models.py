@@ -83,7 +83,7 @@ def fit_predict(kind: str, features: list[str], train: DataFrame, test: DataFram
 
 def out_of_fold(df: DataFrame, features: list[str], kind: str, fold: str = "fold", weight: str | None = None, **options) -> DataFrame:
     """Every row scored by a model that did not see its fold. Folds whose training side has one class are skipped."""
-    folds = sorted(r[0] for r in df.select(fold).distinct().limit(401).collect())
+    folds = sorted(r[0] for r in df.select(fold).distinct().collect())
     out = None
     for k in folds:
         train = df.filter(F.col(fold) != k)
@@ -111,7 +111,7 @@ def leave_one_year_out(
 
     Columns: row_id, year, label, prob, flag_<level>.
     """
-    years = sorted(r[0] for r in df.select(year).distinct().limit(401).collect())
+    years = sorted(r[0] for r in df.select(year).distinct().collect())
     out = None
     for y in years:
         train, test = df.filter(F.col(year) != y), df.filter(F.col(year) == y)

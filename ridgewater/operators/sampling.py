@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgewater.operators.scale import top_per_group
+from ridgewater.operators.scale import global_positions, top_per_group
 from ridgewater.operators.spatial import containing_polygons, grid_nodes_in, nearest_k
 
 
@@ -61,30 +61,18 @@ def split_groups(df: DataFrame, group: str, seed: int, share: float = 0.2) -> Da
 
 def interleaved_folds(df: DataFrame, year: str, k: int) -> DataFrame:
     """Adds ``fold``: years in order, dealt out one by one."""
-    years = sorted(r[0] for r in df.select(year).distinct().limit(401).collect())
-    if len(years) > 400:
-        raise ValueError("more than 400 years")
-    fold = None
-    for i, y in enumerate(years):
-        fold = F.when(F.col(year) == y, i % k) if fold is None else fold.when(F.col(year) == y, i % k)
-    return df.withColumn("fold", fold)
-
-
-def balanced_folds(df: DataFrame, group: str, k: int, most_groups: int = 20_000) -> DataFrame:
-    """Adds ``fold``: largest group first into the lightest fold; hashed when there are very many groups."""
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    found = sizes.limit(most_groups + 1).collect()
-    if len(found) > most_groups:
-        return df.withColumn("fold", F.pmod(F.xxhash64(group), F.lit(k)).cast("int"))
-    load = [0] * k
-    placed = []
-    for row in sorted(found, key=lambda r: (-r["n"], str(r[group]))):
-        lightest = load.index(min(load))
-        load[lightest] += row["n"]
-        placed.append((row[group], lightest))
-    kind = df.schema[group].dataType.simpleString()
-    table = df.sparkSession.createDataFrame(placed, f"`{group}` {kind}, fold int")
-    return df.join(F.broadcast(table), group)  # at most most_groups rows
+    years = df.select(year).distinct()
+    place = F.row_number().over(Window.orderBy(year)) - 1  # one row per year
+    return df.join(years.withColumn("fold", F.pmod(place, F.lit(k)).cast("int")), year)
+
+
+def balanced_folds(df: DataFrame, group: str, k: int) -> DataFrame:
+    """Adds ``fold``: groups from the largest to the smallest, dealt out forth and back (0 .. k-1, k-1 .. 0, ...)."""
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    placed = global_positions(sizes, [F.desc("_n"), F.col(group)], "_at")
+    step = F.pmod(F.col("_at"), F.lit(k))
+    back = F.pmod(F.floor(F.col("_at") / k), F.lit(2)) == 1
+    return df.join(placed.select(group, F.when(back, k - 1 - step).otherwise(step).cast("int").alias("fold")), group)
 
 
 def training_table(samples: DataFrame, cells: DataFrame, grid: tuple[float, float, float], bands: list[str], required: list[str]) -> DataFrame:

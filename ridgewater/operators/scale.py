@@ -121,7 +121,7 @@ def running_totals(
     )
     inside = (
         Window.partitionBy(*group, "_bucket")
-        .orderBy(direction("_order"))
+        .orderBy(direction(order))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     out = df.select("*", *[F.sum(f"_in_{n}").over(inside).alias(f"_r_{n}") for n in sums])
@@ -162,6 +162,20 @@ def exact_quantiles(
     )
 
 
+def global_positions(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
+    """Adds the place of every row in the given order, from 0, without one task seeing all rows.
+
+    The rows are sorted into ranges; each range is numbered alone and receives the count of those before it.
+    """
+    df = stage(df.orderBy(*order).withColumn("_range", F.spark_partition_id()), "sorted")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = df.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    out = df.withColumn("_place", inside).join(counts, "_range")
+    return out.withColumn(name, F.col("_place") - 1 + F.col("_offset")).drop("_range", "_place", "_offset")
+
+
 def first_per_group(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each group; Spark trims each task to one row per key before shuffling."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -184,9 +198,9 @@ def carry_forward(
     """
     df = stage(df, "asof").withColumn("_order", F.col(order[0]).cast("double"))
     df = _range_bucket(df, "_order", buckets)
-    inside = Window.partitionBy(*group, "_bucket").orderBy("_order", *order[1:])
+    inside = Window.partitionBy(*group, "_bucket").orderBy(*order)
     frame = inside.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    key = F.struct("_order", *order[1:])
+    key = F.struct(*order)
     ends = df.groupBy(*group, "_bucket").agg(
         *[F.max_by(v, F.when(F.col(v).isNotNull(), key)).alias(f"_end_{v}") for v in values]
     )

@@ -309,7 +309,7 @@ QUERIES = {
             """SELECT t/100e0 AS threshold, round(2e0*tp/(f+n1), 6) AS f1 FROM (SELECT t, count(*) FILTER (b >= t) AS f,
             count(*) FILTER (b >= t AND label = 1) AS tp, count(*) FILTER (label = 1) AS n1
             FROM (SELECT floor(round(value/500000e0, 4)*100e0 + 1e-9)::INT AS b, label FROM case_day),
-            (SELECT unnest(generate_series(5, 93)) AS t) GROUP BY 1) ORDER BY 2e0*tp/(f+n1) DESC, t LIMIT 1""",
+            (SELECT unnest(generate_series(5, 94)) AS t) GROUP BY 1) ORDER BY 2e0*tp/(f+n1) DESC, t LIMIT 1""",
         ),
     ),
     "exact_quantile": (

@@ -21,7 +21,7 @@ def alert_messages(spark, sf):
     hit = F.struct(F.lit("1h").alias("window"), F.col("mm").alias("rain_mm"), F.lit(8.0).alias("threshold_mm"))
     label = F.concat(F.lit("zone "), F.col("point_id"))
     text = st.critical_message(label, F.lit("EXTREME"), hit)
-    return wet.select("point_id", "ts", F.substring_index(text, ":", 1).alias("head"), F.substring_index(text, "level of ", -1).alias("tail"))
+    return wet.select("point_id", "ts", text.alias("message"))
 
 
 def threshold_sink(spark, sf):
@@ -66,7 +66,7 @@ def status_weights(spark, sf):
 QUERIES = {
     "alert_messages": (
         alert_messages,
-        v.sql("rain0", "SELECT point_id, ts, 'CRITICAL at zone ' || point_id AS head, '8 mm.' AS tail FROM rain0 WHERE mm >= 8"),
+        v.sql("rain0", "SELECT point_id, ts, format('zone {} is CRITICAL now. Rain of the past 1h: {:.1f} mm; limit for hazard class EXTREME: 8 mm.', point_id, round(mm, 1)) AS message FROM rain0 WHERE mm >= 8"),
     ),
     "threshold_sink": (
         threshold_sink,

@@ -163,7 +163,7 @@ def status_transitions(spark, sf):
 
 def _warnings(spark, sf):
     """Warnings made from documents: every fifth is an update that replaces the one before it."""
-    d = v.table(spark, sf, "documents").select("doc_id", "lang", F.substring("text", 1, 60).alias("t"))
+    d = v.table(spark, sf, "documents").select("doc_id", "lang", F.col("text").alias("t"))
     name = F.element_at(F.array(*[F.lit(n) for n in sorted(tx.DISTRICT_ALIASES)]), (F.col("doc_id") % 13 + 1).cast("int"))
     text = F.regexp_replace("t", "[^A-Za-z ]", "")
     return d.select(
@@ -304,7 +304,7 @@ _WARN = f"""SELECT 'id-' || doc_id AS identifier, CASE WHEN doc_id % 11 = 0 THEN
   CASE WHEN doc_id % 7 = 0 THEN 'Cancel' ELSE 'Alert' END AS msg_type, CASE WHEN doc_id % 5 = 0 THEN 'id-' || (doc_id-1) END AS old,
   CASE doc_id % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 ELSE 4 END AS severity_rank, doc_id % 4 AS ex,
   CASE WHEN doc_id % 6 = 0 THEN 'Uttarakhand' ELSE {_D}[doc_id % 13 + 1] || ' tehsil' END AS area,
-  trim(regexp_replace(substring(text, 1, 60), '[^A-Za-z ]', '', 'g')) AS headline FROM documents"""
+  trim(regexp_replace(text, '[^A-Za-z ]', '', 'g')) AS headline FROM documents"""
 _INFORCE = f"""SELECT *, CASE WHEN len(found) = 0 THEN {_D} ELSE found END AS ds FROM (SELECT *, {_NAMES} AS found FROM (SELECT *, area || ' ' || headline AS txt FROM w))
   WHERE status = 'Actual' AND msg_type <> 'Cancel' AND ex <> 0 AND identifier NOT IN (SELECT old FROM w WHERE old IS NOT NULL)"""
 _TAGGED = """SELECT *, last_value(CASE WHEN action = 'created' THEN event_id END IGNORE NULLS) OVER (PARTITION BY g ORDER BY ts, event_id) AS report_id FROM (

@@ -70,10 +70,10 @@ def compass_to_nearest(spark, sf):
 
 
 def polygon_measures(spark, sf):
-    out = geo.polygon_measures(v.polygons(spark, sf).withColumn("rings", F.slice("rings", 1, 1)))
+    out = geo.polygon_measures(v.polygons(spark, sf))
     return out.select(
         "polygon_id", F.round("centroid_lon", 6).alias("centroid_lon"), F.round("centroid_lat", 6).alias("centroid_lat"),
-        (F.col("area_m2") >= 100).alias("large_enough"),
+        F.round("area_ha", 1).alias("area_ha"), (F.col("area_m2") >= 100).alias("large_enough"),
     )
 
 
@@ -183,9 +183,21 @@ QUERIES = {
         polygon_measures,
         v.sql(
             "side",
-            """SELECT polygon_id, round(sum((x1+x2)*(x1*y2-x2*y1))/(3e0*sum(x1*y2-x2*y1)), 6) AS centroid_lon,
-            round(sum((y1+y2)*(x1*y2-x2*y1))/(3e0*sum(x1*y2-x2*y1)), 6) AS centroid_lat, true AS large_enough
-            FROM side WHERE ring = 0 GROUP BY 1""",
+            """SELECT polygon_id, round(sum(sign(d)*role*cx)/(3e0*sum(role*abs(d))), 6) AS centroid_lon,
+            round(sum(sign(d)*role*cy)/(3e0*sum(role*abs(d))), 6) AS centroid_lat,
+            round(sum(role*abs(m))/20000e0, 1) AS area_ha, true AS large_enough
+            FROM (SELECT polygon_id, ring, CASE WHEN ring = 0 THEN 1 ELSE -1 END AS role, sum(x1*y2-x2*y1) AS d,
+              sum((x1+x2)*(x1*y2-x2*y1)) AS cx, sum((y1+y2)*(x1*y2-x2*y1)) AS cy, sum(e1*n2-e2*n1) AS m FROM metres GROUP BY 1,2)
+            GROUP BY 1""",
+            ends="SELECT polygon_id, ring, x1, y1, x2, y2, row_number() OVER () AS i FROM side",
+            angles="""SELECT i, w, radians(CASE WHEN w = 1 THEN y1 ELSE y2 END) AS phi, radians((CASE WHEN w = 1 THEN x1 ELSE x2 END) - 81) AS lam FROM ends, (VALUES (1),(2)) AS t(w)""",
+            conformal="""SELECT i, w, lam, atanh(sin(phi)) - k*atanh(sin(phi)*k) AS q FROM angles, (SELECT 2e0*sqrt(n)/(1+n) AS k FROM (SELECT 1e0/298.257223563e0/(2e0-1e0/298.257223563e0) AS n))""",
+            sphere="SELECT i, w, atan2(sinh(q), cos(lam)) AS xi, atanh(sin(lam)/sqrt(sinh(q)*sinh(q)+1e0)) AS eta FROM conformal",
+            flat="""SELECT i, w, 500000e0 + 0.9996e0*r*(eta + a1*cos(2*xi)*sinh(2*eta) + a2*cos(4*xi)*sinh(4*eta) + a3*cos(6*xi)*sinh(6*eta)) AS e,
+              0.9996e0*r*(xi + a1*sin(2*xi)*cosh(2*eta) + a2*sin(4*xi)*cosh(4*eta) + a3*sin(6*xi)*cosh(6*eta)) AS m
+              FROM sphere, (SELECT 6378137e0/(1+n)*(1+n*n/4+n*n*n*n/64) AS r, n/2-2*n*n/3+5*n*n*n/16 AS a1, 13*n*n/48-3*n*n*n/5 AS a2, 61*n*n*n/240 AS a3
+              FROM (SELECT 1e0/298.257223563e0/(2e0-1e0/298.257223563e0) AS n))""",
+            metres="SELECT ends.*, a.e AS e1, a.m AS n1, b.e AS e2, b.m AS n2 FROM ends JOIN flat a ON a.i = ends.i AND a.w = 1 JOIN flat b ON b.i = ends.i AND b.w = 2",
         ),
     ),
     "layer_bounds": (

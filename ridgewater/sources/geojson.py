@@ -22,8 +22,16 @@ def _rings(kind: Column, coordinates: Column) -> Column:
     )
 
 
+def _parts(kind: Column, coordinates: Column) -> Column:
+    """The part number of every ring."""
+    multi = F.from_json(coordinates, "array<array<array<array<double>>>>")
+    numbered = F.flatten(F.transform(multi, lambda polygon, i: F.transform(polygon, lambda ring: i)))
+    polygon = F.transform(F.from_json(coordinates, "array<array<array<double>>>"), lambda ring: F.lit(0))
+    return F.when(kind == "Polygon", polygon).when(kind == "MultiPolygon", numbered)
+
+
 def read_features(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Features of a layer: properties (map), geometry_type, coordinates (JSON text).
+    """Features of a layer: position (order in the files), properties (map), geometry_type, coordinates (JSON text).
 
     A file holds one FeatureCollection, Feature or bare geometry. With ``lines`` every line is one of these,
     which is the form to use for large layers: such files are split between tasks.
@@ -42,20 +50,24 @@ def read_features(spark: SparkSession, path: str, lines: bool = False) -> DataFr
         .otherwise(F.array(bare))
     )
     found = text.select(whole.alias("v")).select(F.explode(features).alias("f"))
+    found = found.withColumn("position", F.monotonically_increasing_id())
     return found.select(
+        "position",
         F.col("f.properties").alias("properties"), F.col("f.geometry.type").alias("geometry_type"),
         F.col("f.geometry.coordinates").alias("coordinates"),
     )
 
 
 def read_polygons(spark: SparkSession, path: str, id_property: str | None = None, lines: bool = False) -> DataFrame:
-    """Polygon features: polygon_id, properties, rings. Broken and non-polygon features are dropped.
+    """Polygon features: polygon_id, position, properties, rings and parts (the part of a multipolygon each ring is
+    in; the first ring of a part is its outline). Broken and non-polygon features are dropped.
 
     Without an id property the id is a hash of the geometry.
     """
     f = read_features(spark, path, lines)
     key = F.col("properties")[id_property].cast("long") if id_property else F.xxhash64("coordinates")
-    out = f.select(key.alias("polygon_id"), "properties", _rings(F.col("geometry_type"), F.col("coordinates")).alias("rings"))
+    geometry = F.col("geometry_type"), F.col("coordinates")
+    out = f.select(key.alias("polygon_id"), "position", "properties", _rings(*geometry).alias("rings"), _parts(*geometry).alias("parts"))
     sound = F.forall("rings", lambda r: (F.size(r) >= 3) & F.forall(r, lambda p: p.x.isNotNull() & p.y.isNotNull()))
     return out.filter(F.col("rings").isNotNull() & (F.size("rings") > 0) & sound)
 
@@ -69,12 +81,12 @@ def read_hazard_polygons(spark: SparkSession, path: str, class_property: str = "
 
 
 def read_watersheds(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Catchments with areas; the first feature of an id is kept (by text order of its properties)."""
+    """Catchments with areas; the first feature of an id in the file is kept."""
     out = read_polygons(spark, path, "HYBAS_ID", lines).select(
         "polygon_id", F.col("properties")["UP_AREA"].try_cast("double").alias("up_area_km2"),
-        F.col("properties")["SUB_AREA"].try_cast("double").alias("sub_area_km2"), "rings",
+        F.col("properties")["SUB_AREA"].try_cast("double").alias("sub_area_km2"), "rings", "parts", "position",
     )
-    return first_per_group(out, ["polygon_id"], [F.col("up_area_km2"), F.xxhash64(F.to_json("rings"))])
+    return first_per_group(out, ["polygon_id"], [F.col("position")]).drop("position")
 
 
 def read_districts(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
@@ -106,17 +118,25 @@ EXPORTABLE = ("hazard_zones", "watersheds", "districts", "localities", "shelters
 def feature_lines(layer: DataFrame, properties: list[str], simplify: float = 0.0) -> DataFrame:
     """One GeoJSON Feature per row as text column ``value``; polygon rings, lines (x1..y2) or points (lat, lon)."""
     if "rings" in layer.columns:
-        geometry = F.struct(
-            F.lit("Polygon").alias("type"),
-            F.transform("rings", lambda r: _coordinates(r, simplify)).alias("coordinates"),
-        )
+        part = F.col("parts") if "parts" in layer.columns else F.transform("rings", lambda r: F.lit(0))
+        closed = F.transform("rings", lambda r: _coordinates(r, simplify))
+        numbered = F.zip_with(closed, part, lambda r, p: F.struct(r.alias("ring"), p.alias("part")))
+        of_part = lambda p: F.transform(F.filter(numbered, lambda n: n["part"] == p), lambda n: n["ring"])
+        polygons = F.transform(F.array_distinct(part), of_part)
+        # A polygon's coordinates are one level less deep than a multipolygon's, so they are put in as text.
+        one = F.concat(F.lit('{"type":"Polygon","coordinates":'), F.to_json(F.get(polygons, F.lit(0))), F.lit("}"))
+        many = F.concat(F.lit('{"type":"MultiPolygon","coordinates":'), F.to_json(polygons), F.lit("}"))
+        geometry = F.when(F.size(polygons) > 1, many).otherwise(one)
     elif "x1" in layer.columns:
         ends = F.array(F.array("x1", "y1"), F.array("x2", "y2"))
         geometry = F.struct(F.lit("LineString").alias("type"), ends.alias("coordinates"))
     else:
         geometry = F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates"))
     props = F.struct(*properties) if properties else F.struct(F.lit(None).cast("string").alias("none"))
-    return layer.select(F.to_json(F.struct(F.lit("Feature").alias("type"), props.alias("properties"), geometry.alias("geometry"))).alias("value"))
+    if "rings" not in layer.columns:
+        geometry = F.to_json(geometry)
+    value = F.concat(F.lit('{"type":"Feature","properties":'), F.to_json(props), F.lit(',"geometry":'), geometry, F.lit("}"))
+    return layer.select(value.alias("value"))
 
 
 def write_layer(layer: DataFrame, table: str, properties: list[str], path: str, simplify: float = 0.0) -> None:

@@ -98,10 +98,10 @@ def test_trust_rule(spark):
 
 
 def test_cooldown_counts_from_last_sent(spark):
-    times = [0, 1, 5.9, 6, 11.9, 12, 30]
+    times = [0, 1, 5.9, 6, 11.9, 12, 18 - 1 / 3600, 18 + 1 / 3600, 30]
     rows = [("z", dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)) for h in times]
     got = rp.cooldown(spark.createDataFrame(rows, "zone string, ts timestamp"), ["zone"])
-    assert sorted((r.ts - dt.datetime(2024, 1, 1)).total_seconds() / 3600 for r in got.collect()) == [0, 6, 12, 30]
+    assert sorted((r.ts - dt.datetime(2024, 1, 1)).total_seconds() / 3600 for r in got.collect()) == [0, 6, 12, 18 + 1 / 3600, 30]
 
 
 def test_sql_functions(spark):
