@@ -76,6 +76,8 @@ def with_next(df: DataFrame, id_col: str, carried: list[str]) -> DataFrame:
 
     def ranged(rows: DataFrame, column: str) -> DataFrame:
         rows = rows.withColumn("__at", F.col(column).cast("double"))
+        if not cuts:
+            return rows.withColumn("__range", F.when(F.col("__at").isNull(), -1.0).otherwise(0.0)).drop("__at")
         rows = Bucketizer(splits=edges, inputCol="__at", outputCol="__range", handleInvalid="keep").transform(rows)
         return rows.withColumn("__range", F.when(F.col("__at").isNull(), -1.0).otherwise(F.col("__range"))).drop("__at")
 
