@@ -128,6 +128,11 @@ def utm44(lat: Column, lon: Column) -> tuple[Column, Column]:
     return east * (k0 * radius) + 500000.0, north * (k0 * radius)
 
 
+def midpoint(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> tuple[Column, Column]:
+    """(lat, lon) halfway along a short straight edge."""
+    return (lat1 + lat2) / 2.0, (lon1 + lon2) / 2.0
+
+
 def lon_scale(lat: Column) -> Column:
     """How much shorter a degree of longitude is than one of latitude."""
     return F.cos(F.radians(lat))

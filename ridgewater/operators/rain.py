@@ -253,3 +253,8 @@ def district_days(hourly: DataFrame, windows: dict[str, int] = FLOOD_WINDOWS) ->
 def in_season(day: Column, first: int = 601, last: int = 930) -> Column:
     """Month-day compare; the default season is 1 June to 30 September."""
     return (F.month(day) * 100 + F.dayofmonth(day)).between(first, last)
+
+
+def has_full_history(day: Column) -> Column:
+    """Days of the season with seven full days of record before them: 4 June to 30 September."""
+    return F.date_format(day, "MM-dd").between("06-04", "09-30")

@@ -8,6 +8,7 @@ FAMILIES = [
     "calibrate_plans",
     "export_plans",
     "feed_plans",
+    "layer_plans",
     "model_plans",
     "rain_plans",
     "raster_plans",

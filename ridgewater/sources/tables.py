@@ -83,22 +83,23 @@ def read_inventory(spark: SparkSession, path: str, codes: DataFrame) -> DataFram
 def read_rain_records(spark: SparkSession, path: str) -> DataFrame:
     """A folder of point-year records: district, lat, lon, year, start, precipitation_mm (array)."""
     schema = "district string, lat double, lon double, year int, start string, precipitation_mm array<double>"
-    return spark.read.schema(schema).json(path, multiLine=True)
+    return spark.read.schema(schema).json(path, multiLine=not lines)
 
 
-def read_shelters(spark: SparkSession, path: str) -> DataFrame:
+def read_shelters(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Shelters of one JSON list per file or, with ``lines``, of one object per line, which is split between tasks."""
     schema = "id string, name string, kind string, amenity string, lat double, lon double"
-    raw = spark.read.schema(schema).json(path, multiLine=True)
+    raw = spark.read.schema(schema).json(path, multiLine=not lines)
     return raw.select(
         F.col("id").alias("target_id"), "name", "kind", F.coalesce("amenity", "kind").alias("category"),
         (F.col("kind") == "shelter").alias("is_evacuation_target"), "lat", "lon",
     )
 
 
-def read_soil(spark: SparkSession, path: str) -> DataFrame:
-    """Soil samples with a usable group."""
+def read_soil(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Soil samples with a usable group; ``lines`` as for shelters."""
     schema = "lat double, lon double, soil struct<sand:double,clay:double,silt:double,hydrologic_soil_group:string>"
-    raw = spark.read.schema(schema).json(path, multiLine=True)
+    raw = spark.read.schema(schema).json(path, multiLine=not lines)
     return raw.select(
         "lat", "lon", F.col("soil.sand").alias("sand_pct"), F.col("soil.clay").alias("clay_pct"), F.col("soil.silt").alias("silt_pct"),
         F.col("soil.hydrologic_soil_group").alias("hsg"),
