@@ -101,7 +101,7 @@ def layers_read_back(spark, sf):
     path = new_table_path(spark, "shelters")
     shelters.write.json(path)
     read = tb.read_shelters(spark, path, lines=True)
-    group = F.element_at(F.array(*[F.lit(g) for g in "ABCD"]), F.when(F.col("p_partkey") % 5 > 0, (F.col("p_partkey") % 4 + 1).cast("int")))
+    group = F.when(F.col("p_partkey") % 5 > 0, F.element_at(F.array(*[F.lit(g) for g in "ABCD"]), (F.col("p_partkey") % 4 + 1).cast("int")))
     soil = F.struct(F.col("p_size").cast("double").alias("sand"), F.lit(20.0).alias("clay"), F.lit(30.0).alias("silt"), group.alias("hydrologic_soil_group"))
     path = new_table_path(spark, "soil")
     v.table(spark, sf, "part").select(F.lit(30.0).alias("lat"), F.lit(79.0).alias("lon"), soil.alias("soil")).write.json(path)
