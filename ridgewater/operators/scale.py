@@ -162,18 +162,24 @@ def exact_quantiles(
     )
 
 
-def global_positions(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
-    """Adds the place of every row in the given order, from 0, without one task seeing all rows.
+def ordered_totals(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Adds running totals over all rows in the given order, without one task seeing all rows.
 
-    The rows are sorted into ranges; each range is numbered alone and receives the count of those before it.
+    The rows are sorted into ranges; each range is summed alone and receives the totals of those before it.
     """
-    df = stage(df.orderBy(*order).withColumn("_range", F.spark_partition_id()), "sorted")
+    df = stage(df.orderBy(*order).select("*", F.spark_partition_id().alias("_range"), *[c.alias(f"_in_{n}") for n, c in sums.items()]), "sorted")
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = df.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    out = df.withColumn("_place", inside).join(counts, "_range")
-    return out.withColumn(name, F.col("_place") - 1 + F.col("_offset")).drop("_range", "_place", "_offset")
+    ranges = df.groupBy("_range").agg(*[F.sum(f"_in_{n}").alias(f"_t_{n}") for n in sums])
+    ranges = ranges.select("_range", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums])
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = df.select("*", *[F.sum(f"_in_{n}").over(inside).alias(f"_r_{n}") for n in sums]).join(ranges, "_range")
+    kept = [c for c in df.columns if c != "_range" and not c.startswith("_in_")]
+    return out.select(*kept, *[(F.col(f"_r_{n}") + F.col(f"_o_{n}")).alias(n) for n in sums])
+
+
+def global_positions(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
+    """Adds the place of every row in the given order, from 0."""
+    return ordered_totals(df, order, {name: F.lit(1)}).withColumn(name, F.col(name) - 1)
 
 
 def first_per_group(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -245,8 +245,12 @@ def reconcile_layers(spark, sf):
     return ql.reconcile(left, right, "target_id", ["lat", "lon", "kind"], info_only=("kind",)).select("target_id", "field", "info_only")
 
 
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
+          "pages", "benchmark", "labels", "conversations"]
+
+
 def layer_health(spark, sf):
-    names = ["customer", "supplier", "nation", "part", "events", "documents"]
+    names = TABLES
     return ql.layer_counts({n: v.table(spark, sf, n) for n in names})
 
 
@@ -461,7 +465,7 @@ QUERIES = {
     ),
     "layer_health": (
         layer_health,
-        " UNION ALL ".join(f"SELECT '{n}' AS layer, count(*) AS n_rows FROM {n}" for n in ("customer", "supplier", "nation", "part", "events", "documents")),
+        " UNION ALL ".join(f"SELECT '{n}' AS layer, count(*) AS n_rows FROM {n}" for n in TABLES),
     ),
     "fetch_plan": (
         fetch_plan,

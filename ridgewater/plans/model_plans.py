@@ -122,7 +122,15 @@ QUERIES = {
     "model_stability": (model_stability, None),
     "model_ablation": (model_ablation, None),
     "bootstrap_ci": (bootstrap_ci, None),
-    "fold_assignment": (fold_assignment, None),
+    "fold_assignment": (
+        fold_assignment,
+        v.sql(
+            "case_day",
+            """SELECT fold, sum(n)::BIGINT AS n, count(*) AS n_districts FROM (SELECT n,
+            (CASE WHEN (i // 5) % 2 = 1 THEN 4 - i % 5 ELSE i % 5 END)::INT AS fold FROM (SELECT n, row_number() OVER (ORDER BY n DESC, district) - 1 AS i
+            FROM (SELECT district, count(*) AS n FROM case_day GROUP BY 1))) GROUP BY 1""",
+        ),
+    ),
     "year_folds": (
         year_folds,
         v.sql(

@@ -54,10 +54,10 @@ def stream_rate_limit(spark, sf):
 
 def stream_send_quota(spark, sf):
     requests = _stream(spark, sf).filter("event_type = 'purchase'").select(
-        F.lit("gateway-1").alias("gateway"), F.col("event_id").alias("request_id"), "ts",
+        F.concat(F.lit("gateway-"), F.col("user_id") % 16).alias("gateway"), F.col("event_id").alias("request_id"), "ts",
         F.array(F.col("user_id").cast("string"), ((F.col("user_id") * 7) % 50).cast("string")).alias("recipients"),
     )
-    out = feeds.run_to_table(state.send_quota(requests, daily=40), "quota", state_store=True)
+    out = feeds.run_to_table(state.send_quota(requests, daily=6), "quota", state_store=True)
     return out.groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
 
 

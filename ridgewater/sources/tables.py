@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgewater.functions.text import cause_class
-from ridgewater.operators.scale import first_per_group
+from ridgewater.operators.scale import first_per_group, ordered_totals
 
 # Column names of the catalogue in its two layouts, and the columns it cannot do without.
 CATALOGUE_COLUMNS = {
@@ -214,15 +214,14 @@ def read_thresholds(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("point_id", F.explode("thresholds_mm").alias("window_name", "_t")).select("point_id", "window_name", "_t.watch", "_t.critical")
 
 
-def fetch_plan(points: DataFrame, years: list[int], landed: DataFrame, cost: float, budget: float) -> DataFrame:
+def fetch_plan(points: DataFrame, years: list[int], landed: DataFrame, cost: float | Column, budget: float) -> DataFrame:
     """Point-years still to fetch within a call budget, newest year first: point_id, year, spent.
 
-    Years are added to each point in place; the running cost is a position times a fixed cost, so only the
-    rows that fit are ranked (a top-k, not a global sort).
+    ``cost`` is one number or a column of ``points``. The running cost is summed over ranges of the order, so no
+    task sees all rows.
     """
-    wanted = points.select("point_id", F.explode(F.array(*[F.lit(y) for y in years])).alias("year"))
+    price = cost if isinstance(cost, Column) else F.lit(float(cost))
+    wanted = points.select("point_id", price.alias("_cost"), F.explode(F.array(*[F.lit(y) for y in years])).alias("year"))
     todo = wanted.join(landed.select("point_id", "year"), ["point_id", "year"], "left_anti")
-    fit = int(budget // cost)
-    first = todo.orderBy(F.desc("year"), "point_id").limit(fit)
-    w = Window.orderBy(F.desc("year"), "point_id")
-    return first.withColumn("spent", F.row_number().over(w) * F.lit(float(cost)))
+    spent = ordered_totals(todo, [F.desc("year"), F.asc("point_id")], {"spent": F.col("_cost")})
+    return spent.filter(F.col("spent") <= budget).select("point_id", "year", "spent")

@@ -130,7 +130,10 @@ class RateLimit(StatefulProcessor):
 
 
 class SendQuota(StatefulProcessor):
-    """Whole requests against a per-recipient cap and a daily total of the sending gateway.
+    """Whole requests against a per-recipient cap and a daily total, both counted per sending gateway.
+
+    A gateway's requests depend on each other through its daily total and are taken in order by one task; the load is
+    spread over as many gateways as send.
 
     A request is sent to all its recipients or to none; only sent messages count.
     """
