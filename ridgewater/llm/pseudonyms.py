@@ -35,6 +35,11 @@ KINDS = {
 ANY = "|".join(KINDS.values())
 
 
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is computed a single time however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _stream(key: str, kind: str, size: Column, number: Column, other: Column, bits: int = 512) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), size.cast("string"), number.cast("string"), other.cast("string")), bits)
 
@@ -42,8 +47,8 @@ def _stream(key: str, kind: str, size: Column, number: Column, other: Column, bi
 def _shifted(text: Column, stream: Column, sign: int) -> Column:
     """Every digit and letter moved along its own alphabet by four hex digits of the stream; others stay."""
 
-    def move(c: Column, i: Column) -> Column:
-        by = F.conv(stream.substr(F.pmod(i, F.lit(32)) * 4 + 1, F.lit(4)), 16, 10).cast("int") * sign
+    def move(c: Column, i: Column, bits: Column) -> Column:
+        by = F.conv(bits.substr(F.pmod(i, F.lit(32)) * 4 + 1, F.lit(4)), 16, 10).cast("int") * sign
 
         def within(first: str, radix: int) -> Column:
             return F.char(F.pmod(F.ascii(c) - ord(first) + by, F.lit(radix)) + ord(first))
@@ -55,7 +60,8 @@ def _shifted(text: Column, stream: Column, sign: int) -> Column:
             .otherwise(c)
         )
 
-    return F.array_join(F.transform(F.array_remove(F.split(text, ""), ""), move), "")
+    places = F.array_remove(F.split(text, ""), "")
+    return _once(stream, lambda bits: F.array_join(F.transform(places, lambda c, i: move(c, i, bits)), ""))
 
 
 def permute_text(text: Column, key: str, kind: str, back: bool = False) -> Column:
@@ -104,8 +110,8 @@ def _refilled(value: Column, digits: Column) -> Column:
     count = F.length(_digits(value))
     places = F.array_remove(F.split(value, ""), "")
     at = lambda i: F.length(_digits(value.substr(F.lit(1), i + 1)))
-    filled = F.transform(places, lambda c, i: F.when(c.between("0", "9"), digits.substr(at(i), F.lit(1))).otherwise(c))
-    return F.when(count > 0, F.array_join(filled, "")).otherwise(value)
+    fill = lambda d: F.transform(places, lambda c, i: F.when(c.between("0", "9"), d.substr(at(i), F.lit(1))).otherwise(c))
+    return F.when(count > 0, _once(digits, lambda d: F.array_join(fill(d), ""))).otherwise(value)
 
 
 def _luhn(digits: Column, doubled_last: bool) -> Column:
@@ -125,13 +131,14 @@ def is_card(value: Column) -> Column:
 
 
 def _number(value: Column, key: str, back: bool) -> Column:
-    digits = _digits(value)
-    body = permute_text(digits.substr(F.lit(1), F.length(digits) - 1), key, "card", back)
-    check = F.pmod(F.lit(10) - F.pmod(_luhn(body, True), F.lit(10)), F.lit(10)).cast("string")
-    # The last digit's distance from the right check digit is kept: 0 for cards, and other numbers never become cards.
-    own = _luhn(digits.substr(F.lit(1), F.length(digits) - 1), True) + digits.substr(F.length(digits), F.lit(1)).cast("int")
-    last = F.pmod(check.cast("int") + F.pmod(own, F.lit(10)), F.lit(10)).cast("string")
-    return _refilled(value, F.concat(body, last))
+    def made(digits: Column) -> Column:
+        # The last digit's distance from the right check digit is kept: 0 for cards, and other numbers never become cards.
+        front = digits.substr(F.lit(1), F.length(digits) - 1)
+        apart = _luhn(front, True) + digits.substr(F.length(digits), F.lit(1)).cast("int")
+        closed = lambda body: F.concat(body, F.pmod(apart - _luhn(body, True), F.lit(10)).cast("string"))
+        return _once(permute_text(front, key, "card", back), closed)
+
+    return _refilled(value, _once(_digits(value), made))
 
 
 def _phone(value: Column, key: str, back: bool) -> Column:
@@ -145,9 +152,9 @@ def _ip(value: Column, key: str, back: bool) -> Column:
     octets = F.transform(F.split(value, r"\."), lambda x: x.cast("long"))
     right = F.forall(octets, lambda x: x <= 255) & ~value.rlike(r"(?:^|\.)0[0-9]")
     address = F.aggregate(octets, F.lit(0).cast("long"), lambda a, x: a * 256 + x)
-    made = permute_number(address, 65_536, 65_536, key, "ip", back)
-    parts = F.transform(F.array(*[F.lit(s) for s in (16_777_216, 65_536, 256, 1)]), lambda s: F.pmod(F.floor(made / s), F.lit(256)).cast("string"))
-    return F.when(right, F.array_join(parts, "."))
+    places = F.array(*[F.lit(s) for s in (16_777_216, 65_536, 256, 1)])
+    parts = lambda made: F.transform(places, lambda s: F.pmod(F.floor(made / s), F.lit(256)).cast("string"))
+    return F.when(right, _once(permute_number(address, 65_536, 65_536, key, "ip", back), lambda made: F.array_join(parts(made), ".")))
 
 
 def _date(value: Column, key: str, back: bool) -> Column:
@@ -162,19 +169,24 @@ def _date(value: Column, key: str, back: bool) -> Column:
     day_first = day_of(parts[2], parts[1], parts[0])
     as_day_first = ~first_is_year & day_first.isNotNull()
     day = F.when(first_is_year, day_of(parts[0], parts[1], parts[2])).otherwise(F.coalesce(day_first, day_of(parts[2], parts[0], parts[1])))
-    cycle = F.floor(day / CYCLE)
-    made = permute_number(F.pmod(day, F.lit(CYCLE)), _LEFT_DAYS, _RIGHT_DAYS, key, "date", back) + cycle * CYCLE
-    moved = F.date_add(F.lit("1700-01-01").cast("date"), made.cast("int"))
-    year = F.lpad(F.year(moved).cast("string"), 4, "0")
-    month, dom = F.lpad(F.month(moved).cast("string"), 2, "0"), F.lpad(F.dayofmonth(moved).cast("string"), 2, "0")
     one, two = marks.substr(1, 1), marks.substr(2, 1)
-    # A month-first date whose day could be read as a month would be read day-first later, so such dates come day-first.
-    return F.when(
-        day.isNotNull() & F.year(moved).between(1, 9999),
-        F.when(first_is_year, F.concat(year, one, month, two, dom))
-        .when(as_day_first | (F.dayofmonth(moved) <= 12), F.concat(dom, one, month, two, year))
-        .otherwise(F.concat(month, one, dom, two, year)),
-    )
+
+    def shown(moved: Column) -> Column:
+        year = F.lpad(F.year(moved).cast("string"), 4, "0")
+        month, dom = F.lpad(F.month(moved).cast("string"), 2, "0"), F.lpad(F.dayofmonth(moved).cast("string"), 2, "0")
+        # A month-first date whose day could be read as a month would be read day-first later, so such dates come day-first.
+        return F.when(
+            F.year(moved).between(1, 9999),
+            F.when(first_is_year, F.concat(year, one, month, two, dom))
+            .when(as_day_first | (F.dayofmonth(moved) <= 12), F.concat(dom, one, month, two, year))
+            .otherwise(F.concat(month, one, dom, two, year)),
+        )
+
+    def permuted(day: Column) -> Column:
+        made = permute_number(F.pmod(day, F.lit(CYCLE)), _LEFT_DAYS, _RIGHT_DAYS, key, "date", back)
+        return F.date_add(F.lit("1700-01-01").cast("date"), (made + F.floor(day / CYCLE) * CYCLE).cast("int"))
+
+    return _once(day, lambda d: F.when(d.isNotNull(), _once(permuted(d), shown)))
 
 
 def _email(value: Column, key: str, back: bool) -> Column:
@@ -206,7 +218,9 @@ def pseudonymised(docs: DataFrame, key: str, text_col: str = "text", back: bool
     these names are replaced). With ``back`` the pseudonyms are turned into the values again."""
     counts = ["n_email", "n_phone", "n_date", "n_ip", "n_card", "n_number"]
     kept = [c for c in docs.columns if c not in counts]
-    found = docs.select(*kept, F.regexp_extract_all(text_col, F.lit(ANY), F.lit(0)).alias("__found"))
+    # Every value has a digit or an at sign; other texts are passed over by one search.
+    any_value = F.when(F.col(text_col).rlike("[0-9@]"), F.regexp_extract_all(text_col, F.lit(ANY), F.lit(0)))
+    found = docs.select(*kept, F.coalesce(any_value, F.array().cast("array<string>")).alias("__found"))
     kinds = F.transform("__found", lambda v: F.struct(v.alias("value"), _kind(v).alias("kind")))
     found = found.select(*kept, kinds.alias("__kinds"))
     made = F.transform("__kinds", lambda v: F.struct(v["value"].alias("value"), v["kind"].alias("kind"), pseudonym(v["value"], v["kind"], key, back).alias("made")))
