@@ -7,6 +7,9 @@ home meet in one group, so each occurrence of a repeated passage is met by all o
 piece. Groups are bounded: a home with many occurrences is dealt out by its anchors, and an anchor with many
 occurrences by the hashes of the passages around it, which are counted by an ordinary aggregation.
 
+In periodic text every place is an anchor; places of one anchor so near that the passages around them overlap are one
+stretch, kept as its first and last place, so repetition inside a document adds no rows.
+
 Ids identify documents: rows that repeat an id and its text are one document and get the same answer. A null id is a
 document of its own that comes before all others.
 """
@@ -23,8 +26,9 @@ from pyspark.sql import functions as F
 from ridgewater.llm.words import byte_windows, buffers, row_chunks, word_windows, words_of
 from ridgewater.session import stage
 
-# An anchor with more occurrences is dealt out by passages, a home with more by anchors.
-HOT_ANCHOR = 5_000
+# What one group may hold: places of anchors, each of which brings at most two passages of text. An anchor found at more
+# places is dealt out by passages, a home with more by its anchors.
+HOT_ANCHOR = 20_000
 HOT_HOME = 20_000
 NULL_ID = -(2**63)
 
@@ -101,27 +105,36 @@ def _occurrences(docs: DataFrame, symbols: Symbols) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), 500):
                 few = batch.slice(at, 500)
-                anchors, ids, places = [], [], []
+                anchors, ids, places, lasts, counts = [], [], [], [], []
                 for doc, (grams, _, _) in zip(few.column(0).to_pylist(), symbols.texts(few.column(1))):
                     place = anchor_places(grams, width)
-                    anchors.append(grams[place])
-                    places.append(place)
-                    ids.append(np.full(len(place), doc, np.int64))
+                    own = grams[place]
+                    order = np.lexsort((place, own))
+                    place, own = place[order], own[order]
+                    begins = np.ones(len(place), bool)
+                    begins[1:] = (own[1:] != own[:-1]) | (place[1:] - place[:-1] > symbols.length)
+                    heads = np.flatnonzero(begins)
+                    tails = np.append(heads[1:], len(place))[: len(heads)] - 1
+                    anchors.append(own[heads])
+                    places.append(place[heads])
+                    lasts.append(place[tails])
+                    counts.append(tails - heads + 1)
+                    ids.append(np.full(len(heads), doc, np.int64))
                 if anchors:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(anchors).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(places).astype(np.int32))],
-                        ["anchor", "doc", "place"],
-                    )
+                    columns = [np.concatenate(anchors).view(np.int64), np.concatenate(ids)]
+                    columns += [np.concatenate(c).astype(np.int32) for c in (places, lasts, counts)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "doc", "place", "last", "n"])
 
-    return docs.mapInArrow(find, "anchor long, doc long, place int")
+    return docs.mapInArrow(find, "anchor long, doc long, place int, last int, n int")
 
 
-def _merged(places: np.ndarray, before: int, after: int, size: int) -> Iterator[tuple[int, int]]:
-    """The union of [place - before, place + after) within [0, size), as ranges."""
-    places = np.sort(places)
-    breaks = np.flatnonzero(places[1:] - before > places[:-1] + after) + 1
-    for group in np.split(places, breaks):
-        yield max(0, int(group[0]) - before), min(size, int(group[-1]) + after)
+def _merged(places: np.ndarray, lasts: np.ndarray, before: int, after: int, size: int) -> Iterator[tuple[int, int]]:
+    """The union of [place - before, last + after) within [0, size), as ranges."""
+    order = np.argsort(places, kind="stable")
+    places, lasts = places[order], np.maximum.accumulate(lasts[order])
+    heads = np.append(0, np.flatnonzero(places[1:] - before > lasts[:-1] + after) + 1)
+    for head, tail in zip(heads, np.append(heads[1:], len(places)) - 1):
+        yield max(0, int(places[head]) - before), min(size, int(lasts[tail]) + after)
 
 
 def covered(docs: DataFrame, symbols: Symbols, judge: Callable[[DataFrame], DataFrame], keep_first: bool) -> DataFrame:
@@ -134,13 +147,14 @@ def covered(docs: DataFrame, symbols: Symbols, judge: Callable[[DataFrame], Data
     length, k = symbols.length, symbols.k
     # One exchange serves the counting and the join back.
     found = _occurrences(docs, symbols).repartition(parts, "anchor")
-    known = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("home")).filter("n > 1")
-    spots = stage(found.join(known, "anchor").select("doc", "place", "anchor", "n", "home"), "spots")
+    known = found.groupBy("anchor").agg(F.sum("n").alias("times"), F.count(F.lit(1)).alias("places"), F.min("doc").alias("home"))
+    known = known.filter("times > 1")
+    spots = stage(found.join(known, "anchor").select("doc", "place", "last", "anchor", "places", "home"), "spots")
 
-    calm, hot = spots.filter(F.col("n") <= HOT_ANCHOR), spots.filter(F.col("n") > HOT_ANCHOR)
+    calm, hot = spots.filter(F.col("places") <= HOT_ANCHOR), spots.filter(F.col("places") > HOT_ANCHOR)
     crowded = calm.groupBy("home").agg(F.count(F.lit(1)).alias("own")).filter(F.col("own") > HOT_HOME).select("home", F.lit(1).alias("kind"))
-    keyed = calm.join(crowded, "home", "left").select("doc", "place", F.coalesce("kind", F.lit(0)).alias("kind"), F.when(F.col("kind") == 1, F.col("anchor")).otherwise(F.col("home")).alias("key"))
-    keyed = keyed.groupBy("doc").agg(F.collect_list(F.struct("kind", "key", "place")).alias("spots"))
+    keyed = calm.join(crowded, "home", "left").select("doc", "place", "last", F.coalesce("kind", F.lit(0)).alias("kind"), F.when(F.col("kind") == 1, F.col("anchor")).otherwise(F.col("home")).alias("key"))
+    keyed = keyed.groupBy("doc").agg(F.collect_list(F.struct("kind", "key", "place", "last")).alias("spots"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,12 +162,12 @@ def covered(docs: DataFrame, symbols: Symbols, judge: Callable[[DataFrame], Data
                 few = batch.slice(at, 100)
                 rows = []
                 for doc, own, (_, text, size) in zip(few.column(0).to_pylist(), few.column(2), symbols.texts(few.column(1))):
-                    kinds, keys, places = [np.asarray(c) for c in own.values.flatten()]
+                    kinds, keys, places, lasts = [np.asarray(c) for c in own.values.flatten()]
                     order = np.lexsort((keys, kinds))
-                    kinds, keys, places = kinds[order], keys[order], places[order]
+                    kinds, keys, places, lasts = kinds[order], keys[order], places[order], lasts[order]
                     edges = np.flatnonzero((keys[1:] != keys[:-1]) | (kinds[1:] != kinds[:-1])) + 1
                     for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(keys)]):
-                        for start, stop in _merged(places[a:b], length - k, length, size):
+                        for start, stop in _merged(places[a:b], lasts[a:b], length - k, length, size):
                             rows.append((int(kinds[a]), int(keys[a]), doc, start, text.run(start, stop)))
                 kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 names = ["kind", "key", "doc", "start", "run"]
@@ -172,8 +186,8 @@ def covered(docs: DataFrame, symbols: Symbols, judge: Callable[[DataFrame], Data
                 hashes, ids, starts = [], [], []
                 for doc, own, (_, text, _) in zip(few.column(0).to_pylist(), few.column(2), symbols.texts(few.column(1))):
                     every = text.passages(length)
-                    own = np.unique(np.asarray(own.values)[:, None] - np.arange(length - k + 1)[None, :])
-                    own = own[(own >= 0) & (own < len(every))]
+                    spans = _merged(*[np.asarray(c) for c in own.values.flatten()], length - k, 1, len(every))
+                    own = np.concatenate([np.arange(a, b) for a, b in spans if a < b] or [np.zeros(0, np.int64)])
                     hashes.append(every[own])
                     starts.append(own)
                     ids.append(np.full(len(own), doc, np.int64))
@@ -182,7 +196,7 @@ def covered(docs: DataFrame, symbols: Symbols, judge: Callable[[DataFrame], Data
                     ["passage", "doc", "start"],
                 )
 
-    places = hot.groupBy("doc").agg(F.collect_list("place").alias("places"))
+    places = hot.groupBy("doc").agg(F.collect_list(F.struct("place", "last")).alias("places"))
     passages = docs.join(places, "doc").select("doc", "text", "places").mapInArrow(around, "passage long, doc long, start long")
     passages = stage(passages.distinct() if not keep_first else passages, "passages")
     first = passages.groupBy("passage").agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
