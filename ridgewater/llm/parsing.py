@@ -30,18 +30,42 @@ EVERY = 64
 BLOCK = 1 << 20
 
 
-def _doubled(ranks: np.ndarray, rest: np.ndarray, longest: int) -> np.ndarray:
-    """Ranks of the first ``longest`` symbols from every place; ``rest`` is how many symbols belong to it."""
-    have = 1
-    places = np.arange(len(ranks))
-    while have < longest:
-        inside = rest > have
-        second = np.zeros(len(ranks), np.int64)
-        second[inside] = ranks[places[inside] + have]
-        _, ranks = np.unique(ranks * (int(ranks.max(initial=0)) + 2) + second, return_inverse=True)
-        ranks = ranks.astype(np.int64) + 1
+def _doubled(symbols: np.ndarray, rest: np.ndarray, longest: int) -> np.ndarray:
+    """Ranks of the first ``longest`` symbols (from 1 on) from every place; ``rest`` is how many belong to it.
+
+    The first sort takes as many symbols as fit a word. Doubling then goes on only for places that still share their
+    rank with another one and have symbols left.
+    """
+    n = len(symbols)
+    bits = max(1, int(symbols.max(initial=0)).bit_length())
+    have = 63 // bits
+    key = np.zeros(n, np.int64)
+    for i in range(have):
+        key <<= bits
+        inside = np.flatnonzero(rest > i)
+        key[inside] |= symbols[inside + i]
+    ranks = np.zeros(n, np.int64)
+    active = np.arange(n)
+    while True:
+        order = np.argsort(key, kind="stable")
+        sorted_key, active = key[order], active[order]
+        head = np.ones(len(active), bool)
+        head[1:] = sorted_key[1:] != sorted_key[:-1]
+        own = np.flatnonzero(head)
+        first = np.repeat(own, np.diff(np.append(own, len(active))))
+        # A rank is one more than the number of places before it; within an old rank it moves up by those before it there.
+        old = ranks[active]
+        group = np.ones(len(active), bool)
+        group[1:] = old[1:] != old[:-1]
+        begun = np.maximum.accumulate(np.where(group, np.arange(len(active)), 0))
+        ranks[active] = np.maximum(old, 1) + first - begun
+        single = head & np.append(head[1:], True)
+        active = active[~single]
+        active = active[rest[active] > have]
+        if have >= longest or not len(active):
+            return ranks
+        key = ranks[active] * (n + 2) + ranks[active + have]
         have *= 2
-    return ranks
 
 
 def corpus_order(data: np.ndarray, bounds: np.ndarray, length: int) -> np.ndarray:
@@ -73,7 +97,7 @@ def corpus_order(data: np.ndarray, bounds: np.ndarray, length: int) -> np.ndarra
     begins = np.concatenate([[0], np.cumsum(lengths)])
     at = np.repeat(first[chosen] - begins[:-1], lengths) + np.arange(begins[-1])
     rest = np.repeat(begins[1:], lengths) - np.arange(begins[-1])
-    suffix = _doubled(data[at].astype(np.int64) + 1, rest, min(int(lengths.max()), 1 << (length - 1).bit_length()))
+    suffix = _doubled(data[at].astype(np.int64) + 1, rest, length)
     # The parse: phrases by their rank, each segment on its own.
     ranked = suffix[begins[:-1]][phrase]
     segment = np.searchsorted(bounds, first, side="right") - 1
