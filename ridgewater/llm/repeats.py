@@ -173,7 +173,8 @@ def covered(docs: DataFrame, symbols: Symbols, judge: Callable[[DataFrame], Data
                 names = ["kind", "key", "doc", "start", "run"]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
 
-    runs = docs.join(keyed, "doc").select("doc", "text", "spots").mapInArrow(cut, "kind int, key long, doc long, start long, run binary")
+    # Joins with texts are shuffled at every size, so that what a small run shows holds for a large one.
+    runs = docs.join(keyed.hint("merge"), "doc").select("doc", "text", "spots").mapInArrow(cut, "kind int, key long, doc long, start long, run binary")
     runs = runs.repartition(parts, "kind", "key").sortWithinPartitions("kind", "key", "doc", "start")
     ranges = judge(runs)
     if hot.isEmpty():
@@ -197,7 +198,7 @@ def covered(docs: DataFrame, symbols: Symbols, judge: Callable[[DataFrame], Data
                 )
 
     places = hot.groupBy("doc").agg(F.collect_list(F.struct("place", "last")).alias("places"))
-    passages = docs.join(places, "doc").select("doc", "text", "places").mapInArrow(around, "passage long, doc long, start long")
+    passages = docs.join(places.hint("merge"), "doc").select("doc", "text", "places").mapInArrow(around, "passage long, doc long, start long")
     passages = stage(passages.distinct() if not keep_first else passages, "passages")
     first = passages.groupBy("passage").agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     repeated = passages.join(first, "passage")
@@ -209,7 +210,7 @@ def covered(docs: DataFrame, symbols: Symbols, judge: Callable[[DataFrame], Data
 def with_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
     """doc, text and the ranges of every row (null if there are none)."""
     ranges = ranges.groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
-    return docs.join(ranges, "doc", "left").select("doc", "text", "ranges")
+    return docs.join(ranges.hint("merge"), "doc", "left").select("doc", "text", "ranges")
 
 
 def mask(own, size: int) -> np.ndarray:
