@@ -9,9 +9,8 @@ a ``share`` of its tokens is cut into crumbs of ``crumb`` tokens, with which dif
 Each task packs its own documents and no row is shuffled.
 
 A null text is empty and gives the end id alone. Repeated rows and ids are packed as they come. No rows in, no rows
-out. Tokens are those of the given tokenizer file: words between single spaces are encoded once per task and
-remembered, which gives the same ids because such a space always starts a token of this vocabulary's pre-tokenizer;
-other texts are encoded whole.
+out. Tokens are those of the given byte-level BPE file. Its vocabulary and ranks are read from that file and run by the
+faster of two libraries, which gives the same ids; a text that may hold a special token is left to the other one.
 """
 
 from __future__ import annotations
@@ -32,48 +31,39 @@ CRUMB = 16
 SHARE = 0.06
 SLACK = 4
 END_ID = 0
-REMEMBERED = 400_000
 
 SCHEMA = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+# Fixed value: how this vocabulary's pre-tokenizer splits text.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
 class Encoder:
-    """Token ids of texts as little-endian 32-bit bytes."""
+    """Token ids of a text as little-endian 32-bit bytes."""
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split, whole, fresh = [], [], set()
-        known = self.known
-        for text in texts:
-            words = text.split(" ")
-            if "<|" in text or "" in words or any(w[0].isspace() or w[-1].isspace() for w in words):
-                whole.append(text)
-                split.append(None)
-                continue
-            words[1:] = [" " + w for w in words[1:]]
-            split.append(words)
-            fresh.update(w for w in words if w not in known)
-        self._learn(list(fresh))
-        rest = iter(self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)) if whole else iter(())
-        out = [b"".join(map(known.__getitem__, w)) if w is not None else _packed(next(rest).ids) for w in split]
-        if len(known) > REMEMBERED:
-            known.clear()
-        return out
-
-    def _learn(self, words: list[str]) -> None:
-        for i in range(0, len(words), 10_000):
-            part = words[i : i + 10_000]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[word] = _packed(found.ids)
-
-
-def _packed(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        special = set(self.tokenizer.get_added_tokens_decoder())
+        byte = _byte_letters()
+        ranks = {bytes(byte[c] for c in token): i for token, i in vocabulary.items() if i not in special}
+        self.fast = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> bytes:
+        if "<|" in text:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+
+
+def _byte_letters() -> dict[str, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if printable, else the next from 256."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
 def differencing(sizes: list[int], windows: int) -> tuple[np.ndarray, list[list[int]]]:
@@ -167,13 +157,13 @@ def pack(
 
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
         types: list = []
-        end = _packed([END_ID])
+        end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             types = [batch.schema.field(0).type] + [pa.int64()] * 6 + [pa.list_(pa.int32())] * with_ids
             for at in range(0, len(batch), 200):
                 few = batch.slice(at, 200)
                 texts = [t or "" for t in few.column(1).to_pylist()]
-                for doc, body in zip(few.column(0).to_pylist(), encoder.encode(texts)):
+                for doc, body in zip(few.column(0).to_pylist(), map(encoder.encode, texts)):
                     ids = body + end
                     total = len(ids) // 4
                     whole = total // capacity * capacity
