@@ -6,10 +6,11 @@ parts for 60 evaluations; 24 bands of five parts, no band with both ends of one
 at similarity 0.85 is missed with probability below 1e-6.
 
 Documents with equal sets form a class first, so copies are never compared. In a bucket, every class is confirmed
-against the bucket's smallest class; connected components follow. Where a bucket still holds several components,
-classes of different components are compared by their whole signatures (blocks inside one task, nothing emitted
-below the margin) and confirmed as well. A bucket within one component needs no further pair. Links are confirmed by
-exact intersection and union of the sets.
+against the bucket's smallest class, its leader; connected components follow. Where the classes of a leader are still in
+several components, those of different components are compared by wide signatures of 380 more functions, in blocks of
+bounded size that are tasks of their own; only pairs that reach the margin leave the task, and are confirmed too. A
+leader's classes within one component need no further pair. Links are confirmed by exact intersection and union of
+the sets. Comparing signatures takes work with the square of the classes of one leader that stay unlinked, but no rows.
 
 Null and empty texts and texts without words have size 0 and are linked with nothing. Rows that repeat an id are the
 same document and get the same answer; rows with a null id are compared and reported with a null component. No rows
@@ -34,10 +35,12 @@ SHINGLE = 5
 FUNCTIONS = 60
 BANDS, ROWS = 24, 5
 LIKE = 0.85
-# Signature parts in which a pair at similarity 0.85 must agree at least: seven standard deviations below the mean.
-AGREE = 74
-_A = np.random.default_rng(97).integers(0, 2**63, FUNCTIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = np.random.default_rng(98).integers(0, 2**64, FUNCTIONS, dtype=np.uint64)
+WIDE = 380
+BLOCK = 4_000
+# Wide signature parts in which a pair must agree: 4.9 standard deviations below the mean at similarity 0.85.
+AGREE = 598
+_A = np.random.default_rng(97).integers(0, 2**63, FUNCTIONS + WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = np.random.default_rng(98).integers(0, 2**64, FUNCTIONS + WIDE, dtype=np.uint64)
 _BAND = np.random.default_rng(99).integers(0, 2**63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 # Part i * BANDS + b of the signature is row i of band b; minima come first, then maxima.
 _PARTS = np.arange(BANDS * ROWS).reshape(ROWS, BANDS).T
@@ -56,21 +59,21 @@ def shingle_sets(column: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
                 yield every[:0]
 
 
-def _signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """Minima and maxima under every function, one row per (not empty) set."""
+def _signatures(sets: list[np.ndarray], first: int, functions: int) -> np.ndarray:
+    """Minima, then maxima, under functions ``first`` and following; one row per (not empty) set."""
     starts = np.cumsum([0] + [len(s) for s in sets[:-1]])
     every = np.concatenate(sets)
-    out = np.empty((len(sets), 2 * FUNCTIONS), np.uint64)
-    for f in range(FUNCTIONS):
-        hashed = every * _A[f] + _B[f]
+    out = np.empty((len(sets), 2 * functions), np.uint64)
+    for f in range(functions):
+        hashed = every * _A[first + f] + _B[first + f]
         hashed ^= hashed >> np.uint64(32)
         out[:, f] = np.minimum.reduceat(hashed, starts)
-        out[:, FUNCTIONS + f] = np.maximum.reduceat(hashed, starts)
+        out[:, functions + f] = np.maximum.reduceat(hashed, starts)
     return out
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, set_a and set_b (a digest of the set), bands (24 bucket keys), parts (a byte per signature part)."""
+    """id, n_shingles, set_a and set_b (a digest of the set), bands (24 bucket keys)."""
     kind = dict(docs.dtypes)[id_col]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,15 +85,13 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 a = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64)
                 b = np.array([np.bitwise_xor.reduce(mix(s + np.uint64(77))) if len(s) else 0 for s in sets], np.uint64)
                 bands = np.zeros((len(sets), BANDS), np.uint64)
-                parts = np.zeros((len(sets), 2 * FUNCTIONS), np.uint8)
                 has = np.flatnonzero(sizes)
                 if len(has):
-                    made = _signatures([sets[i] for i in has])
+                    made = _signatures([sets[i] for i in has], 0, FUNCTIONS)
                     key = np.zeros((len(has), BANDS), np.uint64)
                     for r in range(ROWS):
                         key = mix((key + made[:, _PARTS[:, r]]) * _BAND[r])
                     bands[has] = mix(key + np.arange(BANDS, dtype=np.uint64))
-                    parts[has] = (made >> np.uint64(13)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
                     [
                         few.column(0),
@@ -98,12 +99,11 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                         pa.array(a.view(np.int64)),
                         pa.array(b.view(np.int64)),
                         pa.FixedSizeListArray.from_arrays(pa.array(bands.view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64())),
-                        pa.array([row.tobytes() for row in parts], pa.binary()),
                     ],
-                    ["id", "n_shingles", "set_a", "set_b", "bands", "parts"],
+                    ["id", "n_shingles", "set_a", "set_b", "bands"],
                 )
 
-    schema = f"id {kind}, n_shingles long, set_a long, set_b long, bands array<long>, parts binary"
+    schema = f"id {kind}, n_shingles long, set_a long, set_b long, bands array<long>"
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(make, schema)
 
 
@@ -124,45 +124,59 @@ def confirmed(pairs: DataFrame, sets: DataFrame, like: float = LIKE) -> DataFram
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def _crossing(members: DataFrame) -> DataFrame:
-    """Pairs of classes in one bucket but of different components whose signatures agree often enough.
+def wide_signatures(sets: DataFrame) -> DataFrame:
+    """id and parts: one byte for each part of the wide signature."""
 
-    members: key, id, label, parts, sorted by key within its partition. One bucket at a time is held, a class taking
-    about 140 bytes; every class outside the largest component of the bucket is compared with all of another one.
-    """
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 100):
+                few = batch.slice(at, 100)
+                own = [np.frombuffer(x.as_buffer(), np.uint64) for x in few.column(1)]
+                made = (_signatures(own, FUNCTIONS, WIDE) >> np.uint64(13)).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([few.column(0), pa.array([r.tobytes() for r in made], pa.binary())], ["id", "parts"])
+
+    return sets.select("id", "members").mapInArrow(make, "id long, parts binary")
+
+
+def _crossing(members: DataFrame, partitions: int, block: int = BLOCK) -> DataFrame:
+    """Pairs of classes of one leader, but of different components, whose wide signatures agree often enough.
 
-    def compare(ids: np.ndarray, labels: np.ndarray, parts: np.ndarray) -> Iterator[tuple]:
-        names, inverse, counts = np.unique(labels, return_inverse=True, return_counts=True)
-        order = np.argsort(counts, kind="stable")[::-1]
+    members: first (the leader), id, label, parts. A leader with more than ``block`` classes has them cut into blocks, and
+    every two blocks meet in a group of their own, so a group holds two blocks at most.
+    """
+    sizes = members.groupBy("first").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    placed = members.join(sizes, "first").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    placed = placed.select("first", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "label", "parts")
+
+    def compare(group: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        parts = np.frombuffer(b"".join(group["parts"]), np.uint8).reshape(len(group), -1)
+        names, inverse, counts = np.unique(group["label"].to_numpy(), return_inverse=True, return_counts=True)
         rank = np.empty(len(names), np.int64)
-        rank[order] = np.arange(len(names))
+        rank[np.argsort(counts, kind="stable")[::-1]] = np.arange(len(names))
         by = np.argsort(rank[inverse], kind="stable")
-        ids, place, parts = ids[by], rank[inverse][by], parts[by]
+        ids, own, place, parts = group["id"].to_numpy()[by], group["own"].to_numpy()[by], rank[inverse][by], parts[by]
+        apart = group["low"].iloc[0] != group["high"].iloc[0]
         for i in range(int((place == 0).sum()), len(ids)):
             before = int(np.searchsorted(place, place[i]))
-            near = np.flatnonzero((parts[:before] == parts[i]).sum(axis=1, dtype=np.int32) >= AGREE)
+            near = (parts[:before] == parts[i]).sum(axis=1, dtype=np.int32) >= AGREE
+            near = np.flatnonzero(near & (own[:before] != own[i]) if apart else near)
             if len(near):
-                yield np.minimum(ids[near], ids[i]), np.maximum(ids[near], ids[i])
+                yield pd.DataFrame({"a": np.minimum(ids[near], ids[i]), "b": np.maximum(ids[near], ids[i])})
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
-
-        def finished() -> Iterator[pd.DataFrame]:
-            whole = pd.concat(held)
-            parts = np.frombuffer(b"".join(whole["parts"]), np.uint8).reshape(len(whole), -1)
-            for a, b in compare(whole["id"].to_numpy(), whole["label"].to_numpy(), parts):
-                yield pd.DataFrame({"a": a, "b": b})
-
         for batch in batches:
-            for _, rows in batch.groupby("key", sort=False):
-                if held and held[0]["key"].iloc[0] != rows["key"].iloc[0]:
-                    yield from finished()
+            for _, rows in batch.groupby(["first", "low", "high"], sort=False):
+                if held and (held[0][["first", "low", "high"]].iloc[0] != rows[["first", "low", "high"]].iloc[0]).any():
+                    yield from compare(pd.concat(held))
                     held.clear()
                 held.append(rows)
         if held:
-            yield from finished()
+            yield from compare(pd.concat(held))
 
-    return members.mapInPandas(pairs, "a long, b long").distinct()
+    keys = ["first", "low", "high"]
+    return placed.repartition(partitions, *keys).sortWithinPartitions(*keys).mapInPandas(pairs, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", like: float = LIKE) -> DataFrame:
@@ -173,27 +187,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = filled.groupBy(*same_set).agg(F.min("id").cast("long").alias("class"))
     classes = stage(classes, "classes")
     leaders = filled.join(classes, same_set).filter(F.col("id") == F.col("class")).dropDuplicates(["class"])
-    leaders = stage(leaders.select("class", "bands", "parts"), "leaders")
-
-    exploded = leaders.select("class", F.explode("bands").alias("key"))
+    exploded = stage(leaders.select("class", F.explode("bands").alias("key")), "bands")
     buckets = exploded.groupBy("key").agg(F.min("class").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = stage(exploded.join(buckets.select("key", "first"), "key"), "members")
-    stars = members.filter("class != first").select(F.col("first").alias("a"), F.col("class").alias("b")).distinct()
-    stars = stage(stars, "stars")
+    members = stage(exploded.join(buckets.select("key", "first"), "key").select("first", "class").distinct(), "members")
+    stars = members.filter("class != first").select(F.col("first").alias("a"), F.col("class").alias("b"))
     wanted = members.select("class").distinct()
     sets = stage(_sets(docs, wanted, id_col, text_col), "sets")
     links = stage(confirmed(stars, sets, like), "links")
     labels = components(wanted.withColumnRenamed("class", "id"), links)
 
-    labelled = members.join(labels.withColumnRenamed("id", "class"), "class")
-    open_keys = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
-    crossing = (
-        labelled.join(open_keys.select("key"), "key")
-        .join(leaders.select("class", "parts"), "class")
-        .select("key", F.col("class").alias("id"), "label", "parts")
-    )
-    crossing = crossing.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
-    pairs = _crossing(crossing.sortWithinPartitions("key"))
+    labelled = stage(members.join(labels.withColumnRenamed("id", "class"), "class"), "labelled")
+    several = labelled.groupBy("first").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
+    crossing = labelled.join(several.select("first"), "first")
+    wide = wide_signatures(sets.join(crossing.select(F.col("class").alias("id")).distinct(), "id", "left_semi"))
+    crossing = crossing.withColumnRenamed("class", "id").join(wide, "id")
+    pairs = _crossing(crossing, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     pairs = stage(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
     more = stage(confirmed(pairs, sets, like), "more")
     if not more.isEmpty():
@@ -224,11 +232,13 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Dat
                 yield pa.RecordBatch.from_arrays([few.column(0).cast(pa.int64()), pa.array(members, pa.binary())], ["id", "members"])
 
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    chosen = named.join(wanted.withColumnRenamed("class", "id"), "id", "left_semi")
+    # Shuffled at every size, so that what a small run shows holds for a large one.
+    chosen = named.join(wanted.withColumnRenamed("class", "id").hint("merge"), "id", "left_semi")
     return chosen.mapInArrow(make, "id long, members binary").dropDuplicates(["id"])
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: one document of each group, and every row with a null id."""
     gone = near_duplicates(docs, id_col, text_col).filter("not kept").select(F.col("id").alias("__id")).distinct()
+    gone = gone.hint("merge")
     return docs.join(gone, docs[id_col] == gone["__id"], "left_anti")
