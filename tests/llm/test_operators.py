@@ -184,6 +184,28 @@ def test_licences_and_inheritance(spark):
     }
 
 
+@pytest.mark.parametrize("times", [1, 50])
+def test_licences_do_not_depend_on_size(spark, times):
+    lines = ["All rights reserved."] * 4 + ["Licensed under CC BY-NC 4.0.", "Released under the MIT License."] * 8
+    df = spark.createDataFrame([(i, f"d{i}/x", x) for i, x in enumerate(lines * 10 * times)], "doc_id long, path string, text string")
+    got = licences.scan(df, "doc_id", F.col("path")).groupBy("own_licence").count().collect()
+    assert {r[0]: r[1] for r in got} == {"Proprietary": 40 * times, "CC-BY-NC-4.0": 80 * times, "MIT": 80 * times}
+
+
+def test_licences_of_headers_and_whole_texts(spark):
+    texts = dict(licences.licence_texts())
+    rows = [(f"whole/{name}/x", name, f"Copyright 2021 Some One\n\n{text}") for name, text in texts.items()]
+    for name, text in licences.NOTICES + [(n, texts[n]) for n in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause")]:
+        code = "\n\n" + "\n".join(f"call_{i}(value_{i * 7}, other)" for i in range(300))
+        lines = text.replace(". ", ".\n").splitlines()
+        rows.append((f"hash/{name}/x", name, "\n".join(["#!/bin/sh", *(f"# {x}".rstrip() for x in lines)]) + code))
+        rows.append((f"star/{name}/x", name, "/*\n" + "\n".join(lines) + "\n*/" + code))
+    rows.append(("none/x", None, "The free software of the day\n\n" + "plain prose about rivers and the law of the sea " * 100))
+    df = spark.createDataFrame([(p, t) for p, _, t in rows], "path string, text string")
+    got = {r.path: (r.own_licence, r.is_licence_file) for r in licences.scan(df, "path", F.col("path")).collect()}
+    assert got == {p: (name, p.startswith("whole")) for p, name, _ in rows}
+
+
 # 6
 def brute_words(rows, length=20):
     seen, out = set(), {}
