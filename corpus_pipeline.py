@@ -14,6 +14,8 @@ from ridgewater.session import stage
 
 # Training, random draws and a tokenizer have no SQL counterpart; the tests check the stages by brute force.
 ORACLE_SQL = None
+# The similarity from which the near stage takes documents as copies.
+NEAR = 0.8
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +30,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of near-duplicates."""
-    return minhash_dedup.keep_one(docs)
+    return minhash_dedup.keep_one(docs, like=NEAR)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

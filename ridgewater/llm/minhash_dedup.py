@@ -1,14 +1,16 @@
 """Near-duplicates by min-max hashing, confirmed on full shingle sets.
 
 A document's set is its distinct five-word shingles (all words as one shingle if there are fewer; nothing without
-words). Under each of 60 hash functions both the least and the greatest shingle are kept, which gives 120 signature
-parts for 60 evaluations; 24 bands of five parts, no band with both ends of one function, propose candidates. A link
-at similarity 0.85 is missed with probability below 1e-6.
+words). Under each hash function both the least and the greatest shingle are kept, which gives two signature parts for
+one evaluation; bands of five parts, no band with both ends of one function, propose candidates. There are as many bands
+as it takes to miss a link at the similarity ``like`` with probability below 1e-6: 24 (60 functions) at 0.85, 35 (88) at
+0.80.
 
 Documents with equal sets form a class first, so copies are never compared. In a bucket, every class is confirmed
 against the bucket's smallest class, its leader; connected components follow. Where the classes of a leader are still in
 several components, those of different components are compared by wide signatures of 380 more functions, in blocks of
-bounded size that are tasks of their own; only pairs that reach the margin leave the task, and are confirmed too. A
+bounded size that are tasks of their own; only pairs that reach the margin leave the task, and are confirmed too. The
+margin follows from ``like`` and the same probability. A
 leader's classes within one component need no further pair. Links are confirmed by exact intersection and union of
 the sets. Comparing signatures takes work with the square of the classes of one leader that stay unlinked, but no rows.
 
@@ -19,7 +21,9 @@ in, no rows out.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -32,18 +36,45 @@ from ridgewater.llm.words import mix, word_windows, words_of
 from ridgewater.session import stage
 
 SHINGLE = 5
-FUNCTIONS = 60
-BANDS, ROWS = 24, 5
+ROWS = 5
 LIKE = 0.85
+MISS = 1e-6
 WIDE = 380
 BLOCK = 4_000
-# Wide signature parts in which a pair must agree: 4.9 standard deviations below the mean at similarity 0.85.
-AGREE = 598
-_A = np.random.default_rng(97).integers(0, 2**63, FUNCTIONS + WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = np.random.default_rng(98).integers(0, 2**64, FUNCTIONS + WIDE, dtype=np.uint64)
+MOST = 1 << 12
+_A = np.random.default_rng(97).integers(0, 2**63, MOST, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = np.random.default_rng(98).integers(0, 2**64, MOST, dtype=np.uint64)
 _BAND = np.random.default_rng(99).integers(0, 2**63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-# Part i * BANDS + b of the signature is row i of band b; minima come first, then maxima.
-_PARTS = np.arange(BANDS * ROWS).reshape(ROWS, BANDS).T
+
+
+class Plan(NamedTuple):
+    """What a similarity needs: bands, functions (the wide ones follow them), and wide parts in which a pair must agree."""
+
+    bands: int
+    functions: int
+    agree: int
+
+    def parts(self) -> np.ndarray:
+        """Part i * bands + b of the signature is row i of band b; minima come first, then maxima."""
+        return np.arange(self.bands * ROWS).reshape(ROWS, self.bands).T
+
+
+def plan(like: float) -> Plan:
+    bands = 2 if like >= 1 else math.ceil(math.log(MISS) / math.log1p(-(like**ROWS)))
+    functions = math.ceil(bands * ROWS / 2)
+    if functions + WIDE > MOST:
+        raise ValueError(f"similarity {like} needs {functions} hash functions; {MOST - WIDE} are there")
+    # Parts are single bytes, which are also equal by chance.
+    same, parts = min(like, 1.0) + (1 - min(like, 1.0)) / 256, 2 * WIDE
+    if same >= 1:
+        return Plan(bands, functions, parts)
+    below, agree = 0.0, 0
+    while True:
+        logs = math.lgamma(parts + 1) - math.lgamma(agree + 1) - math.lgamma(parts - agree + 1)
+        below += math.exp(logs + agree * math.log(same) + (parts - agree) * math.log1p(-same))
+        if below > MISS:
+            return Plan(bands, functions, agree)
+        agree += 1
 
 
 def shingle_sets(column: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -72,8 +103,10 @@ def _signatures(sets: list[np.ndarray], first: int, functions: int) -> np.ndarra
     return out
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, set_a and set_b (a digest of the set), bands (24 bucket keys)."""
+def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", like: float = LIKE) -> DataFrame:
+    """id, n_shingles, set_a and set_b (a digest of the set), bands (one bucket key each)."""
+    count, functions, _ = made_for = plan(like)
+    places = made_for.parts()
     kind = dict(docs.dtypes)[id_col]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,21 +117,21 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 sizes = np.array([len(s) for s in sets], np.int64)
                 a = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64)
                 b = np.array([np.bitwise_xor.reduce(mix(s + np.uint64(77))) if len(s) else 0 for s in sets], np.uint64)
-                bands = np.zeros((len(sets), BANDS), np.uint64)
+                bands = np.zeros((len(sets), count), np.uint64)
                 has = np.flatnonzero(sizes)
                 if len(has):
-                    made = _signatures([sets[i] for i in has], 0, FUNCTIONS)
-                    key = np.zeros((len(has), BANDS), np.uint64)
+                    made = _signatures([sets[i] for i in has], 0, functions)
+                    key = np.zeros((len(has), count), np.uint64)
                     for r in range(ROWS):
-                        key = mix((key + made[:, _PARTS[:, r]]) * _BAND[r])
-                    bands[has] = mix(key + np.arange(BANDS, dtype=np.uint64))
+                        key = mix((key + made[:, places[:, r]]) * _BAND[r])
+                    bands[has] = mix(key + np.arange(count, dtype=np.uint64))
                 yield pa.RecordBatch.from_arrays(
                     [
                         few.column(0),
                         pa.array(sizes),
                         pa.array(a.view(np.int64)),
                         pa.array(b.view(np.int64)),
-                        pa.FixedSizeListArray.from_arrays(pa.array(bands.view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64())),
+                        pa.FixedSizeListArray.from_arrays(pa.array(bands.view(np.int64).ravel()), count).cast(pa.list_(pa.int64())),
                     ],
                     ["id", "n_shingles", "set_a", "set_b", "bands"],
                 )
@@ -124,15 +157,16 @@ def confirmed(pairs: DataFrame, sets: DataFrame, like: float = LIKE) -> DataFram
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def wide_signatures(sets: DataFrame) -> DataFrame:
+def wide_signatures(sets: DataFrame, like: float = LIKE) -> DataFrame:
     """id and parts: one byte for each part of the wide signature."""
+    functions = plan(like).functions
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 100):
                 few = batch.slice(at, 100)
                 own = [np.frombuffer(x.as_buffer(), np.uint64) for x in few.column(1)]
-                made = (_signatures(own, FUNCTIONS, WIDE) >> np.uint64(13)).astype(np.uint8)
+                made = (_signatures(own, functions, WIDE) >> np.uint64(13)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays([few.column(0), pa.array([r.tobytes() for r in made], pa.binary())], ["id", "parts"])
 
     return sets.select("id", "members").mapInArrow(make, "id long, parts binary")
@@ -141,15 +175,16 @@ def wide_signatures(sets: DataFrame) -> DataFrame:
 def _crossing(members: DataFrame, partitions: int, block: int = BLOCK) -> DataFrame:
     """Pairs of classes of one leader, but of different components, whose wide signatures agree often enough.
 
-    members: first (the leader), id, label, parts. A leader with more than ``block`` classes has them cut into blocks, and
+    members: first (the leader), id, label, parts, agree (in how many parts a pair must agree). A leader with more than ``block`` classes has them cut into blocks, and
     every two blocks meet in a group of their own, so a group holds two blocks at most.
     """
     sizes = members.groupBy("first").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     placed = members.join(sizes, "first").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    placed = placed.select("first", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "label", "parts")
+    placed = placed.select("first", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "label", "parts", "agree")
 
     def compare(group: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        agree = int(group["agree"].iloc[0])
         parts = np.frombuffer(b"".join(group["parts"]), np.uint8).reshape(len(group), -1)
         names, inverse, counts = np.unique(group["label"].to_numpy(), return_inverse=True, return_counts=True)
         rank = np.empty(len(names), np.int64)
@@ -159,7 +194,7 @@ def _crossing(members: DataFrame, partitions: int, block: int = BLOCK) -> DataFr
         apart = group["low"].iloc[0] != group["high"].iloc[0]
         for i in range(int((place == 0).sum()), len(ids)):
             before = int(np.searchsorted(place, place[i]))
-            near = (parts[:before] == parts[i]).sum(axis=1, dtype=np.int32) >= AGREE
+            near = (parts[:before] == parts[i]).sum(axis=1, dtype=np.int32) >= agree
             near = np.flatnonzero(near & (own[:before] != own[i]) if apart else near)
             if len(near):
                 yield pd.DataFrame({"a": np.minimum(ids[near], ids[i]), "b": np.maximum(ids[near], ids[i])})
@@ -181,7 +216,7 @@ def _crossing(members: DataFrame, partitions: int, block: int = BLOCK) -> DataFr
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", like: float = LIKE) -> DataFrame:
     """One row per input row: id, n_shingles, class_id (smallest id with an equal set), component_id, kept."""
-    rows = stage(signatures(docs, id_col, text_col), "signatures")
+    rows = stage(signatures(docs, id_col, text_col, like), "signatures")
     filled = rows.filter("n_shingles > 0 and id is not null")
     same_set = ["set_a", "set_b", "n_shingles"]
     classes = filled.groupBy(*same_set).agg(F.min("id").cast("long").alias("class"))
@@ -199,8 +234,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labelled = stage(members.join(labels.withColumnRenamed("id", "class"), "class"), "labelled")
     several = labelled.groupBy("first").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
     crossing = labelled.join(several.select("first"), "first")
-    wide = wide_signatures(sets.join(crossing.select(F.col("class").alias("id")).distinct(), "id", "left_semi"))
-    crossing = crossing.withColumnRenamed("class", "id").join(wide, "id")
+    wide = wide_signatures(sets.join(crossing.select(F.col("class").alias("id")).distinct(), "id", "left_semi"), like)
+    crossing = crossing.withColumnRenamed("class", "id").join(wide, "id").withColumn("agree", F.lit(plan(like).agree))
     pairs = _crossing(crossing, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     pairs = stage(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
     more = stage(confirmed(pairs, sets, like), "more")
@@ -237,8 +272,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Dat
     return chosen.mapInArrow(make, "id long, members binary").dropDuplicates(["id"])
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", like: float = LIKE) -> DataFrame:
     """The rows of ``docs`` that stay: one document of each group, and every row with a null id."""
-    gone = near_duplicates(docs, id_col, text_col).filter("not kept").select(F.col("id").alias("__id")).distinct()
+    gone = near_duplicates(docs, id_col, text_col, like).filter("not kept").select(F.col("id").alias("__id")).distinct()
     gone = gone.hint("merge")
     return docs.join(gone, docs[id_col] == gone["__id"], "left_anti")

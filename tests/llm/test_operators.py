@@ -168,6 +168,17 @@ def test_chain_of_near_copies_in_blocks(spark, monkeypatch):
     assert {r.id: r.component_id for r in got} == root
 
 
+def test_bands_and_margin_follow_from_similarity():
+    assert minhash_dedup.plan(0.85)[:2] == (24, 60) and minhash_dedup.plan(0.8)[:2] == (35, 88)
+    for like in (0.5, 0.8, 0.85, 0.95):
+        made = minhash_dedup.plan(like)
+        assert (1 - like**5) ** made.bands <= 1e-6 < (1 - like**5) ** (made.bands - 1)
+        ends = made.parts() % made.functions
+        assert all(len(set(band)) == 5 for band in ends.tolist()) and made.parts().max() < 2 * made.functions
+        draws = np.random.default_rng(5).binomial(760, like, 200_000)
+        assert (draws < made.agree).sum() <= 3 and (draws < made.agree + 30).sum() > 3
+
+
 # 5
 def test_licences_and_inheritance(spark):
     apache, mit = "Licensed under the Apache License, Version 2.0.", "Released under the MIT License."

@@ -40,3 +40,21 @@ def test_stages(spark, tmp_path):
             assert set(docs.columns) == set(before[0].__fields__)
         seen.append(docs.count())
     assert len(corpus_pipeline.STAGES) == 5 and all(seen)
+
+
+def test_near_stage_takes_pairs_from_four_fifths(spark):
+    """Every second document is a copy with a similarity in [0.80, 0.85); those below 0.80 stay."""
+    rows, gone, likes = [], set(), []
+    for i in range(120):
+        words = [f"d{i}w{j}" for j in range(304)]
+        changed = list(words)
+        for j in range(8, 8 + 8 * (5 + i % 3), 8):
+            changed[j] = f"x{j}"
+        sets = [{tuple(w[j : j + 5]) for j in range(300)} for w in (words, changed)]
+        likes.append(len(sets[0] & sets[1]) / len(sets[0] | sets[1]))
+        if likes[-1] >= 0.8:
+            gone.add(1000 + i)
+        rows += [(i, " ".join(words)), (1000 + i, " ".join(changed))]
+    assert sum(0.8 <= x < 0.85 for x in likes) >= 80 and min(likes) < 0.8
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r[0] for r in rows} - {r.doc_id for r in corpus_pipeline.near(spark, docs, SF).collect()} == gone
