@@ -112,12 +112,14 @@ def mix_sources(
     block_words: int = BLOCK_WORDS,
     shard_words: int = SHARD_WORDS,
     seed: int = 0,
+    row_col: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(documents, draws). Documents: row, id, source, size, source_size, target. Draws: row, id, copy, words, shard and
-    position, the place of the draw in its shard's own shuffle."""
+    position, the place of the draw in its shard's own shuffle. ``row_col`` names a column of unique row numbers; without
+    it rows are numbered here."""
     spark = docs.sparkSession
     sizes = docs.select(
-        F.monotonically_increasing_id().alias("row"),
+        (F.monotonically_increasing_id() if row_col is None else F.col(row_col)).alias("row"),
         F.col(id_col).alias("id"),
         F.col(source_col).alias("source"),
         count_words(F.col(text_col)).alias("size"),
@@ -166,15 +168,16 @@ def mixed_documents(
     """The mix as documents: each row of ``docs`` as often as it is drawn, with all columns; the one document per source
     at which the target is reached has its text cut after the words that are taken, and its length set anew.
 
-    A document that is never drawn is left out. Ids must be unique and not null for this form; a row whose id is
-    repeated appears once for every draw of that id.
+    A document that is never drawn is left out. Draws find their rows by a number that is written with the documents, so
+    rows with a null or a repeated id come back as often as each of them is drawn.
     """
-    _, draws = mix_sources(docs, id_col, text_col, source_col)
-    draws = draws.select(F.col("id").alias("__id"), F.col("words").alias("__words"), F.col("size").alias("__size"))
+    numbered = stage(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    _, draws = mix_sources(numbered, id_col, text_col, source_col, row_col="__row")
+    draws = draws.select(F.col("row").alias("__drawn"), F.col("words").alias("__words"), F.col("size").alias("__size"))
     pieces = F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     cut = F.array_join(F.slice(pieces, 1, F.col("__words").cast("int")), "")
     text = F.when(F.col("__words") < F.col("__size"), cut).otherwise(F.col(text_col))
-    out = docs.join(draws, docs[id_col] == draws["__id"]).withColumn("__text", text)
+    out = numbered.join(draws, F.col("__row") == F.col("__drawn")).withColumn("__text", text)
     is_cut = F.col("__words") < F.col("__size")
     columns = {c: F.col(c) for c in docs.columns} | {text_col: F.col("__text")}
     if length_col in columns:

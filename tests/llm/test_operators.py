@@ -101,6 +101,28 @@ def test_mixed_documents_repeat_whole_texts(docs, rows):
         assert r.text == own[r.doc_id] or own[r.doc_id].startswith(r.text) and r.n_chars == len(r.text)
 
 
+def test_mixed_documents_keep_null_and_repeated_ids(spark):
+    """Every source is drawn in whole passes but for one cut document: 3, 3 and the rest of all words."""
+    rows = [(None if i % 3 == 0 else 1 if i % 3 == 1 else i, f"r{i} " + "w " * 19, f"s{i % 2}", 40 + i) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").repartition(3)
+    found, draws = mixing.mix_sources(docs)
+    target = {r.source: r.target for r in found.select("source", "target").distinct().collect()}
+    out = mixing.mixed_documents(docs).collect()
+    words, times, cut = Counter(), Counter(), Counter()
+    own = {r[1].split()[0]: r for r in rows}
+    for r in out:
+        first = r.text.split()[0]
+        assert (r.doc_id, r.source) == (own[first][0], own[first][2]) and own[first][1].startswith(r.text)
+        words[r.source] += len(WORD.findall(r.text))
+        times[first] += 1
+        cut[r.source] += len(WORD.findall(r.text)) < 20
+    assert {s: abs(words[s] - t) <= 0.5 for s, t in target.items()} == {s: True for s in target}
+    assert len(out) == draws.count() and max(cut.values()) <= 1
+    for s in target:
+        counts = [times[k] for k, r in own.items() if r[2] == s]
+        assert max(counts) - min(counts) <= 1
+
+
 # 3
 def test_fingerprints_of_edited_texts(docs, rows):
     got = {r.id: r for r in syncmers.edited_fingerprints(docs).collect()}
