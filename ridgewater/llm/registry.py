@@ -7,7 +7,9 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgewater.llm import automata, cotraining, exact_dedup, licences, minhash_dedup, mixing, packing, parsing, pseudonyms, syncmers
+from ridgewater.llm import (
+    automata, cell_cosine, cotraining, derivation_repair, exact_dedup, licences, minhash_dedup, mixing, packing, parsing, pseudonyms, signature_search, syncmers,
+)
 
 # The queries' own key; a deployment passes its secret instead.
 KEY = "query key"
@@ -120,6 +122,64 @@ WITH h AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
+
+def op11_bit_sliced_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signature_search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+OP11_SQL = r"""
+WITH t AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+), q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), d AS (
+  SELECT doc_id, count(*)::BIGINT AS n FROM t GROUP BY doc_id
+), s AS (
+  SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM d
+), f AS (
+  SELECT doc_id, term, count(*)::BIGINT AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY doc_id, term
+), w AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM f, s GROUP BY term, n_docs
+), r AS (
+  SELECT q.item_id, f.doc_id, sum(w.w * ((1000000000 * f.tf) // (1000 * f.tf + 8 * (10 + (90 * d.n * s.n_docs) // s.n_terms))))::BIGINT AS score
+  FROM q JOIN f USING (term) JOIN w USING (term) JOIN d USING (doc_id), s GROUP BY q.item_id, f.doc_id
+), k AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0
+)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM k WHERE rank <= 10
+"""
+
+
+def op12_cell_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cell_cosine.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+OP12_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+), u AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, x -> x <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), r AS (
+  SELECT vec_id AS id, vec_id AS reach FROM v UNION SELECT r.id, l.b FROM r JOIN l ON r.reach = l.a
+), c AS (
+  SELECT id, min(reach) AS component_id FROM r GROUP BY id
+), n AS (
+  SELECT a AS id, count(*) AS n_links FROM l GROUP BY a
+)
+SELECT c.id AS vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, c.id = component_id AS kept FROM c LEFT JOIN n USING (id)
+"""
+
+
+def op13_derivation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derivation_repair.repaired(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES = {
     "op1_pseudonyms": (op1_pseudonyms, None),
     "op2_mix_sources": (op2_mix_sources, OP2_SQL),
@@ -131,4 +191,7 @@ QUERIES = {
     "op8_prefix_free_parsing": (op8_prefix_free_parsing, None),
     "op9_pack": (op9_pack, None),
     "op10_exact_dedup": (op10_exact_dedup, OP10_SQL),
+    "op11_bit_sliced_search": (op11_bit_sliced_search, OP11_SQL),
+    "op12_cell_cosine": (op12_cell_cosine, OP12_SQL),
+    "op13_derivation_repair": (op13_derivation_repair, None),
 }

@@ -84,11 +84,12 @@ class Words(NamedTuple):
     hashes: np.ndarray
 
 
-def words_of(column: pa.Array, lower: bool = False, limit: int = CHUNK) -> Iterator[Words]:
+def words_of(column: pa.Array, lower: bool = False, limit: int = CHUNK, space: np.ndarray = _IS_SPACE) -> Iterator[Words]:
+    """Words are what lies between the bytes marked in ``space``."""
     data, offsets = buffers(column)
     for i, j in row_chunks(offsets, limit):
         part, bounds = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-        inside = ~_IS_SPACE[part]
+        inside = ~space[part]
         begins, finishes = inside.copy(), inside.copy()
         begins[1:] &= ~inside[:-1]
         finishes[:-1] &= ~inside[1:]
