@@ -44,73 +44,209 @@ def _repeat_hubs(frontier: DataFrame, hubs: DataFrame | None) -> DataFrame:
     return spread(repeated.drop("_splits"), "node", "_salt")
 
 
+class _Known:
+    """Best values so far: a base table and what later rounds improved, each laid out by key once.
+
+    A round writes its improved rows only. After ``LEVELS`` rounds, or when the improvements outgrow half the base, all
+    are merged into a new base, so the bytes written follow the frontier and a key is rewritten a few times at most.
+    """
+
+    LEVELS = 4
+
+    def __init__(self, key: list[str], value: list[str]):
+        self.key, self.value = key, value
+        self.held: list[tuple[DataFrame, DataFrame, int]] = []
+        self.late: list[DataFrame] = []
+
+    def add(self, written: DataFrame, rows: int) -> None:
+        self.held.append((written, spread(written, *self.key).persist(StorageLevel.MEMORY_AND_DISK), rows))
+        if len(self.held) > self.LEVELS or 2 * sum(n for _, _, n in self.held[1:]) > self.held[0][2] > 1_000_000:
+            merged, n = _observed_stage(self._least(), F.lit(1), "known")
+            self.drop(but=written)  # the next round still reads it
+            self.held = [(merged, spread(merged, *self.key).persist(StorageLevel.MEMORY_AND_DISK), n)]
+
+    def _least(self) -> DataFrame:
+        every = self.held[0][0]
+        for written, _, _ in self.held[1:]:
+            every = every.unionByName(written)
+        return _least_per_key(every, self.key, self.value)
+
+    def better(self, found: DataFrame) -> DataFrame:
+        """The rows of ``found`` that beat every known value of their key."""
+        for _, table, _ in self.held:
+            k, f = table.alias("k"), found.alias("f")
+            same = [F.col(f"k.{c}") == F.col(f"f.{c}") for c in self.key]
+            held = F.struct(*[F.col(f"k.{c}") for c in self.value]) <= F.struct(*[F.col(f"f.{c}") for c in self.value])
+            found = f.join(k, [*same, held], "left_anti")
+        return found
+
+    def drop(self, but: DataFrame | None = None) -> None:
+        for written, table, _ in self.held:
+            table.unpersist()
+            if written is not but:
+                drop_staged(written)
+        for written in self.late:
+            drop_staged(written)
+        self.late = [but] if but is not None else []
+
+    def result(self, label: str) -> DataFrame:
+        out = stage(self._least(), label)
+        self.drop()
+        return out
+
+
+def _least_per_key(rows: DataFrame, key: list[str], value: list[str]) -> DataFrame:
+    if len(value) == 1:  # a plain numeric buffer, so Spark hashes instead of sorting
+        return rows.groupBy(*key).agg(F.min(value[0]).alias(value[0]))
+    best = rows.groupBy(*key).agg(F.min(F.struct(*value)).alias("_b"))
+    return best.select(*key, *[F.col(f"_b.{c}").alias(c) for c in value])
+
+
+def _search(
+    starts: DataFrame,
+    edges: DataFrame,
+    hubs: DataFrame | None,
+    key: list[str],
+    value: list[str],
+    max_cost: float | None = None,
+    forbid: Column | None = None,
+    label: str = "paths",
+) -> DataFrame:
+    """Least values per key over all steps from ``starts``; value is the cost and then what breaks its ties."""
+    known = _Known(key, value)
+    frontier, rows = _observed_stage(_least_per_key(starts, key, value), F.lit(1), label)
+    while rows:
+        known.add(frontier, rows)
+        f, e = _repeat_hubs(frontier, hubs).alias("f"), edges.alias("e")
+        moved = f.join(e, (F.col("f.node") == F.col("e.src")) & (F.col("f._salt") == F.col("e._salt")))
+        total = F.col("f.cost") + F.col("e.cost")
+        if forbid is not None:
+            moved = moved.filter(~forbid)
+        if max_cost is not None:
+            moved = moved.filter(total <= max_cost)
+        others = [F.col(f"f.{c}").alias(c) for c in [*key, *value[1:]] if c != "node"]
+        moved = moved.select(*others, F.col("e.dst").alias("node"), total.alias("cost")).select(*key, *value)
+        frontier, rows = _observed_stage(known.better(_least_per_key(moved, key, value)), F.lit(1), label)
+    if not known.held:
+        return frontier
+    return known.result(label)
+
+
+def contract(edges: DataFrame, keep: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(long steps, inner places): chains of nodes with two neighbours each become one step.
+
+    ``edges``: src, dst, cost and sums; ``keep``: nodes that stay whatever their neighbours. Long steps join nodes that
+    stay: src, dst, cost, sums over the chain and via, the chain's last node before dst. Inner places have the same columns
+    for the nodes inside, from the chain's head src to the node dst. Of parallel edges the cheapest counts. Chains are
+    followed by doubling, so one of h nodes takes log2(h) rounds; rings without a node that stays are left out, as nothing
+    reaches them.
+    """
+    sums = [c for c in edges.columns if c not in ("src", "dst", "cost")]
+    arcs = stage(_least_per_key(edges.filter("src <> dst"), ["src", "dst"], ["cost", *sums]), "arcs")
+    ends = arcs.select(F.col("src").alias("node"), F.col("dst").alias("other")).union(arcs.select("dst", "src")).distinct()
+    inner = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n = 2").select("node")
+    inner = stage(inner.join(keep.select("node"), "node", "left_anti"), "inner")
+    from_inner = arcs.join(inner, arcs.src == inner.node, "left_semi").select(F.col("src").alias("at"), F.col("dst").alias("to"))
+    into = arcs.select(F.col("src").alias("up_src"), F.col("dst").alias("at"))
+    before = from_inner.join(into, "at").filter("up_src <> to").select(F.col("at").alias("src"), F.col("to").alias("dst"), "up_src")
+    table = arcs.join(before, ["src", "dst"], "left").select(
+        "src", "dst", "cost", *sums, F.col("src").alias("head"), "up_src", F.when(F.col("up_src").isNotNull(), F.col("src")).alias("up_dst")
+    )
+    table, left = _observed_stage(table, F.col("up_src").isNotNull(), "chains")
+    for _ in range(left.bit_length() + 1):
+        if not left:
+            break
+        above = table.select(
+            F.col("src").alias("up_src"), F.col("dst").alias("up_dst"), F.col("head").alias("_head"), F.col("up_src").alias("_up_src"),
+            F.col("up_dst").alias("_up_dst"), *[F.col(c).alias(f"_{c}_up") for c in ("cost", *sums)],
+        )
+        grown = table.join(above, ["up_src", "up_dst"], "left").select(
+            "src", "dst", *[(F.col(c) + F.coalesce(f"_{c}_up", F.lit(0.0))).alias(c) for c in ("cost", *sums)],
+            F.coalesce("_head", "head").alias("head"), F.col("_up_src").alias("up_src"), F.col("_up_dst").alias("up_dst"),
+        )
+        old = table
+        table, left = _observed_stage(grown, F.col("up_src").isNotNull(), "chains")
+        drop_staged(old)
+    whole = table.filter("up_src IS NULL").join(inner.withColumnRenamed("node", "head"), "head", "left_anti")
+    whole = whole.select(F.col("head").alias("src"), "dst", "cost", *sums, F.col("src").alias("via"))
+    nodes = inner.withColumnRenamed("node", "dst")
+    return whole.join(nodes, "dst", "left_anti").filter("src <> dst"), whole.join(nodes, "dst", "left_semi")
+
+
 def shortest_paths(
     edges: DataFrame,
     origins: DataFrame,
     carry: dict[str, Column] | None = None,
     max_cost: float | None = None,
     forbid: Column | None = None,
+    chains: bool = False,
 ) -> DataFrame:
     """Cheapest cost from every origin to every node it reaches, all origins at once.
 
     ``edges``: src, dst, cost (positive) and whatever ``carry`` mentions. ``origins``: origin, node (several
     nodes may share an origin, which then means "nearest of them") and optionally a starting cost. Columns:
     origin, node, cost, and, when ``carry`` is given, prev and the carried sums along the chosen path. Each
-    round extends the rows that improved in the round before; the loop moves costs only, and candidates are
-    reduced map-side before they are merged with the table. ``forbid`` rules out steps, given the path row as
-    f and the edge as e.
+    round extends the rows that improved in the round before and writes improved rows only; candidates are
+    reduced map-side before they are compared. With ``chains`` the search steps over chains of nodes with two
+    neighbours at once and fills in their inner nodes at the end: rounds follow the junctions of a road network,
+    not its nodes; costs are then summed chain by chain. ``forbid`` rules out steps, given the path row as f and
+    the edge as e.
     """
     carry = carry or {}
-    prepared = edges.select("src", "dst", "cost", *[c.cast("double").alias(f"_e_{n}") for n, c in carry.items()])
-    prepared, hubs = _split_hubs(prepared)
-    first = F.col("cost") if "cost" in origins.columns else F.lit(0.0)
+    if forbid is not None and (carry or chains):
+        raise ValueError("sums along paths and chains are not supported with forbidden steps")
+    sums = [f"_e_{n}" for n in carry]
+    steps = edges.select("src", "dst", F.col("cost").cast("double").alias("cost"), *[c.cast("double").alias(f"_e_{n}") for n, c in carry.items()])
+    first = F.col("cost").cast("double") if "cost" in origins.columns else F.lit(0.0)
     starts = stage(origins.select("origin", "node", first.alias("cost")).groupBy("origin", "node").agg(F.min("cost").alias("cost")), "starts")
-    state = stage(starts.withColumn("changed", F.lit(True)), "paths")
-    rounds = 0
-    while True:
-        f, e = _repeat_hubs(state.filter("changed"), hubs).alias("f"), prepared.alias("e")
-        moved = f.join(e, (F.col("f.node") == F.col("e.src")) & (F.col("f._salt") == F.col("e._salt")))
-        total = F.col("f.cost") + F.col("e.cost")
-        if forbid is not None:
-            moved = moved.filter(~forbid)
-        if max_cost is not None:
-            moved = moved.filter(total <= max_cost)
-        before = state
-        state, changed = _observed_stage(_merge_costs(state, moved, total), F.col("changed"), "paths")
-        drop_staged(before)
-        rounds += 1
-        if changed == 0:
-            break
-    found = state.drop("changed")
-    if carry and forbid is not None:
-        raise ValueError("sums along paths with forbidden steps are not supported")
+    inner = None
+    if chains:
+        steps, inner = contract(steps, starts.select("node").distinct())
+    elif carry:
+        steps = steps.withColumn("via", F.col("src"))
+    prepared, hubs = _split_hubs(steps)
+    found = _search(starts, prepared, hubs, ["origin", "node"], ["cost"], max_cost, forbid)
     if carry:
-        found = _add_path_sums(found, starts, prepared, hubs, list(carry))
+        found = _add_path_sums(found, starts, prepared, hubs, sums)
     prepared.unpersist()
-    return found
+    if inner is not None:
+        found = _with_inner(found, inner, sums, bool(carry), max_cost)
+    return found.select("origin", "node", "cost", *(["prev", *[F.col(f"_e_{n}").alias(n) for n in carry]] if carry else []))
 
 
-def _add_path_sums(
-    found: DataFrame, starts: DataFrame, edges: DataFrame, hubs: DataFrame | None, names: list[str]
-) -> DataFrame:
-    """Adds prev (lowest start node of a cheapest last step) and the sums of ``_e_*`` from origin to node.
+def _with_inner(found: DataFrame, inner: DataFrame, sums: list[str], carried: bool, max_cost: float | None) -> DataFrame:
+    """Adds the nodes inside chains, each from the cheaper end."""
+    placed, hubs = _split_hubs(inner)
+    f, e = _repeat_hubs(found, hubs).alias("f"), placed.alias("e")
+    reached = f.join(e, (F.col("f.node") == F.col("e.src")) & (F.col("f._salt") == F.col("e._salt")))
+    more = [F.col("e.via").alias("prev"), *[(F.col(f"f.{c}") + F.col(f"e.{c}")).alias(c) for c in sums]] if carried else []
+    reached = reached.select(F.col("f.origin").alias("origin"), F.col("e.dst").alias("node"), (F.col("f.cost") + F.col("e.cost")).alias("cost"), *more)
+    if max_cost is not None:
+        reached = reached.filter(F.col("cost") <= max_cost)
+    inside = _least_per_key(reached, ["origin", "node"], ["cost", *(["prev", *sums] if carried else [])])
+    out = stage(found.unionByName(inside), "paths")
+    placed.unpersist()
+    return out
+
+
+def _add_path_sums(found: DataFrame, starts: DataFrame, edges: DataFrame, hubs: DataFrame | None, sums: list[str]) -> DataFrame:
+    """Adds prev (lowest ``via`` of a cheapest last step) and the sums of ``sums`` from origin to node.
 
     A step is on a cheapest path when its start's cost plus its own is exactly the end's cost. Sums are
     completed by doubling: what a row lacks is its ancestor's sum, 1, 2, 4, 8 .. steps up.
     """
-    sums = [f"_e_{n}" for n in names]
     f, e = _repeat_hubs(found, hubs).alias("f"), edges.alias("e")
     steps = f.join(e, (F.col("f.node") == F.col("e.src")) & (F.col("f._salt") == F.col("e._salt"))).select(
         F.col("f.origin").alias("origin"), F.col("e.dst").alias("node"), (F.col("f.cost") + F.col("e.cost")).alias("cost"),
-        F.col("f.node").alias("prev"), *[F.col(f"e.{c}").alias(c) for c in sums],
+        F.col("e.via").alias("via"), F.col("f.node").alias("up"), *[F.col(f"e.{c}").alias(c) for c in sums],
     )
     tight = steps.join(found, ["origin", "node", "cost"], "left_semi")
-    best = tight.groupBy("origin", "node", "cost").agg(F.min(F.struct("prev", *sums)).alias("b"))
+    best = tight.groupBy("origin", "node", "cost").agg(F.min(F.struct("via", "up", *sums)).alias("b"))
     roots = starts.join(found, ["origin", "node", "cost"], "left_semi").select("origin", "node", F.lit(True).alias("_root"))
     linked = found.join(best, ["origin", "node", "cost"], "left").join(roots, ["origin", "node"], "left")
     own = F.col("_root").isNull()
     rows = linked.select(
-        "origin", "node", "cost", F.when(own, F.col("b.prev")).alias("prev"), F.when(own, F.col("b.prev")).alias("_up"),
+        "origin", "node", "cost", F.when(own, F.col("b.via")).alias("prev"), F.when(own, F.col("b.up")).alias("_up"),
         *[F.when(own, F.col(f"b.{c}")).otherwise(0.0).alias(c) for c in sums],
     )
     table = stage(rows, "sums")
@@ -124,20 +260,7 @@ def _add_path_sums(
         table, left = _observed_stage(grown, F.col("_up").isNotNull(), "sums")
         drop_staged(before)
         if left == 0:
-            return table.select("origin", "node", "cost", "prev", *[F.col(f"_e_{n}").alias(n) for n in names])
-
-
-def _merge_costs(state: DataFrame, moved: DataFrame, total: Column) -> DataFrame:
-    """Minimum of known and new costs; plain numeric buffers, so Spark hashes instead of sorting."""
-    nothing = F.lit(None).cast("double")
-    both = state.select("origin", "node", F.col("cost").alias("old"), nothing.alias("new")).unionByName(
-        moved.select(F.col("f.origin").alias("origin"), F.col("e.dst").alias("node"), nothing.alias("old"), total.alias("new"))
-    )
-    best = both.groupBy("origin", "node").agg(F.min("old").alias("old"), F.min("new").alias("new"))
-    better = F.col("old").isNull() | (F.col("new") < F.col("old"))
-    return best.select(
-        "origin", "node", F.least("old", "new").alias("cost"), F.coalesce(better, F.lit(False)).alias("changed")
-    )
+            return table.drop("_up")
 
 
 def nearest_source(edges: DataFrame, sources: DataFrame, max_cost: float | None = None) -> DataFrame:
@@ -146,31 +269,11 @@ def nearest_source(edges: DataFrame, sources: DataFrame, max_cost: float | None
     One search from all sources along reversed edges; a node keeps its best label only, so the table
     never exceeds the number of nodes. Equal costs go to the lower source.
     """
-    reverse, hubs = _split_hubs(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "cost"))
-    state = stage(
-        sources.groupBy("node").agg(F.min("source").alias("source")).select(
-            "node", "source", F.lit(0.0).alias("cost"), F.lit(True).alias("changed")
-        ),
-        "labels",
-    )
-    while True:
-        frontier = state.filter("changed")
-        f, e = _repeat_hubs(frontier, hubs).alias("f"), reverse.alias("e")
-        moved = f.join(e, (F.col("f.node") == F.col("e.src")) & (F.col("f._salt") == F.col("e._salt"))).select(
-            F.col("e.dst").alias("node"), (F.col("f.cost") + F.col("e.cost")).alias("cost"), F.col("f.source").alias("source"),
-            F.lit(1).alias("is_new"),
-        )
-        if max_cost is not None:
-            moved = moved.filter(F.col("cost") <= max_cost)
-        known = state.select("node", "cost", "source", F.lit(0).alias("is_new"))
-        best = known.unionByName(moved).groupBy("node").agg(F.min(F.struct("cost", "source", "is_new")).alias("b"))
-        merged = best.select("node", "b.source", "b.cost", (F.col("b.is_new") == 1).alias("changed"))
-        before = state
-        state, changed = _observed_stage(merged, F.col("changed"), "labels")
-        drop_staged(before)
-        if changed == 0:
-            reverse.unpersist()
-            return state.drop("changed")
+    reverse, hubs = _split_hubs(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("cost").cast("double").alias("cost")))
+    starts = sources.select("node", F.lit(0.0).alias("cost"), "source")
+    out = _search(starts, reverse, hubs, ["node"], ["cost", "source"], max_cost, label="labels")
+    reverse.unpersist()
+    return out.select("node", "source", "cost")
 
 
 def unroll(paths: DataFrame, ends: DataFrame) -> DataFrame:

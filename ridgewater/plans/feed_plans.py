@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ridgewater.functions import status as st
 from ridgewater.functions import text as tx
+from ridgewater.operators import alerts as al
 from ridgewater.operators import quality as ql
 from ridgewater.operators import reports as rp
 from ridgewater.operators import spatial
@@ -152,7 +153,7 @@ def report_cleaning(spark, sf):
 def alert_cooldown(spark, sf):
     """Alerts of wet hours per zone, at least six hours apart."""
     wet = v.rain_observed(spark, sf).filter("mm >= 8").select(F.col("point_id").alias("zone"), "ts")
-    return rp.cooldown(wet, ["zone"])
+    return al.cooldown(wet, ["zone"])
 
 
 def status_transitions(spark, sf):

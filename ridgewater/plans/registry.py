@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 FAMILIES = [
+    "alert_plans",
     "calibrate_plans",
     "export_plans",
     "feed_plans",

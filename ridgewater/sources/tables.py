@@ -80,7 +80,7 @@ def read_inventory(spark: SparkSession, path: str, codes: DataFrame) -> DataFram
     ).filter("district IS NOT NULL").dropDuplicates(["event_id", "district"])
 
 
-def read_rain_records(spark: SparkSession, path: str) -> DataFrame:
+def read_rain_records(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """A folder of point-year records: district, lat, lon, year, start, precipitation_mm (array)."""
     schema = "district string, lat double, lon double, year int, start string, precipitation_mm array<double>"
     return spark.read.schema(schema).json(path, multiLine=not lines)

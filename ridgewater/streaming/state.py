@@ -79,25 +79,85 @@ class ReportLifecycle(StatefulProcessor):
 
 
 class AlertCooldown(StatefulProcessor):
-    """Lets an alert through when none was sent for the key in the last hours."""
+    """Lets an alert through when none was sent for the key in the last hours, to the microsecond.
+
+    A key is forgotten once the watermark has passed the end of its cooldown: any later alert would be sent anyway.
+    """
 
     def __init__(self, hours: float = 6.0):
-        self.gap_ms = int(hours * HOUR_MS)
+        self.gap_us = int(hours * HOUR_MS * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "sent_ms long")
+        self.handle = handle
+        self.last = handle.getValueState("last", "sent_us long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         last = self.last.get()[0] if self.last.exists() else None
         sent = []
-        for ts in _in_order(rows, ["ts"])["ts"]:
-            ms = int(ts.value // 1_000_000)
-            if last is None or ms - last >= self.gap_ms:
-                last = ms
-                sent.append((key[0], ts))
+        for row in _in_order(rows, ["ts"]).itertuples(index=False):
+            us = int(row.ts.value // 1000)
+            if last is None or us - last >= self.gap_us:
+                last = us
+                sent.append(row)
         if sent:
             self.last.update((last,))
-        yield pd.DataFrame(sent, columns=["alert_key", "ts"])
+            self.handle.registerTimer((last + self.gap_us) // 1000 + 1)
+            yield pd.DataFrame(sent)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.last.exists() and expiredTimerInfo.getExpiryTimeInMs() * 1000 > self.last.get()[0] + self.gap_us:
+            self.last.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+class WarningState(StatefulProcessor):
+    """Whether a warning is in force: from its issue until a later message replaces it or it expires.
+
+    A replacement may come before the warning itself. Without an expiry a warning stays until it is replaced. What is
+    left of replaced and expired warnings is forgotten ``keep_days`` after the last message about them.
+    """
+
+    def __init__(self, keep_days: int = 7):
+        self.keep_ms = keep_days * 24 * HOUR_MS
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "in_force boolean, replaced boolean, until_ms long, forget_ms long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        force, replaced, until, _ = self.held.get() if self.held.exists() else (False, False, -1, 0)
+        out, forget = [], 0
+        for row in _in_order(rows, ["ts", "kind"]).itertuples(index=False):
+            ms = int(row.ts.value // 1_000_000)
+            forget = ms + self.keep_ms
+            if row.kind == "replaced":
+                if force:
+                    out.append((key[0], "replaced", row.ts))
+                force, replaced = False, True
+            elif row.usable and not replaced and not force:
+                until = -1 if pd.isna(row.expires) else int(row.expires.value // 1_000_000)
+                force = until < 0 or until > ms
+                out.append((key[0], "in_force" if force else "expired", row.ts))
+        self.held.update((force, replaced, until, forget))
+        if force and until >= 0:
+            self.handle.registerTimer(until)
+        elif not force:
+            self.handle.registerTimer(forget)
+        yield pd.DataFrame(out, columns=["identifier", "state", "ts"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        out, due = [], expiredTimerInfo.getExpiryTimeInMs()
+        if self.held.exists():
+            force, replaced, until, forget = self.held.get()
+            if force and 0 <= until <= due:
+                out.append((key[0], "expired", pd.Timestamp(until, unit="ms")))
+                self.held.clear()
+            elif not force and due >= forget:
+                self.held.clear()
+        yield pd.DataFrame(out, columns=["identifier", "state", "ts"])
 
     def close(self) -> None:
         pass
@@ -202,11 +262,30 @@ def report_states(events: DataFrame, late: str = "6 hours") -> DataFrame:
     )
 
 
-def cooled_alerts(alerts: DataFrame, hours: float = 6.0) -> DataFrame:
-    """Stream of sent alerts. ``alerts``: alert_key (subscriber and zone), ts."""
-    return alerts.groupBy("alert_key").transformWithStateInPandas(
-        AlertCooldown(hours), f"alert_key {dict(alerts.dtypes)['alert_key']}, ts timestamp", "Append", "None"
+def cooled_alerts(alerts: DataFrame, hours: float = 6.0, late: str = "6 hours") -> DataFrame:
+    """Stream of sent alerts. ``alerts``: alert_key (subscriber and zone), ts and whatever goes with the alert."""
+    schema = ", ".join(f"`{n}` {t}" for n, t in alerts.dtypes)
+    marked = alerts.withWatermark("ts", late)
+    return marked.groupBy("alert_key").transformWithStateInPandas(AlertCooldown(hours), schema, "Append", "EventTime")
+
+
+def warning_states(warnings: DataFrame, late: str = "1 hour") -> DataFrame:
+    """Stream of changes: identifier, state (in_force, replaced, expired), ts.
+
+    ``warnings``: identifier, ts, status, msg_type, references (triples of sender, identifier and time), expires. Only
+    actual messages that are no cancellation come into force; every message replaces what it refers to.
+    """
+    from ridgewater.functions.text import superseded_ids
+
+    usable = F.coalesce((F.col("status") == "Actual") & (F.col("msg_type") != "Cancel"), F.lit(False))
+    marked = warnings.withWatermark("ts", late)
+    own = F.struct("identifier", F.lit("issued").alias("kind"), usable.alias("usable"), F.col("expires").alias("expires"))
+    old = F.transform(
+        superseded_ids(F.col("references")),
+        lambda i: F.struct(i.alias("identifier"), F.lit("replaced").alias("kind"), F.lit(False).alias("usable"), F.lit(None).cast("timestamp").alias("expires")),
     )
+    each = marked.select("ts", F.explode(F.concat(F.array(own), F.coalesce(old, F.array().cast("array<struct<identifier:string,kind:string,usable:boolean,expires:timestamp>>")))).alias("m")).select("m.*", "ts")
+    return each.groupBy("identifier").transformWithStateInPandas(WarningState(), "identifier string, state string, ts timestamp", "Append", "EventTime")
 
 
 def rate_limited(calls: DataFrame, limit: int, window_s: int) -> DataFrame:

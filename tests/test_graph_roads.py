@@ -143,3 +143,90 @@ def test_nearest_reachable_prefers_the_shorter_road(spark):
     targets = spark.createDataFrame([(20, 30.01, 79.0001), (30, 30.05, 79.0001)], "target_id long, lat double, lon double")
     got = roads.nearest_reachable(edges, nodes, points, targets).collect()
     assert [(r.point_id, r.target_id, r.distance_m) for r in got] == [(1, 30, 6000.0)]
+
+
+def chained(seed, junctions=14, links=22):
+    """A road network whose junctions are joined by chains, two-way and one-way, with dead ends and a ring of its own."""
+    rng = random.Random(seed)
+    rows, fresh = {}, iter(range(1000, 100_000))
+
+    def put(a, b, both):
+        rows[a, b] = float(rng.randint(1, 9))
+        if both:
+            rows[b, a] = float(rng.randint(1, 9))
+
+    for _ in range(links):
+        a, b = rng.randrange(junctions), rng.randrange(junctions)
+        nodes = [a, *(next(fresh) for _ in range(rng.choice([0, 1, 3, 17]))), b]
+        both = rng.random() < 0.7
+        for x, y in zip(nodes, nodes[1:]):
+            if x != y:
+                put(x, y, both or rng.random() < 0.1)
+    stub = [0, *(next(fresh) for _ in range(6))]
+    ring = [next(fresh) for _ in range(5)]
+    for x, y in zip(stub, stub[1:]):
+        put(x, y, True)
+    for x, y in zip(ring, ring[1:] + ring[:1]):
+        put(x, y, True)
+    return rows, ring
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_chains_give_the_same_paths(spark, seed):
+    rows, ring = chained(seed)
+    df = spark.createDataFrame([(a, b, c) for (a, b), c in rows.items()], "src long, dst long, cost double")
+    inside = next(n for (a, n) in rows if n >= 1000 and n not in ring)
+    origins = spark.createDataFrame([(1, 1), (2, 2), (3, inside), (4, ring[0])], "origin long, node long")
+    adj = {}
+    for (a, b), c in rows.items():
+        adj.setdefault(a, []).append((b, c))
+    want = {(o, n): c for o, s in ((1, 1), (2, 2), (3, inside), (4, ring[0])) for n, c in dijkstra(adj, {s: 0.0}).items()}
+    assert {(r.origin, r.node): r.cost for r in graph.shortest_paths(df, origins, chains=True).collect()} == want
+    carried = graph.shortest_paths(df, origins, {"hops": F.lit(1.0), "metres": F.col("cost")}, chains=True)
+    for r in carried.collect():
+        assert r.cost == r.metres == want.pop((r.origin, r.node))
+        assert (r.prev is None) == (r.hops == 0)
+    assert not want
+    ends = carried.filter("hops > 0").select("origin", "node")
+    cost = {(r.origin, r.node): (r.cost, r.hops) for r in carried.collect()}
+    paths = {}
+    for r in graph.unroll(carried, ends).collect():
+        paths.setdefault((r.origin, r.end), {})[r.position] = r.node
+    for key, nodes in paths.items():
+        walk = [nodes[i] for i in sorted(nodes, reverse=True)]
+        assert (sum(rows[e] for e in zip(walk, walk[1:])), len(walk) - 1) == cost[key]
+    near = graph.shortest_paths(df, origins, max_cost=15.0, chains=True)
+    assert {(r.origin, r.node) for r in near.collect()} == {k for k, (c, _) in cost.items() if c <= 15}
+
+
+def test_contraction_leaves_junctions(spark):
+    rows, ring = chained(5)
+    df = spark.createDataFrame([(a, b, c) for (a, b), c in rows.items()], "src long, dst long, cost double")
+    steps, inner = graph.contract(df, spark.createDataFrame([(1,)], "node long"))
+    around = {}
+    for a, b in rows:
+        around.setdefault(a, set()).add(b)
+        around.setdefault(b, set()).add(a)
+    stay = {n for n, x in around.items() if len(x) != 2 or n == 1}
+    assert {n for r in steps.collect() for n in (r.src, r.dst)} <= stay and not {r.dst for r in inner.collect()} & (stay | set(ring))
+    reached = {n for n, x in around.items() if len(x) == 2 and n != 1} - set(ring)
+    assert {r.dst for r in inner.collect()} == reached
+
+
+def test_rounds_write_what_improves(spark, monkeypatch):
+    """A long path costs one row a round, and a merge now and then, not the whole table a round."""
+    n = 12
+    df = spark.createDataFrame([(i, i + 1, 1.0) for i in range(n)], "src long, dst long, cost double")
+    written = []
+    stage = graph._observed_stage
+
+    def counted(frame, changed, label):
+        out = stage(frame, changed, label)
+        written.append((label, out[0].count()))
+        return out
+
+    monkeypatch.setattr(graph, "_observed_stage", counted)
+    got = graph.shortest_paths(df, spark.createDataFrame([(0, 0)], "origin long, node long")).collect()
+    assert {r.node: r.cost for r in got} == {i: float(i) for i in range(n + 1)}
+    assert sum(k for label, k in written if label == "paths") == n + 1
+    assert len([1 for label, _ in written if label == "known"]) == 3

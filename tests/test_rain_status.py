@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ridgewater.functions import status as st
+from ridgewater.operators import alerts as al
 from ridgewater.operators import rain as rn
 from ridgewater.operators import reports as rp
 
@@ -100,7 +101,7 @@ def test_trust_rule(spark):
 def test_cooldown_counts_from_last_sent(spark):
     times = [0, 1, 5.9, 6, 11.9, 12, 18 - 1 / 3600, 18 + 1 / 3600, 30]
     rows = [("z", dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)) for h in times]
-    got = rp.cooldown(spark.createDataFrame(rows, "zone string, ts timestamp"), ["zone"])
+    got = al.cooldown(spark.createDataFrame(rows, "zone string, ts timestamp"), ["zone"])
     assert sorted((r.ts - dt.datetime(2024, 1, 1)).total_seconds() / 3600 for r in got.collect()) == [0, 6, 12, 18 + 1 / 3600, 30]
 
 
