@@ -2,17 +2,20 @@
 
 The text view is the content: the square roots of hashed byte-pair shares. The metadata view is what a crawler records
 about the page: language, source, length and layout (shares of upper case, digits, symbols and line ends, word lengths,
-shares of distinct and of repeated words). Both are logistic regressions. In every round each classifier labels the
-documents of an unlabelled pool it is surest of, in the proportion of the classes and only beyond ``sure``, and hands
-them to the other one. A held-out part of the labelled sample, never trained on, then calibrates each view (Platt) and
-fits the weights of the two calibrated log odds.
+shares of distinct and of repeated words). Both are logistic regressions. In every round both classifiers score every
+unlabelled document. Each hands to the other one the documents it is surest of: round r takes the outermost r * ``take``
+of all scores, cut at exact quantiles over all documents in the proportion of the classes, and only beyond ``sure``. A
+held-out part of the labelled sample, three tenths of each class and never trained on, then calibrates each view (Platt)
+and fits the weights of the two calibrated log odds.
 
-The fit uses bounded samples: at most ``labelled`` labelled documents and a pool of at most ``pool`` unlabelled ones,
-both the first by a hash of the id. The score covers every row in one pass without a shuffle.
+Only what a regression is fitted on is bounded: at most ``labelled`` labelled documents, and of the pseudo-labelled ones
+of each view and round a sample by hash of about ``pseudo`` rows, drawn alike from all of them. Scores, quantiles and the
+choice of the surest cover all documents and grow with them: a round is one pass over the texts.
 
 Null text, language, source or length count as empty, a value of their own and zero. A document with several labels
-has their mean, rounded half up; null labels are no labels. With labels of one class only, or none, every document
-gets that class (none: 1). Repeated rows get equal scores. No rows in, no rows out.
+has their mean, rounded half up; null labels are no labels. Rows with a null id are scored but lend no pseudo-label. With
+labels of one class only, or none, every document gets that class (none: 1). A class of a single labelled document uses it
+both to fit and to calibrate. Repeated rows get equal scores. No rows in, no rows out.
 """
 
 from __future__ import annotations
@@ -26,17 +29,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgewater.llm.words import buffers, row_chunks, words_of
+from ridgewater.llm.words import buffers, fresh, row_chunks, words_of
+from ridgewater.operators.scale import exact_quantiles
 from ridgewater.session import stage
 
+# Rows that a regression is fitted on at most: labelled ones, and about so many pseudo-labelled ones.
 LABELLED = 10_000
-POOL = 10_000
+PSEUDO = 5_000
 ROUNDS = 3
-PER_ROUND = 1_500
+# Share of all unlabelled documents that is handed over in the first round; round r takes r times as many.
+TAKE = 0.1
 SURE = 0.95
+HELD_OUT = 0.3
+VIEWS = ("text_view", "meta_view")
 PAIRS, LANGS, SOURCES = 512, 8, 16
 _LEFT = np.random.default_rng(5).integers(0, PAIRS, 256)
 _RIGHT = np.random.default_rng(6).integers(0, PAIRS, 256)
@@ -141,6 +149,58 @@ def _odds(rows: DataFrame, view: str, line: Line) -> DataFrame:
     return rows.withColumn("odds", F.aggregate(pairs, F.lit(line.intercept), lambda total, x: total + x))
 
 
+def all_odds(docs: DataFrame, columns: tuple[str, str, str, str, str], lines: dict[str, Line]) -> DataFrame:
+    """id, text_view and meta_view: the log odds that each view gives every document, in one pass over the texts."""
+    kind = dict(docs.dtypes)[columns[0]]
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 500):
+                few = batch.slice(at, 500)
+                views = text_view(few.column(1)), meta_view(few.column(1), *[few.column(c).to_pylist() for c in (2, 3, 4)])
+                odds = [pa.array(made @ lines[view].weights + lines[view].intercept) for view, made in zip(VIEWS, views)]
+                yield pa.RecordBatch.from_arrays([few.column(0), *odds], ["id", *VIEWS])
+
+    return docs.select(*columns).mapInArrow(make, f"id {kind}, text_view double, meta_view double")
+
+
+def surest(odds: DataFrame, share: float, take: float, sure: float = SURE) -> dict[str, tuple[float, float]]:
+    """For each view the log odds at or below which a document is surely bad, and at or above which it is surely good.
+
+    The outermost ``take`` of all documents, in the proportion of the classes, by exact quantiles; never within ``sure``.
+    """
+    limit = math.log(sure / (1 - sure))
+    long = odds.select(F.explode(F.array(*[F.struct(F.lit(v).alias("view"), F.col(v).alias("odds")) for v in VIEWS])).alias("x")).select("x.*")
+    low, high = take * (1 - share), 1 - take * share
+    found = {(r.view, r.p): r["quantile"] for r in exact_quantiles(long, ["view"], "odds", [low, high]).collect()}
+    return {v: (min(-limit, found.get((v, low), -limit)), max(limit, found.get((v, high), limit))) for v in VIEWS}
+
+
+def handed_over(odds: DataFrame, cuts: dict[str, tuple[float, float]], share: float, pseudo: int, seed: int) -> DataFrame:
+    """id, view (the one that learns) and label of a sample of the documents that the other view is sure of."""
+    sides = []
+    for view, other in (VIEWS, VIEWS[::-1]):
+        low, high = cuts[view]
+        label = F.when(F.col(view) >= high, 1).when(F.col(view) <= low, 0)
+        sides.append(F.struct(F.lit(other).alias("view"), label.alias("label")))
+    sure = odds.select("id", F.explode(F.array(*sides)).alias("x")).select("id", "x.*").filter("label is not null")
+    counts = {(r.view, r.label): r.n for r in sure.groupBy("view", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    part = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30))
+    most = F.lit(0)
+    for (view, label), n in counts.items():
+        wanted = max(1, pseudo * (share if label else 1 - share))
+        most = F.when((F.col("view") == view) & (F.col("label") == label), math.ceil(min(1.0, wanted / n) * (1 << 30))).otherwise(most)
+    return sure.filter(part < most).distinct()
+
+
+def _sampled(known: DataFrame, labelled: int) -> DataFrame:
+    """The ``labelled`` labelled rows with the lowest hashes; most others are cut by their hash before any is sorted."""
+    n, order = known.count(), F.xxhash64("id", F.lit(7))
+    if n > labelled:
+        known = known.filter(F.pmod(order, F.lit(1 << 30)) < math.ceil(min(1.0, 1.5 * labelled / n) * (1 << 30)))
+    return known.orderBy(F.pmod(order, F.lit(1 << 30)), "id").limit(labelled)
+
+
 def train(
     docs: DataFrame,
     labels: DataFrame,
@@ -148,67 +208,75 @@ def train(
     label_id: str = "doc_id",
     label_col: str = "quality",
     labelled: int = LABELLED,
-    pool: int = POOL,
+    pseudo: int = PSEUDO,
     rounds: int = ROUNDS,
-    per_round: int = PER_ROUND,
+    take: float = TAKE,
     sure: float = SURE,
 ) -> Model:
     named = labels.filter(F.col(label_col).isNotNull() & F.col(label_id).isNotNull())
     named = named.groupBy(F.col(label_id).alias("id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("label"))
     here = docs.select(F.col(columns[0]).alias("id")).filter("id is not null").distinct()
-    known = here.join(named, "id", "left")
-    order = F.xxhash64("id", F.lit(7))
-    sample = known.filter("label is not null").orderBy(order, "id").limit(labelled)
-    rest = known.filter("label is null").orderBy(order, "id").limit(pool)
-    chosen = stage(sample.unionByName(rest), "chosen")
-    found = docs.join(F.broadcast(chosen), docs[columns[0]] == chosen["id"]).drop(chosen["id"])
-    views = _views(found, columns).dropDuplicates(["id"]).join(F.broadcast(chosen), "id")
-    views = stage(views.withColumn("held_out", F.pmod(F.xxhash64("id", F.lit(8)), F.lit(10)) < 3).coalesce(12), "views")
-
-    given = views.filter("label is not null")
-    classes = {(r["label"], r["held_out"]): r["n"] for r in given.groupBy("label", "held_out").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if any(not classes.get((label, part)) for label in (0, 1) for part in (False, True)):
-        sums = {label: sum(n for (k, _), n in classes.items() if k == label) for label in (0, 1)}
+    known = stage(here.join(named, "id"), "labelled")
+    sample = stage(_sampled(known, labelled), "sample")
+    classes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(classes) < 2:
         none = Line(np.zeros(1), 0.0)
-        return Model(none, none, none, none, none, float(sums[1] >= sums[0]))
-    share = classes[1, False] / (classes[0, False] + classes[1, False])
-    fitted_on = given.filter("not held_out")
-    unlabelled = views.filter("label is null").drop("label")
-    extra: dict[str, DataFrame | None] = {"text_view": None, "meta_view": None}
-    lines: dict[str, Line] = {}
+        return Model(none, none, none, none, none, float(1 in classes or not classes))
+    share = classes[1] / (classes[0] + classes[1])
+    # The sample is bounded, so its rows may be ranked in one task.
+    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("id", F.lit(8)), "id"))
+    parts = F.when(F.col("label") == 1, classes[1]).otherwise(classes[0])
+    ranked = sample.withColumn("rank", rank).withColumn("of", parts)
+    judge = F.col("rank") <= F.greatest(F.lit(1), F.floor(F.col("of") * HELD_OUT))
+    ranked = ranked.select("id", "label", judge.alias("held_out"), (~judge | (F.col("of") == 1)).alias("fits"))
+    given = stage(_of_ids(docs, columns, ranked), "given")
+    fitted_on = given.filter("fits").select("id", "label", *VIEWS)
+    extra: DataFrame | None = None
     for number in range(rounds + 1):
-        for view in extra:
-            lines[view] = _fit(fitted_on if extra[view] is None else fitted_on.unionByName(extra[view]), view)
-        if number == rounds:
-            break
-        limit = math.log(sure / (1 - sure))
-        for view, other in (("text_view", "meta_view"), ("meta_view", "text_view")):
-            left = unlabelled if extra[other] is None else unlabelled.join(extra[other].select("id"), "id", "left_anti")
-            scored = _odds(left, view, lines[view])
-            good = scored.filter(F.col("odds") >= limit).orderBy(F.desc("odds"), "id").limit(max(1, round(per_round * share)))
-            bad = scored.filter(F.col("odds") <= -limit).orderBy("odds", "id").limit(max(1, round(per_round * (1 - share))))
-            given_on = good.withColumn("label", F.lit(1)).unionByName(bad.withColumn("label", F.lit(0))).drop("odds")
-            given_on = stage(given_on, "pseudo")
-            extra[other] = given_on if extra[other] is None else extra[other].unionByName(given_on)
+        lines = {}
+        for view in VIEWS:
+            more = None if extra is None else extra.filter(F.col("view") == view).select("id", "label", *VIEWS)
+            lines[view] = _fit(fitted_on if more is None else fitted_on.unionByName(more), view)
+        if number < rounds:
+            odds = all_odds(docs.filter(F.col(columns[0]).isNotNull()), columns, lines)
+            odds = stage(odds, "odds").join(known.select("id"), "id", "left_anti")
+            cuts = surest(odds, share, min(1.0, take * (number + 1)), sure)
+            extra = stage(_of_ids(docs, columns, stage(handed_over(odds, cuts, share, pseudo, number), "pseudo")), "pseudo-views")
 
     judged = given.filter("held_out")
     scales = {}
-    for view in extra:
+    for view in VIEWS:
         scales[view] = _fit(_odds(judged, view, lines[view]).withColumn("one", F.array("odds")), "one")
     both = judged
-    for view in extra:
+    for view in VIEWS:
         scale = scales[view]
         both = _odds(both, view, lines[view]).withColumn(f"{view}_odds", F.col("odds") * float(scale.weights[0]) + scale.intercept)
     both = both.withColumn("two", F.array("text_view_odds", "meta_view_odds"))
     return Model(lines["text_view"], lines["meta_view"], scales["text_view"], scales["meta_view"], _fit(both, "two"), None)
 
 
-def scored(docs: DataFrame, model: Model, columns: tuple[str, str, str, str, str] = ("doc_id", "text", "lang", "source", "n_chars")) -> DataFrame:
-    """Every row with all its columns and __text_score, __meta_score, __score: the chance of good quality."""
+def _of_ids(docs: DataFrame, columns: tuple[str, str, str, str, str], ids: DataFrame) -> DataFrame:
+    """The views of the documents of a bounded sample, with the sample's columns; of rows with one id any one counts."""
+    wanted = ids.select(F.col("id").alias("_wanted")).distinct()
+    found = docs.select(*columns)
+    found = found.join(F.broadcast(wanted), F.col(columns[0]) == F.col("_wanted"), "left_semi")
+    return _views(found, columns).dropDuplicates(["id"]).join(F.broadcast(ids), "id").coalesce(12)
+
+
+SCORES = ("__text_score", "__meta_score", "__score")
+
+
+def scored(
+    docs: DataFrame,
+    model: Model,
+    columns: tuple[str, str, str, str, str] = ("doc_id", "text", "lang", "source", "n_chars"),
+    names: tuple[str, str, str] = SCORES,
+) -> DataFrame:
+    """Every row with all its columns and both views' and the joint chance of good quality, under ``names``."""
     from pyspark.sql.types import DoubleType, StructType
 
     schema = StructType(list(docs.schema.fields))
-    for name in ("__text_score", "__meta_score", "__score"):
+    for name in names:
         schema = schema.add(name, DoubleType())
     at = [docs.columns.index(c) for c in columns]
 
@@ -219,11 +287,12 @@ def scored(docs: DataFrame, model: Model, columns: tuple[str, str, str, str, str
                 text = text_view(few.column(at[1]))
                 meta = meta_view(few.column(at[1]), *[few.column(c).to_pylist() for c in at[2:]])
                 made = [pa.array(np.asarray(s, np.float64)) for s in model.scores(text, meta)]
-                yield pa.RecordBatch.from_arrays([*few.columns, *made], [*few.schema.names, "__text_score", "__meta_score", "__score"])
+                yield pa.RecordBatch.from_arrays([*few.columns, *made], [*few.schema.names, *names])
 
     return docs.mapInArrow(score, schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows whose chance of good quality is at least one half, with their columns."""
-    return scored(docs, train(docs, labels)).filter("__score >= 0.5").select(*docs.columns)
+    names = tuple(fresh(docs.columns, *SCORES))
+    return scored(docs, train(docs, labels), names=names).filter(F.col(names[2]) >= 0.5).select(*docs.columns)

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgewater.llm.words import SPACE
+from ridgewater.llm.words import SPACE, fresh
 from ridgewater.session import stage
 
 COUNTERS = 1023
@@ -89,17 +89,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Rows are found again by id, digest and length; rows that repeat all three are reduced to one of them.
     """
-    won = exact_groups(docs, id_col, text_col).filter("kept")
-    won = won.select(*[F.col(c).alias(f"__{c}") for c in ("id", "digest", "chars", "group_size")])
-    made = docs.select(
-        "*", digest(F.col(text_col)).alias("__made"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("__length")
-    )
-    same = (
-        F.col(id_col).eqNullSafe(F.col("__id"))
-        & (F.col("__made") == F.col("__digest"))
-        & (F.col("__length") == F.col("__chars"))
-    )
-    met = made.join(won, same)
-    single = met.filter("__group_size = 1")
-    once = met.filter("__group_size > 1").dropDuplicates(["__digest"])
+    own = ("id", "digest", "chars", "group_size")
+    *names, made, length = fresh(docs.columns, *[f"__{c}" for c in own], "__made", "__length")
+    named = dict(zip(own, names))
+    won = exact_groups(docs, id_col, text_col).filter("kept").select(*[F.col(c).alias(n) for c, n in named.items()])
+    met = docs.select("*", digest(F.col(text_col)).alias(made), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias(length))
+    same = F.col(id_col).eqNullSafe(F.col(named["id"])) & (F.col(made) == F.col(named["digest"])) & (F.col(length) == F.col(named["chars"]))
+    met = met.join(won, same)
+    single = met.filter(F.col(named["group_size"]) == 1)
+    once = met.filter(F.col(named["group_size"]) > 1).dropDuplicates([named["digest"]])
     return single.unionByName(once).select(*docs.columns)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgewater.llm.components import components
-from ridgewater.llm.words import mix, word_windows, words_of
+from ridgewater.llm.words import fresh, mix, word_windows, words_of
 from ridgewater.session import stage
 
 SHINGLE = 5
@@ -274,6 +274,6 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Dat
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", like: float = LIKE) -> DataFrame:
     """The rows of ``docs`` that stay: one document of each group, and every row with a null id."""
-    gone = near_duplicates(docs, id_col, text_col, like).filter("not kept").select(F.col("id").alias("__id")).distinct()
-    gone = gone.hint("merge")
-    return docs.join(gone, docs[id_col] == gone["__id"], "left_anti")
+    (name,) = fresh(docs.columns, "__id")
+    gone = near_duplicates(docs, id_col, text_col, like).filter("not kept").select(F.col("id").alias(name)).distinct()
+    return docs.join(gone.hint("merge"), F.col(id_col) == F.col(name), "left_anti")

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgewater.llm.words import WORD
+from ridgewater.llm.words import WORD, fresh
 from ridgewater.operators.scale import running_totals
 from ridgewater.session import stage
 
@@ -171,16 +171,16 @@ def mixed_documents(
     A document that is never drawn is left out. Draws find their rows by a number that is written with the documents, so
     rows with a null or a repeated id come back as often as each of them is drawn.
     """
-    numbered = stage(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    _, draws = mix_sources(numbered, id_col, text_col, source_col, row_col="__row")
-    draws = draws.select(F.col("row").alias("__drawn"), F.col("words").alias("__words"), F.col("size").alias("__size"))
+    row, drawn, words, size, cut_text = fresh(docs.columns, "__row", "__drawn", "__words", "__size", "__text")
+    numbered = stage(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    _, draws = mix_sources(numbered, id_col, text_col, source_col, row_col=row)
+    draws = draws.select(F.col("row").alias(drawn), F.col("words").alias(words), F.col("size").alias(size))
     pieces = F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    cut = F.array_join(F.slice(pieces, 1, F.col("__words").cast("int")), "")
-    text = F.when(F.col("__words") < F.col("__size"), cut).otherwise(F.col(text_col))
-    out = numbered.join(draws, F.col("__row") == F.col("__drawn")).withColumn("__text", text)
-    is_cut = F.col("__words") < F.col("__size")
-    columns = {c: F.col(c) for c in docs.columns} | {text_col: F.col("__text")}
+    cut = F.array_join(F.slice(pieces, 1, F.col(words).cast("int")), "")
+    is_cut = F.col(words) < F.col(size)
+    out = numbered.join(draws, F.col(row) == F.col(drawn)).withColumn(cut_text, F.when(is_cut, cut).otherwise(F.col(text_col)))
+    columns = {c: F.col(c) for c in docs.columns} | {text_col: F.col(cut_text)}
     if length_col in columns:
         kind = dict(docs.dtypes)[length_col]
-        columns[length_col] = F.when(is_cut, F.length("__text").cast(kind)).otherwise(F.col(length_col))
+        columns[length_col] = F.when(is_cut, F.length(cut_text).cast(kind)).otherwise(F.col(length_col))
     return out.select(*[column.alias(name) for name, column in columns.items()])

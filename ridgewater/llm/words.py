@@ -31,6 +31,18 @@ _SHIFT = np.uint64(33)
 _powers = {}
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores ahead as keep it apart from every column, whatever its case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread every bit of each 64-bit value over all 64 bits."""
     x = (x ^ (x >> _SHIFT)) * _FIRST

@@ -1,6 +1,7 @@
 """Each operator against brute force on texts with every awkward case, on no rows and on repeated rows."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -150,7 +151,7 @@ def test_anchors_are_closed_syncmers(spark):
 
 
 # 4
-def brute_components(rows):
+def brute_components(rows, like=0.85):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = {}
     for i, t in texts(rows).items():
@@ -160,7 +161,7 @@ def brute_components(rows):
     for _ in sets:
         for a in sets:
             for b in sets:
-                if sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                if sets[a] and 100 * len(sets[a] & sets[b]) >= round(100 * like) * len(sets[a] | sets[b]):
                     root[a] = root[b] = min(root[a], root[b])
     return sets, root
 
@@ -294,6 +295,24 @@ def test_cotraining_learns_and_keeps_clean(spark):
     assert cotraining.keep_good(df.limit(0), df.select("doc_id", "quality")).count() == 0
     one = cotraining.train(df, df.select("doc_id", F.lit(1).alias("quality")))
     assert one.constant == 1.0
+    few = df.select("doc_id", F.when(F.col("doc_id") == 4, 0).when(F.col("doc_id").isin(1, 2, 3, 5), 1).alias("quality"))
+    assert cotraining.train(df.drop("quality"), few, rounds=1).constant is None
+
+
+def test_cotraining_hands_over_from_all_documents(spark):
+    """The surest come from exact quantiles over every document, rare sources too, and samples are drawn from all of them."""
+    n = 4000
+    odds = spark.createDataFrame([(i, 20.0 * (i % 997) / 997 - 10, 8.0 - i * 16 / n) for i in range(n)], "id long, text_view double, meta_view double")
+    cuts = cotraining.surest(odds, 0.75, 0.2)
+    for view, at in (("text_view", 1), ("meta_view", 2)):
+        values = [r[at] for r in odds.collect()]
+        want = np.quantile(values, [0.2 * 0.25, 1 - 0.2 * 0.75])
+        assert np.allclose(cuts[view], [min(want[0], -math.log(19)), max(want[1], math.log(19))])
+    every = cotraining.handed_over(odds, cuts, 0.75, 10**9, 1).collect()
+    sure = {"meta_view": [r.id for r in odds.collect() if not cuts["text_view"][0] < r.text_view < cuts["text_view"][1]]}
+    assert sorted(r.id for r in every if r.view == "meta_view") == sorted(sure["meta_view"])
+    some = cotraining.handed_over(odds, cuts, 0.75, 200, 1).filter("view = 'meta_view'").collect()
+    assert 120 < len(some) < 280 and max(r.id for r in some) > n * 0.9 and min(r.id for r in some) < n * 0.1
 
 
 # 8

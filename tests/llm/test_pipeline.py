@@ -2,11 +2,14 @@
 
 import os
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from compare import compare, duck
+from ridgewater.llm import cotraining
 from test_operators import brute_components, brute_groups
 
 SF = "/root/testdata/sf0.001"
@@ -33,7 +36,7 @@ def test_stages(spark, tmp_path):
         elif name == "exact_dedup":
             assert {r.doc_id for r in docs.collect()} == {i for i, g in brute_groups(rows).items() if g[2]}
         elif name == "near_dedup":
-            assert {r.doc_id for r in docs.collect()} == {i for i, c in brute_components(rows)[1].items() if i == c}
+            assert {r.doc_id for r in docs.collect()} == {i for i, c in brute_components(rows, corpus_pipeline.NEAR)[1].items() if i == c}
         elif name == "packing":
             assert {r.doc_id for r in docs.collect()} == {r[0] for r in rows}
         if name != "packing":
@@ -58,3 +61,18 @@ def test_near_stage_takes_pairs_from_four_fifths(spark):
     assert sum(0.8 <= x < 0.85 for x in likes) >= 80 and min(likes) < 0.8
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert {r[0] for r in rows} - {r.doc_id for r in corpus_pipeline.near(spark, docs, SF).collect()} == gone
+
+
+def test_stages_take_any_column_names(spark, monkeypatch):
+    """Columns named like the stages' own, in any case, come through as they were."""
+    none = cotraining.Line(np.zeros(1), 0.0)
+    monkeypatch.setattr(cotraining, "train", lambda docs, labels: cotraining.Model(none, none, none, none, none, 1.0))
+    names = ["__id", "__DIGEST", "__row", "__words", "__text", "__score", "_wanted", "view", "label", "key"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(30)
+    kinds = docs.columns
+    docs = docs.select("*", *[F.concat(F.lit(f"{n} "), F.col("doc_id").cast("string")).alias(n) for n in names])
+    for _, function in corpus_pipeline.STAGES[:-1]:
+        out = function(spark, docs, SF)
+        assert out.columns == [*kinds, *names]
+        rows = out.select("doc_id", *names).distinct().collect()
+        assert rows and all(r[n] == f"{n} {r.doc_id}" for r in rows for n in names)
