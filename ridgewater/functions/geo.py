@@ -212,6 +212,25 @@ def polygon_measures(polygons: DataFrame) -> DataFrame:
     )
 
 
+def representative_points(polygons: DataFrame) -> DataFrame:
+    """A point inside every polygon: polygon_id, lat, lon; holes and several parts are respected.
+
+    The line halfway up the polygon is cut by its sides; the middle of the widest stretch inside is the point. Sides
+    count at their lower end only, so a line through corners is cut an even number of times. A polygon without height
+    has no such stretch and no row. A polygon's list holds its sides on that line, no others.
+    """
+    sides = polygon_edges(polygons)
+    middle = sides.groupBy("polygon_id").agg(((F.min("ay") + F.max("ay")) / 2.0).alias("lat"))
+    cut = sides.join(middle, "polygon_id").filter((F.col("ay") > F.col("lat")) != (F.col("by") > F.col("lat")))
+    at = F.col("ax") + (F.col("lat") - F.col("ay")) * (F.col("bx") - F.col("ax")) / (F.col("by") - F.col("ay"))
+    lines = cut.groupBy("polygon_id", "lat").agg(F.sort_array(F.collect_list(at)).alias("x"))
+    stretch = F.transform(
+        F.sequence(F.lit(0), F.size("x") - 2, F.lit(2)),
+        lambda i: F.struct((F.get("x", i + 1) - F.get("x", i)).alias("width"), (-i).alias("first"), ((F.get("x", i) + F.get("x", i + 1)) / 2.0).alias("lon")),
+    )
+    return lines.select("polygon_id", "lat", F.array_max(stretch)["lon"].alias("lon"))
+
+
 def clip_ring_to_box(ring: Column, west: float, south: float, east: float, north: float) -> Column:
     """A ring cut to an axis-parallel box, one box side after the other."""
     for axis, limit, sign in (("x", west, 1.0), ("x", east, -1.0), ("y", south, 1.0), ("y", north, -1.0)):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ridgewater.operators.scale import global_positions, top_per_group
 from ridgewater.operators.spatial import containing_polygons, grid_nodes_in, nearest_k
+from ridgewater.session import stage
 
 
 def uniform(*parts: Column | int) -> Column:
@@ -25,27 +26,43 @@ def background_points(
     away_km: float = 5.0,
     settlements: DataFrame | None = None,
     settled_km: float = 10.0,
+    barren: int = 20,
 ) -> DataFrame:
     """``n`` uniform points in the region, at least ``away_km`` from every event.
 
-    With ``settlements`` they are also within ``settled_km`` of one. One batch of ``candidates`` is drawn
-    instead of retrying point by point; fewer than ``n`` rows come back if too few qualify.
+    With ``settlements`` they are also within ``settled_km`` of one. Points are numbered and fixed by number and seed;
+    ranges of ``candidates`` numbers are drawn until ``n`` qualify, and the last range is cut to what is missing by
+    the exact order of a hash. Fewer come back only after ``barren`` ranges in a row without a single point that
+    qualifies, which means that the region has no room.
     """
     west, south, east, north = box
     spark = events.sparkSession
-    drawn = spark.range(candidates).select(
-        F.col("id").alias("point_id"),
-        (F.lit(south) + uniform(F.col("id"), seed, 1) * (north - south)).alias("lat"),
-        (F.lit(west) + uniform(F.col("id"), seed, 2) * (east - west)).alias("lon"),
-    )
-    inside = containing_polygons(drawn, region).select("point_id").distinct()
-    kept = drawn.join(inside, "point_id", "left_semi")
-    targets = events.select(F.col("event_id").alias("target_id"), "lat", "lon")
-    kept = kept.join(nearest_k(kept, targets, 1, away_km).select("point_id"), "point_id", "left_anti")
-    if settlements is not None:
-        towns = settlements.select("target_id", "lat", "lon")
-        kept = kept.join(nearest_k(kept, towns, 1, settled_km).select("point_id"), "point_id", "left_semi")
-    return kept.orderBy(uniform(F.col("point_id"), seed, 3)).limit(n)
+
+    def qualified(start: int) -> DataFrame:
+        drawn = spark.range(start, start + candidates).select(
+            F.col("id").alias("point_id"),
+            (F.lit(south) + uniform(F.col("id"), seed, 1) * (north - south)).alias("lat"),
+            (F.lit(west) + uniform(F.col("id"), seed, 2) * (east - west)).alias("lon"),
+        )
+        inside = containing_polygons(drawn, region).select("point_id").distinct()
+        kept = drawn.join(inside, "point_id", "left_semi")
+        targets = events.select(F.col("event_id").alias("target_id"), "lat", "lon")
+        kept = kept.join(nearest_k(kept, targets, 1, away_km).select("point_id"), "point_id", "left_anti")
+        if settlements is not None:
+            towns = settlements.select("target_id", "lat", "lon")
+            kept = kept.join(nearest_k(kept, towns, 1, settled_km).select("point_id"), "point_id", "left_semi")
+        return stage(kept, "background")
+
+    out, missing, start, empty = None, n, 0, 0
+    while missing > 0 and empty < barren:
+        found = qualified(start)
+        count = found.count()
+        if count > missing:
+            order = uniform(F.col("point_id"), seed, 3)
+            found = global_positions(found, [order, F.col("point_id")]).filter(F.col("position") < missing).drop("position")
+        out = found if out is None else out.unionByName(found)
+        missing, start, empty = missing - min(count, missing), start + candidates, 0 if count else empty + 1
+    return out if out is not None else qualified(0).limit(0)
 
 
 def points_in_polygons(polygons: DataFrame, step: float, per_polygon: int = 250, seed: int = 42) -> DataFrame:

@@ -84,6 +84,12 @@ def shortest_paths(spark, sf):
     return graph.shortest_paths(edges, _depots(spark, sf))
 
 
+def shortest_paths_by_chains(spark, sf):
+    """The same costs, searched over chains of nodes with two neighbours at once."""
+    edges = _edges(spark, sf).select("src", "dst", F.col("length_m").alias("cost"))
+    return graph.shortest_paths(edges, _depots(spark, sf), chains=True)
+
+
 def safest_costs(spark, sf):
     edges = roads.with_weights(_risky(spark, sf)).select("src", "dst", F.col("relaxed").alias("cost"))
     return graph.shortest_paths(edges, _depots(spark, sf))
@@ -249,6 +255,7 @@ QUERIES = {
         ),
     ),
     "shortest_paths": (shortest_paths, _SP),
+    "shortest_paths_by_chains": (shortest_paths_by_chains, _SP),
     "safest_costs": (
         safest_costs,
         v.sql("edge node side", "SELECT origin, node, cost FROM sp", **_OVERLAY, depot=_DEPOT, priced=_RELAXED, sp=_search("priced")),

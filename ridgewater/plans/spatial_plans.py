@@ -69,6 +69,10 @@ def compass_to_nearest(spark, sf):
     return both.select("point_id", "target_id", heading.alias("heading"))
 
 
+def representative_points(spark, sf):
+    return _round(geo.representative_points(v.polygons(spark, sf)), "lat", "lon")
+
+
 def polygon_measures(spark, sf):
     out = geo.polygon_measures(v.polygons(spark, sf))
     return out.select(
@@ -111,6 +115,16 @@ _HEADING = """['N','NE','E','SE','S','SW','W','NW'][(floor((degrees(atan2(
   cos(radians(p.lat))*sin(radians(s.lat))-sin(radians(p.lat))*cos(radians(s.lat))*cos(radians(s.lon-p.lon))))+382.5e0)/45e0)::BIGINT % 8)+1]"""
 
 QUERIES = {
+    "representative_points": (
+        representative_points,
+        v.sql(
+            "side",
+            """SELECT polygon_id, round(lat, 6) AS lat, round(arg_max((x + nx)/2, nx - x), 6) AS lon FROM (
+            SELECT *, lead(x) OVER w AS nx, row_number() OVER w AS r FROM cut WINDOW w AS (PARTITION BY polygon_id ORDER BY x)) WHERE r % 2 = 1 GROUP BY polygon_id, lat""",
+            mid="SELECT polygon_id, (min(y1) + max(y1))/2 AS lat FROM side GROUP BY 1",
+            cut="SELECT polygon_id, lat, x1 + (lat-y1)*(x2-x1)/(y2-y1) AS x FROM side JOIN mid USING (polygon_id) WHERE (y1 > lat) <> (y2 > lat)",
+        ),
+    ),
     "point_in_polygon": (
         point_in_polygon,
         v.sql("pt inside", "SELECT point_id, min(polygon_id) AS polygon_id FROM pt LEFT JOIN inside USING (point_id) GROUP BY 1"),

@@ -94,7 +94,7 @@ def read_districts(spark: SparkSession, path: str, lines: bool = False) -> DataF
     out = read_polygons(spark, path, lines=lines)
     name = F.trim(F.replace(F.col("properties")["name"], F.lit(" district"), F.lit("")))
     return out.filter((F.col("properties")["admin_level"] == "5") & (F.coalesce(name, F.lit("")) != "")).select(
-        "polygon_id", name.alias("name"), "rings"
+        "polygon_id", name.alias("name"), "rings", "parts"
     )
 
 

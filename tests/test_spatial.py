@@ -148,3 +148,42 @@ def test_geometry_columns(spark):
     assert len(thin.select(geo.thin_ring(F.col("r"), 0.01).alias("t")).first().t) == 3
     m = geo.polygon_measures(spark.createDataFrame([(1, [[(81.0, 30.0), (81.01, 30.0), (81.01, 30.01), (81.0, 30.01)]])], "polygon_id long, rings array<array<struct<x:double,y:double>>>")).first()
     assert abs(m.area_m2 - 111.2e3 * 0.01 * 96.4e3 * 0.01) / m.area_m2 < 0.01 and abs(m.centroid_lon - 81.005) < 1e-6
+
+
+def test_representative_points_lie_inside(spark):
+    """Concave, holed and two-part polygons, one with corners on the scan line; a flat one has no point."""
+    ring = lambda *xy: [(float(x), float(y)) for x, y in xy]
+    shapes = {
+        1: [ring((0, 0), (4, 0), (4, 4), (3, 4), (3, 1), (1, 1), (1, 4), (0, 4))],
+        2: [ring((0, 0), (6, 0), (6, 6), (0, 6)), ring((1, 1), (5, 1), (5, 5), (1, 5))],
+        3: [ring((0, 0), (2, 0), (2, 4), (0, 4)), ring((10, 0), (15, 0), (15, 4), (10, 4))],
+        4: [ring((0, 0), (2, 2), (4, 0), (6, 2), (4, 4), (2, 2), (0, 4))],
+        5: [ring((0, 1), (3, 1), (5, 1))],
+    }
+    df = spark.createDataFrame(list(shapes.items()), "polygon_id long, rings array<array<struct<x:double,y:double>>>")
+    got = {r.polygon_id: (r.lon, r.lat) for r in geo.representative_points(df).collect()}
+    assert set(got) == {1, 2, 3, 4} and got[3] == (12.5, 2.0) and got[2][0] in (0.5, 5.5)
+
+    def inside(x, y, rings):
+        odd = False
+        for r in rings:
+            for (ax, ay), (bx, by) in zip(r, r[1:] + r[:1]):
+                if (ay > y) != (by > y) and x < ax + (y - ay) * (bx - ax) / (by - ay):
+                    odd = not odd
+        return odd
+
+    assert all(inside(*p, shapes[i]) for i, p in got.items())
+
+
+def test_background_sample_is_exact(spark):
+    from ridgewater.operators import sampling
+
+    square = [(78.0, 30.0), (79.0, 30.0), (79.0, 31.0), (78.0, 31.0)]
+    region = spark.createDataFrame([(1, "r", [square])], "polygon_id long, name string, rings array<array<struct<x:double,y:double>>>")
+    events = spark.createDataFrame([(1, 30.5, 78.5)], "event_id long, lat double, lon double")
+    box = (77.0, 29.0, 80.0, 32.0)
+    rows = sampling.background_points(events, region, box, 25, 90, away_km=20.0).collect()
+    assert len(rows) == 25 == len({r.point_id for r in rows}) and max(r.point_id for r in rows) >= 90
+    assert all(78 < r.lon < 79 and 30 < r.lat < 31 and math.hypot((r.lon - 78.5) * 95.7, (r.lat - 30.5) * 111) > 19 for r in rows)
+    nowhere = (10.0, 10.0, 11.0, 11.0)
+    assert sampling.background_points(events, region, nowhere, 3, 10, barren=2).collect() == []
