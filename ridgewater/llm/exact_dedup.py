@@ -1,9 +1,10 @@
 """Exact duplicates by splitting heavy digests from the rest.
 
-Misra-Gries summaries of every task, added up, name all digests that may hold more than 1 / (counters + 1) of the
-rows. Those are counted exactly and their winners, at most ``counters`` rows, are broadcast, so copies of a heavy
-text are decided where they are read. All other digests are grouped by an ordinary shuffle, in which no key can
-hold more than that share.
+Misra-Gries summaries of every task, added up, name the digests with the largest sure counts, among them every one that
+holds more than 2 / (counters + 1) of the rows: a task's summary understates a count by 1 / (counters + 1) of its rows at
+most, and no more than ``counters`` digests can be left with more than that share. Those are counted exactly and their
+winners, at most ``counters`` rows, are broadcast, so copies of a heavy text are decided where they are read. All other
+digests are grouped by an ordinary shuffle, in which no key can hold more than twice that share.
 
 A text is normalised by deleting white space; null is empty. Equal means an equal SHA-256 of the normalised text.
 Of equal texts the row with the most characters stays, then the smallest id (null last), then the row read first.
@@ -30,8 +31,8 @@ def digest(text) -> F.Column:
 
 
 def frequent(values: DataFrame, counters: int = COUNTERS) -> DataFrame:
-    """Columns value and at_least: every value of the one string column that may hold more than 1 / (counters + 1) of
-    the rows; at most ``counters`` rows, with a lower bound of each count."""
+    """Columns value and at_least: values of the one string column with lower bounds of their counts, the highest first;
+    at most ``counters`` rows, among them every value that holds more than 2 / (counters + 1) of all."""
 
     def trim(held: dict) -> dict:
         if len(held) <= counters:
