@@ -132,12 +132,14 @@ def correct_spelling(queries: DataFrame, query: str, places: list[str], least: f
 
 def indian_mobile(value: Column) -> Column:
     """+91 and ten digits, or null."""
+    # Fixed value: the accepted forms of a number.
     digits = F.regexp_extract(F.regexp_replace(value, r"[\s\-().]", ""), r"^(?:\+?91|0)?([6-9]\d{9})$", 1)
     return F.when(F.length(digits) == 10, F.concat(F.lit("+91"), digits))
 
 
 def person_name(value: Column, longest: int = 40) -> Column:
     """Letters (Latin or Devanagari), spaces, apostrophes and hyphens only."""
+    # Fixed value: the characters that may stand in a name.
     kept = F.regexp_replace(F.coalesce(value, F.lit("")), r"[^A-Za-zऀ-ॿ\s'-]", "")
     return F.substring(F.trim(F.regexp_replace(kept, r"\s+", " ")), 1, longest)
 
