@@ -103,20 +103,21 @@ def _judge(length: int):
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, shard_key, place = Automaton(), None, None
         for batch in batches:
-            docs, starts, stops = [], [], []
-            for kind, key, doc, begin, run in zip(*[c.to_pylist() for c in batch.columns]):
+            docs, parts, starts, stops = [], [], [], []
+            for kind, key, doc, part, begin, run in zip(*[c.to_pylist() for c in batch.columns]):
                 if (kind, key) != shard_key:
                     shard, shard_key, place = Automaton(), (kind, key), None
-                if (doc, begin) == place:
+                if (doc, part, begin) == place:
                     continue
-                place = (doc, begin)
+                place = (doc, part, begin)
                 for start, stop in shard.stream(run.split(b" "), length):
                     docs.append(doc)
+                    parts.append(part)
                     starts.append(begin + start)
                     stops.append(begin + stop)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (docs, starts, stops)], ["doc", "start", "stop"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (docs, parts, starts, stops)], ["doc", "part", "start", "stop"])
 
-    return lambda runs: runs.mapInArrow(stream, "doc long, start long, stop long")
+    return lambda runs: runs.mapInArrow(stream, "doc long, part long, start long, stop long")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_text: bool = False) -> DataFrame:

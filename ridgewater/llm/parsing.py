@@ -131,12 +131,13 @@ def repeated_places(data: np.ndarray, bounds: np.ndarray, names: np.ndarray, len
 
 
 def _judge(length: int):
-    def block(rows: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
-        data = np.frombuffer(b"".join(r[2] for r in rows), np.uint8)
-        sizes = np.array([len(r[2]) for r in rows], np.int64)
+    def block(rows: list[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+        data = np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
+        sizes = np.array([len(r[3]) for r in rows], np.int64)
         bounds = np.concatenate([[0], np.cumsum(sizes)])
-        docs, begins = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
-        _, number = np.unique(docs, return_inverse=True)
+        docs, parts, begins = [np.array([r[i] for r in rows], np.int64) for i in range(3)]
+        numbers: dict[tuple[int, int], int] = {}
+        number = np.array([numbers.setdefault((r[0], r[1]), len(numbers)) for r in rows], np.int64)
         at = np.arange(len(data)) - np.repeat(bounds[:-1], sizes) + np.repeat(begins, sizes)
         found = repeated_places(data, bounds, (np.repeat(number, sizes) << 40) + at, length)
         row = np.searchsorted(bounds, found, side="right") - 1
@@ -144,24 +145,24 @@ def _judge(length: int):
         new[1:] = (row[1:] != row[:-1]) | (found[1:] > found[:-1] + length)
         heads = np.flatnonzero(new)
         tails = np.append(heads[1:], len(found)) - 1 if len(heads) else heads
-        columns = [docs[row[heads]], at[found[heads]], at[found[tails]] + length]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc", "start", "stop"])
+        columns = [docs[row[heads]], parts[row[heads]], at[found[heads]], at[found[tails]] + length]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc", "part", "start", "stop"])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, bytes]] = []
+        held: list[tuple[int, int, int, bytes]] = []
         size, group = 0, None
         for batch in batches:
-            for kind, key, doc, start, run in zip(*[c.to_pylist() for c in batch.columns]):
+            for kind, key, doc, part, start, run in zip(*[c.to_pylist() for c in batch.columns]):
                 if (kind, key) != group and size >= BLOCK:
                     yield from block(held)
                     held, size = [], 0
                 group = (kind, key)
-                held.append((doc, start, run))
+                held.append((doc, part, start, run))
                 size += len(run)
         if held:
             yield from block(held)
 
-    return lambda runs: runs.mapInArrow(parse, "doc long, start long, stop long")
+    return lambda runs: runs.mapInArrow(parse, "doc long, part long, start long, stop long")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_bytes: bool = False) -> DataFrame:

@@ -421,3 +421,21 @@ def test_repeated_rows_and_null_ids(spark):
     assert len(syncmers.edited_fingerprints(df).collect()) == 4 and packing.pack(df, tokenizer_path()).count() >= 4
     found, draws = mixing.mix_sources(df)
     assert found.count() == 4 and parsing.without_repeats(df).count() == 4
+
+
+@pytest.mark.parametrize("hot", [(20_000, 20_000), (3, 20_000), (1_000, 3)])
+def test_repeats_between_texts_of_one_id(spark, hot, monkeypatch):
+    """Different texts of one id or of none are documents of their own, in the order of a hash; groups are bounded by text."""
+    monkeypatch.setattr(repeats, "HOT_ANCHOR", hot[0])
+    monkeypatch.setattr(repeats, "HOT_HOME", hot[1])
+    shared, other = " ".join(f"w{i}" for i in range(40)), " ".join(f"o{i}" for i in range(40))
+    found = [(1, shared), (2, other), (2, f"x y z {shared}"), (2, f"x y z {shared}"), (None, f"a b {other}"), (None, f"c d e {other}"), (None, None)]
+    found += [(3, "tick tock " * 300), (4, "tick tock " * 200), (3, "tock " + "tick tock " * 100)]
+    df = spark.createDataFrame(found, "doc_id long, text string")
+    hashed = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("part"))
+    order = sorted({(r.doc_id or 0, r.part, r.text) for r in hashed.collect()})
+    numbered = {(i, t): n for n, (i, _, t) in enumerate(order)}
+    for operator, brute in ((automata, brute_words), (parsing, brute_bytes)):
+        want = brute([(n, t) for (_, t), n in numbered.items()])
+        got = [(r[0] or 0, *r[1:]) for r in operator.without_repeats(df).collect()]
+        assert sorted(got) == sorted((i or 0, *want[numbered[i or 0, t or ""]]) for i, t in found)
