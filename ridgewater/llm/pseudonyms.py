@@ -6,11 +6,13 @@ dates (year-month-day, day-month-year or month-day-year that exist in the calend
 addresses. Everything else, e.g. 31.02.2020 or 300.1.1.1, is left as it is.
 
 A value is permuted within its format: digits stay digits and letters letters of their case, separators stay, a
-card number keeps a right Luhn sum, a date becomes a date of the same 400 years (a calendar cycle has 189 * 773 days, so
-a Feistel network over these two radices permutes it exactly), an IPv4 address an IPv4 address, a telephone number
-keeps its country code, an e-mail address its domain. The permutation depends on the key, the kind and the value's
-digits alone: equal values get equal pseudonyms in all documents and different values different ones, and the holder
-of the key can reverse it.
+card number keeps a right Luhn sum, an IPv4 address stays one, an e-mail address keeps its domain, a telephone number its
+country code (by the table of codes, so separators do not matter). A date becomes a date of the same 400 years that is
+written with as many digits and read in the same way: year first, day first, or month first where day first gives no date.
+Each number of digits is a set of dates with a Feistel network of its own over two radices, whose product exceeds the set by
+three at most; what falls outside is permuted again. Years 100 to 9699 count as dates. The permutation depends on the key,
+the kind and the value's digits alone: equal values get equal pseudonyms in all documents, different values different ones,
+and the holder of the key can reverse it. One day written with other numbers of digits, or month first, is another value.
 
 Built-in column functions only; rows are neither shuffled nor multiplied. Null text stays null with counts 0, empty text
 stays empty; long texts stay one row. No rows in, no rows out.
@@ -18,12 +20,20 @@ stays empty; long texts stay one row. No rows in, no rows out.
 
 from __future__ import annotations
 
+import math
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
 CYCLE = 146_097
-_LEFT_DAYS, _RIGHT_DAYS = 189, 773
+# The calendar repeats after 400 years, which have 97 leap days; those counted here start with a year like 1700.
+YEARS, LEAP_DAYS = 400, 97
+MONTH_DAYS = (31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)
+YEAR_SPAN = (100, 9699)
+# Country calling codes of one and two digits; all others have three.
+COUNTRY_CODES = "[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}"
 
 KINDS = {
     "email": r"(?<![A-Za-z0-9._+-])[A-Za-z0-9](?:[A-Za-z0-9._+-]{0,63})@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
@@ -82,7 +92,7 @@ def permute_text(text: Column, key: str, kind: str, back: bool = False) -> Colum
     return F.aggregate(order, start, turn, lambda acc: F.concat(acc["l"], acc["r"]))
 
 
-def permute_number(value: Column, left: int, right: int, key: str, kind: str, back: bool = False) -> Column:
+def permute_number(value: Column, left: int | Column, right: int | Column, key: str, kind: str, back: bool = False) -> Column:
     """Feistel network over 0 .. left * right - 1 with two radices."""
     numbers = list(range(1, ROUNDS + 1))
     sign = -1 if back else 1
@@ -142,10 +152,13 @@ def _number(value: Column, key: str, back: bool) -> Column:
 
 
 def _phone(value: Column, key: str, back: bool) -> Column:
-    code = F.regexp_extract(value, r"^\+[0-9]{1,3}(?=[ .(-])|^\+[0-9]", 0)
-    rest = value.substr(F.length(code) + 1, F.length(value))
-    made = F.concat(code, _refilled(rest, permute_text(_digits(rest), key, "phone", back)))
-    return F.when(F.length(_digits(value)).between(8, 15), made)
+    """The digits after the country code are permuted, wherever separators stand."""
+
+    def made(digits: Column) -> Column:
+        code = F.regexp_extract(digits, f"^(?:{COUNTRY_CODES})", 0)
+        return F.concat(code, permute_text(digits.substr(F.length(code) + 1, F.length(digits)), key, "phone", back))
+
+    return F.when(F.length(_digits(value)).between(8, 15), _refilled(value, _once(_digits(value), made)))
 
 
 def _ip(value: Column, key: str, back: bool) -> Column:
@@ -157,36 +170,102 @@ def _ip(value: Column, key: str, back: bool) -> Column:
     return F.when(right, _once(permute_number(address, 65_536, 65_536, key, "ip", back), lambda made: F.array_join(parts(made), ".")))
 
 
+class _DateSet(NamedTuple):
+    """The dates of 400 years that a layout can write: common days first, then the 97 leap days."""
+
+    before: list[int]
+    common: int
+    size: int
+    left: int
+    right: int
+
+
+def _date_set(months: int, low: int, high: int) -> _DateSet:
+    """Months 1 .. ``months``, days ``low`` .. ``high``; radices with the least product not below the size."""
+    days = [min(high, n) - low + 1 for n in MONTH_DAYS[:months]]
+    size = YEARS * sum(days) + (LEAP_DAYS if high > 28 else 0)
+    root = math.isqrt(size)
+    left = min(range(root // 3, root + 1), key=lambda n: (-size % n, -n))
+    return _DateSet([sum(days[:i]) for i in range(months)], sum(days), size, left, -(-size // left))
+
+
+# One set for each number of digits of month and day; dates that only month-first reading allows have days from 13.
+DATE_SETS = [_date_set(months, low, high) for months in (9, 12) for low, high in ((1, 9), (1, 31), (13, 31))]
+
+
+def _of_set(chosen: Column, field: str) -> Column:
+    return F.get(F.array(*[F.lit(getattr(s, field)) for s in DATE_SETS]), chosen)
+
+
+def _walked(at: Column, chosen: Column, key: str, back: bool) -> Column:
+    """Permuted within the set: what falls on one of the few numbers above it is permuted again until it is inside."""
+    size, left, right = [_of_set(chosen, n) for n in ("size", "left", "right")]
+    above = max(s.left * s.right - s.size for s in DATE_SETS)
+
+    def step(acc: Column, _: Column) -> Column:
+        # The start is below zero, so that it is permuted at least once.
+        open_ = F.when(acc < 0, -1 - acc).when(acc >= size, acc)
+        return _once(open_, lambda x: F.when(x.isNull(), acc).otherwise(permute_number(x, left, right, key, "date", back)))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(above)), (-1 - at).cast("long"), step)
+
+
 def _date(value: Column, key: str, back: bool) -> Column:
     parts = F.split(value, "[-/.]")
     marks = F.regexp_replace(value, "[0-9]", "")
-    first_is_year = F.length(parts[0]) == 4
-
-    def day_of(year: Column, month: Column, day: Column) -> Column:
-        text = F.concat_ws("-", F.lpad(year, 4, "0"), F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
-        return F.datediff(text.try_cast("date"), F.lit("1700-01-01").cast("date")).cast("long")
-
-    day_first = day_of(parts[2], parts[1], parts[0])
-    as_day_first = ~first_is_year & day_first.isNotNull()
-    day = F.when(first_is_year, day_of(parts[0], parts[1], parts[2])).otherwise(F.coalesce(day_first, day_of(parts[2], parts[0], parts[1])))
     one, two = marks.substr(1, 1), marks.substr(2, 1)
-
-    def shown(moved: Column) -> Column:
-        year = F.lpad(F.year(moved).cast("string"), 4, "0")
-        month, dom = F.lpad(F.month(moved).cast("string"), 2, "0"), F.lpad(F.dayofmonth(moved).cast("string"), 2, "0")
-        # A month-first date whose day could be read as a month would be read day-first later, so such dates come day-first.
-        return F.when(
-            F.year(moved).between(1, 9999),
-            F.when(first_is_year, F.concat(year, one, month, two, dom))
-            .when(as_day_first | (F.dayofmonth(moved) <= 12), F.concat(dom, one, month, two, year))
-            .otherwise(F.concat(month, one, dom, two, year)),
+    year_first = F.length(parts[0]) == 4
+    year = F.when(year_first, parts[0]).otherwise(parts[2]).cast("int")
+
+    def exists(month: Column, day: Column) -> Column:
+        leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
+        last = F.get(F.array(*[F.lit(n) for n in MONTH_DAYS]), month - 1) + F.when(leap & (month == 2), 1).otherwise(0)
+        return year.between(*YEAR_SPAN) & month.between(1, 12) & (day >= 1) & (day <= last)
+
+    def place(v: Column) -> Column:
+        """Where the date stands in its set."""
+        since = (year - YEAR_SPAN[0]) % YEARS
+        quarter = F.floor(since / 4)
+        leap_day = _of_set(v["set"], "common") * YEARS + quarter - 1 - (quarter > 25).cast("int") - (quarter > 50).cast("int")
+        common = since * _of_set(v["set"], "common") + F.get(_of_set(v["set"], "before"), v["month"] - 1) + v["day"] - v["low"]
+        return F.when((v["month"] == 2) & (v["day"] == 29), leap_day).otherwise(common)
+
+    def back_from(v: Column, at: Column) -> Column:
+        """Years since the start of the 400, month and day of a place."""
+        days, before = _of_set(v["set"], "common"), _of_set(v["set"], "before")
+        within = F.pmod(at, days)
+        month = F.size(F.filter(before, lambda n: n <= within))
+        leap = at - days * YEARS
+        common = F.struct(F.floor(at / days).alias("since"), month.alias("month"), (within - F.get(before, month - 1) + v["low"]).alias("day"))
+        quarter = leap + 1 + (leap >= 24).cast("int") + (leap >= 48).cast("int")
+        leap_day = F.struct((quarter * 4).alias("since"), F.lit(2).alias("month"), F.lit(29).cast("long").alias("day"))
+        return F.when(at < days * YEARS, common).otherwise(leap_day)
+
+    def shown(v: Column, made: Column) -> Column:
+        own = made["since"] + F.floor((year - YEAR_SPAN[0]) / YEARS) * YEARS + YEAR_SPAN[0]
+        shown_year = F.lpad(own.cast("string"), 4, "0")
+        month, day = F.lpad(made["month"].cast("string"), v["month_digits"], F.lit("0")), F.lpad(made["day"].cast("string"), v["day_digits"], F.lit("0"))
+        return (
+            F.when(year_first, F.concat(shown_year, one, month, two, day))
+            .when(v["low"] == 13, F.concat(month, one, day, two, shown_year))
+            .otherwise(F.concat(day, one, month, two, shown_year))
         )
 
-    def permuted(day: Column) -> Column:
-        made = permute_number(F.pmod(day, F.lit(CYCLE)), _LEFT_DAYS, _RIGHT_DAYS, key, "date", back)
-        return F.date_add(F.lit("1700-01-01").cast("date"), (made + F.floor(day / CYCLE) * CYCLE).cast("int"))
+    month_first = ~year_first & ~exists(parts[1].cast("int"), parts[0].cast("int"))
+    month = F.when(month_first, parts[0]).otherwise(parts[1])
+    day = F.when(year_first, parts[2]).when(month_first, parts[1]).otherwise(parts[0])
+    read = F.struct(month.cast("int").alias("month"), day.cast("int").alias("day"), month_first.alias("month_first"), F.length(month).alias("month_digits"), F.length(day).alias("day_digits"))
+
+    def with_set(v: Column) -> Column:
+        kind = F.when(v["month_first"], 2).otherwise(v["day_digits"] - 1)
+        low = F.when(v["month_first"], 13).otherwise(1)
+        return F.struct(v["month"].alias("month"), v["day"].alias("day"), v["month_digits"].alias("month_digits"), v["day_digits"].alias("day_digits"), low.alias("low"), ((v["month_digits"] - 1) * 3 + kind).alias("set"))
+
+    def permuted(v: Column) -> Column:
+        made = _once(_walked(place(v), v["set"], key, back), lambda at: _once(back_from(v, at), lambda d: shown(v, d)))
+        return F.when(exists(v["month"], v["day"]), made)
 
-    return _once(day, lambda d: F.when(d.isNotNull(), _once(permuted(d), shown)))
+    return _once(read, lambda r: _once(with_set(r), permuted))
 
 
 def _email(value: Column, key: str, back: bool) -> Column:

@@ -47,6 +47,38 @@ def test_pseudonyms_are_permutations(spark):
 
 
 # 2
+@pytest.mark.parametrize("layout", ["d/m/y", "y-mm-d", "y-m-dd", "dd.mm.y", "mm/dd/y", "m/dd/y"])
+def test_dates_of_each_layout_are_permuted(spark, layout):
+    """All dates of 400 years in one layout: different, readable in the same way, reversible."""
+    day = F.date_add(F.lit("1700-01-01").cast("date"), F.col("id").cast("int"))
+    month, dom = F.month(day), F.dayofmonth(day)
+    wide = {"y": F.lpad(F.year(day).cast("string"), 4, "0"), "m": month.cast("string"), "d": dom.cast("string")}
+    wide |= {"mm": F.lpad(wide["m"], 2, "0"), "dd": F.lpad(wide["d"], 2, "0")}
+    mark = re.search("[-/.]", layout).group()
+    fields = layout.split(mark)
+    written = F.concat_ws(mark, *[wide[f] for f in fields])
+    fits = F.lit(True)
+    for f, value in (("m", month), ("d", dom)):
+        fits = fits & (value < 10) if f in fields else fits
+    fits = fits & (dom > 12) if fields[0][0] == "m" else fits
+    df = spark.range(0, pseudonyms.CYCLE, 1, 8).filter(fits).select(written.alias("v"), F.lit("date").alias("kind"))
+    made = df.withColumn("w", pseudonyms.pseudonym(F.col("v"), F.col("kind"), "k"))
+    got = made.withColumn("back", pseudonyms.pseudonym(F.col("w"), F.col("kind"), "k", back=True)).toPandas()
+    assert (got.back == got.v).all() and set(got.w) == set(got.v) and (got.w == got.v).mean() < 0.01
+
+
+def test_phones_link_whatever_their_separators(spark):
+    numbers = ["+49 30 1234567", "+49301234567", "+49-30-123-4567", "+353 1 234 5678", "+35312345678", "+1 (415) 555-2671", "+14155552671", "+7 495 123 45 67"]
+    df = spark.createDataFrame([(i, f"call {n}.") for i, n in enumerate(numbers)], "doc_id long, text string")
+    made = [r.text for r in pseudonyms.pseudonymised(df, "k").orderBy("doc_id").collect()]
+    digits = [re.sub("[^0-9]", "", t) for t in made]
+    assert digits[0] == digits[1] == digits[2] and digits[3] == digits[4] and digits[5] == digits[6] and len(set(digits)) == 4
+    assert [d[: len(c)] for d, c in zip(digits, "49 49 49 353 353 1 1 7".split())] == "49 49 49 353 353 1 1 7".split()
+    assert all(re.sub("[0-9]", "9", a) == re.sub("[0-9]", "9", f"call {b}.") and b not in a for a, b in zip(made, numbers))
+    back = pseudonyms.pseudonymised(pseudonyms.pseudonymised(df, "k"), "k", back=True).orderBy("doc_id").collect()
+    assert [r.text for r in back] == [f"call {n}." for n in numbers]
+
+
 def test_mixing_takes_what_targets_say(docs, rows):
     found, draws = mixing.mix_sources(docs, block_words=50, shard_words=500)
     taken = {r["row"]: r for r in draws.groupBy("row").agg(F.sum("words").alias("t"), F.max("copy").alias("c")).collect()}
