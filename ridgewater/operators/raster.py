@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -193,17 +195,37 @@ def focal_mean(cells: DataFrame, band: str, half: int, tile: int = 512) -> DataF
     return both.select("row", "col", band, mean.alias("focal_mean"), (F.col(band) - mean).alias("deviation"))
 
 
-def elevation_percentile(cells: DataFrame, band: str, half: int) -> DataFrame:
-    """Share of cells in the square around each cell that are lower than it, in percent."""
-    offsets = F.explode(F.sequence(F.lit(-half), F.lit(half)))
-    valued = cells.filter(F.col(band).isNotNull()).select("row", "col", band)
-    sent = valued.withColumn("_dr", offsets).withColumn("_dc", offsets).select(
-        (F.col("row") + F.col("_dr")).alias("row"), (F.col("col") + F.col("_dc")).alias("col"), F.col(band).alias("_near")
-    )
-    joined = valued.join(sent, ["row", "col"])
-    return joined.groupBy("row", "col").agg(
-        (F.avg((F.col("_near") < F.col(band)).cast("int")) * 100.0).alias("percentile")
-    )
+def elevation_percentile(cells: DataFrame, band: str, half: int, tile: int = 256) -> DataFrame:
+    """Share of the cells with a value in the square around each cell that are lower than it, in percent.
+
+    A tile meets with the ``half`` cells around it in one group, which is compared with itself once for each offset as
+    arrays; the group's size depends on tile and window alone. One row per cell; null and NaN are no values.
+    """
+    tile = max(tile, half)
+    size = tile + 2 * half
+
+    def over(run: str) -> Column:
+        return F.explode(F.array_distinct(F.array(*[F.floor((F.col(run) + d) / tile) for d in (-half, 0, half)])))
+
+    def of_tile(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        top, left = key[0] * tile - half, key[1] * tile - half
+        grid = np.full((size, size), np.nan)
+        grid[frame["row"].to_numpy() - top, frame["col"].to_numpy() - left] = frame["z"].to_numpy()
+        own = grid[half : half + tile, half : half + tile]
+        lower = np.zeros(own.shape, np.int32)
+        for r in range(2 * half + 1):
+            for c in range(2 * half + 1):
+                lower += grid[r : r + tile, c : c + tile] < own
+        held = np.pad((~np.isnan(grid)).cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+        width = 2 * half + 1
+        known = held[width:, width:] - held[:-width, width:] - held[width:, :-width] + held[:-width, :-width]
+        row, col = np.nonzero(~np.isnan(own))
+        percent = lower[row, col] / known[row, col] * 100.0
+        return pd.DataFrame({"row": row + top + half, "col": col + left + half, "percentile": percent})
+
+    valued = cells.filter(F.col(band).isNotNull() & ~F.isnan(band)).select(F.col("row").cast("long"), F.col("col").cast("long"), F.col(band).cast("double").alias("z"))
+    spread = valued.withColumn("_tile_row", over("row")).withColumn("_tile_col", over("col"))
+    return spread.groupBy("_tile_row", "_tile_col").applyInPandas(of_tile, "row long, col long, percentile double")
 
 
 def wetness(sca: Column, slope_deg: Column) -> tuple[Column, Column]:
@@ -322,3 +344,30 @@ def pixel_groups(cells: DataFrame, value: str) -> DataFrame:
 def sieve(cells: DataFrame, value: str, smallest: int = 8) -> DataFrame:
     """Cells of groups with at least ``smallest`` cells."""
     return pixel_groups(cells, value).filter(F.col("size") >= smallest).select("row", "col", value, "group", "size")
+
+
+def merge_small(cells: DataFrame, value: str, smallest: int = 8) -> DataFrame:
+    """Cells of groups below ``smallest`` take the value of the largest group they touch: row, col, value.
+
+    Touching is 8-connected and the background is a value like others, so that specks go and small holes are filled.
+    Where the largest neighbour (ties: the smaller group id) is small itself, its own largest neighbour counts, and so on; a
+    group whose chain ends in none of full size keeps its value. Chains are followed by doubling, for as many rounds as
+    the number of small groups allows; only small groups and what they touch take part.
+    """
+    tagged = stage(pixel_groups(cells, value), "merge-groups")
+    small = tagged.filter(F.col("size") < smallest).select("row", "col", F.col("group").alias("own"))
+    # A cell's group is sent to all cells around it; those of small groups take it.
+    near = _shifted(tagged.withColumnRenamed(value, "_v"), AROUND, ["_v", "group", "size"])
+    touching = small.join(near, ["row", "col"]).filter(F.col("group") != F.col("own"))
+    largest = touching.groupBy("own").agg(F.max(F.struct("size", (-F.col("group")).alias("back"), "_v")).alias("b"))
+    links = stage(largest.select("own", (-F.col("b.back")).alias("to"), (F.col("b.size") >= smallest).alias("ends"), F.col("b._v").alias("_v")), "merge-links")
+    rounds = max(links.count(), 1).bit_length()
+    for _ in range(rounds):
+        following = links.filter(~F.col("ends"))
+        if following.isEmpty():
+            break
+        ahead = links.select(F.col("own").alias("to"), F.col("to").alias("next"), F.col("ends").alias("next_ends"), F.col("_v").alias("next_v"))
+        moved = following.drop("_v", "ends").join(ahead, "to").select("own", F.col("next").alias("to"), F.col("next_ends").alias("ends"), F.col("next_v").alias("_v"))
+        links = stage(moved.unionByName(links.filter("ends")), "merge-links")
+    merged = links.filter("ends").select(F.col("own").alias("group"), F.col("_v").alias("_new"))
+    return tagged.join(merged, "group", "left").select("row", "col", F.coalesce("_new", value).alias(value))

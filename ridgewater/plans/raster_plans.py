@@ -79,8 +79,13 @@ def focal_mean(spark, sf):
     return out.select("row", "col", F.round("focal_mean", 6).alias("focal_mean"), F.round("deviation", 6).alias("deviation"))
 
 
+def focal_mean_wide(spark, sf):
+    out = ra.focal_mean(_terrain(spark, sf), "z", 25, tile=64)
+    return out.select("row", "col", F.round("focal_mean", 6).alias("focal_mean"), F.round("deviation", 6).alias("deviation"))
+
+
 def elevation_percentile(spark, sf):
-    out = ra.elevation_percentile(_terrain(spark, sf), "z", 3)
+    out = ra.elevation_percentile(_terrain(spark, sf), "z", 12)
     return out.select("row", "col", F.round("percentile", 6).alias("percentile"))
 
 
@@ -109,6 +114,10 @@ def pixel_sieve(spark, sf):
     return out.groupBy("kind").agg(F.count(F.lit(1)).alias("n_cells"), F.count_distinct("group").alias("n_groups"), F.max("size").alias("largest"))
 
 
+def pixel_merge(spark, sf):
+    return ra.merge_small(_terrain(spark, sf), "kind", 8)
+
+
 def _pixels(spark, sf):
     return v.table(spark, sf, "part").select(
         ((F.col("p_partkey") * 7) % 256).cast("double").alias("r"), ((F.col("p_partkey") * 13) % 256).cast("double").alias("g"),
@@ -229,12 +238,21 @@ QUERIES = {
             t=_TER,
         ),
     ),
+    "focal_mean_wide": (
+        focal_mean_wide,
+        v.sql(
+            "",
+            """SELECT a.row, a.col, round(avg(b.z), 6) AS focal_mean, round(min(a.z) - avg(b.z), 6) AS deviation
+            FROM t a JOIN t b ON b.row BETWEEN a.row-25 AND a.row+25 AND b.col BETWEEN a.col-25 AND a.col+25 GROUP BY 1,2""",
+            t=_TER,
+        ),
+    ),
     "elevation_percentile": (
         elevation_percentile,
         v.sql(
             "",
             """SELECT a.row, a.col, round(avg((b.z < a.z)::INT)*100e0, 6) AS percentile
-            FROM t a JOIN t b ON b.row BETWEEN a.row-3 AND a.row+3 AND b.col BETWEEN a.col-3 AND a.col+3 GROUP BY 1,2""",
+            FROM t a JOIN t b ON b.row BETWEEN a.row-12 AND a.row+12 AND b.col BETWEEN a.col-12 AND a.col+12 GROUP BY 1,2""",
             t=_TER,
         ),
     ),
@@ -269,6 +287,23 @@ QUERIES = {
             SELECT l.b, min(f.c) FROM cc f JOIN link l ON l.a = f.node JOIN recurring.cc p ON p.node = l.b WHERE f.c < p.c GROUP BY 1)""",
         ),
     ),
+    "pixel_merge": (
+        pixel_merge,
+        v.sql(
+            "",
+            """SELECT g.row, g.col, coalesce(f.kind, g.kind) AS kind FROM g LEFT JOIN (SELECT w.s, z.kind FROM walk w
+            JOIN (SELECT DISTINCT c, kind, size FROM g) z ON z.c = w.reach WHERE w.reach <> w.s AND z.size >= 8) f ON f.s = g.c""",
+            t=_TER,
+            link="""SELECT a.row*1000+a.col AS a, b.row*1000+b.col AS b FROM t a JOIN t b ON b.row BETWEEN a.row-1 AND a.row+1
+            AND b.col BETWEEN a.col-1 AND a.col+1 AND a.kind = b.kind""",
+            cc="""cc(node, c) USING KEY (node) AS (SELECT a, min(least(a, b)) FROM link GROUP BY 1 UNION
+            SELECT l.b, min(f.c) FROM cc f JOIN link l ON l.a = f.node JOIN recurring.cc p ON p.node = l.b WHERE f.c < p.c GROUP BY 1)""",
+            g="""SELECT t.row, t.col, t.kind, cc.c, count(*) OVER (PARTITION BY cc.c) AS size FROM t JOIN cc ON cc.node = t.row*1000+t.col""",
+            big="""SELECT s, arg_max(c, size*10000000 - c) AS c FROM (SELECT DISTINCT a.c AS s, b.c, b.size FROM g a JOIN g b ON a.size < 8
+            AND b.row BETWEEN a.row-1 AND a.row+1 AND b.col BETWEEN a.col-1 AND a.col+1 AND a.c <> b.c) GROUP BY s""",
+            walk="""walk(s, reach) USING KEY (s, reach) AS (SELECT s, s FROM big UNION SELECT w.s, n.c FROM walk w JOIN big n ON n.s = w.reach)""",
+        ),
+    ),
     "colour_classes": (
         colour_classes,
         f"""WITH px AS ({_PX}), hsv AS ({_HSV}) SELECT CASE WHEN r > 150 AND g < 120 AND b < 120 AND r > g*1.5e0 AND r > b*1.5e0 AND (h < 15 OR h > 345) AND s > 0.4e0 THEN 'EXTREME'

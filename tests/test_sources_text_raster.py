@@ -140,3 +140,60 @@ def test_codes_and_soil(spark):
     rows = [(10.0, 45.0, "D"), (40.0, 22.0, "C"), (60.0, 10.0, "A"), (30.0, 10.0, "B"), (None, 10.0, None)]
     soil = spark.createDataFrame(rows, "s double, c double, want string")
     assert soil.filter(~ra.soil_group(F.col("s"), F.col("c")).eqNullSafe(F.col("want"))).count() == 0
+
+
+@pytest.mark.parametrize("half, tile", [(12, 16), (25, 256), (3, 2)])
+def test_percentile_over_tiles(spark, half, tile):
+    rng = np.random.default_rng(half)
+    grid = rng.integers(0, 30, (45, 61)).astype(float)
+    grid[rng.random(grid.shape) < 0.1] = np.nan
+    rows = [(r - 20, c - 7, None if np.isnan(z) else float(z)) for (r, c), z in np.ndenumerate(grid)]
+    cells = spark.createDataFrame(rows, "row long, col long, z double")
+    got = {(r.row + 20, r.col + 7): r.percentile for r in ra.elevation_percentile(cells, "z", half, tile).collect()}
+    assert len(got) == int((~np.isnan(grid)).sum())
+    for (r, c), share in got.items():
+        window = grid[max(0, r - half) : r + half + 1, max(0, c - half) : c + half + 1]
+        assert abs(share - (window < grid[r, c]).sum() / (~np.isnan(window)).sum() * 100) < 1e-9
+    assert ra.elevation_percentile(cells.limit(0), "z", half, tile).count() == 0
+
+
+def brute_merge(grid, smallest):
+    label, sizes = np.full(grid.shape, -1), {}
+    around = [(r, c) for r in (-1, 0, 1) for c in (-1, 0, 1) if r or c]
+    inside = lambda r, c: 0 <= r < grid.shape[0] and 0 <= c < grid.shape[1]
+    for start in np.ndindex(grid.shape):
+        if label[start] >= 0:
+            continue
+        name, todo, label[start] = start[0] * 1000 + start[1], [start], start[0] * 1000 + start[1]
+        sizes[name] = 0
+        while todo:
+            r, c = todo.pop()
+            sizes[name] += 1
+            for a, b in ((r + i, c + j) for i, j in around):
+                if inside(a, b) and label[a, b] < 0 and grid[a, b] == grid[r, c]:
+                    label[a, b] = name
+                    todo.append((a, b))
+    touched = {}
+    for r, c in np.ndindex(grid.shape):
+        touched.setdefault(label[r, c], set()).update(label[r + i, c + j] for i, j in around if inside(r + i, c + j))
+    out = grid.copy()
+    for name in sizes:
+        at, seen = name, set()
+        while sizes[at] < smallest and at not in seen and touched[at] - {at}:
+            seen.add(at)
+            at = max(touched[at] - {at}, key=lambda g: (sizes[g], -g))
+        if sizes[at] >= smallest:
+            out[label == name] = grid[at // 1000, at % 1000]
+    return out
+
+
+@pytest.mark.parametrize("kinds, smallest", [(2, 8), (4, 8), (6, 12)])
+def test_small_groups_and_holes_merge(spark, kinds, smallest):
+    rng = np.random.default_rng(kinds)
+    grid = rng.integers(0, kinds, (24, 30))
+    grid[2:12, 2:12] = 1
+    grid[5:7, 5:7] = 0
+    rows = [(r, c, int(k)) for (r, c), k in np.ndenumerate(grid)]
+    got = ra.merge_small(spark.createDataFrame(rows, "row long, col long, kind long"), "kind", smallest).collect()
+    want = brute_merge(grid, smallest)
+    assert len(got) == grid.size and all(r.kind == want[r.row, r.col] for r in got) and (want[5:7, 5:7] == 1).all()
