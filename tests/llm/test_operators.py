@@ -457,7 +457,7 @@ def test_repeated_rows_and_null_ids(spark):
 
 @pytest.mark.parametrize("hot", [(20_000, 20_000), (3, 20_000), (1_000, 3)])
 def test_repeats_between_texts_of_one_id(spark, hot, monkeypatch):
-    """Different texts of one id or of none are documents of their own, in the order of a hash; groups are bounded by text."""
+    """Different texts of one id or of none are documents of their own, in the order of a hash."""
     monkeypatch.setattr(repeats, "HOT_ANCHOR", hot[0])
     monkeypatch.setattr(repeats, "HOT_HOME", hot[1])
     shared, other = " ".join(f"w{i}" for i in range(40)), " ".join(f"o{i}" for i in range(40))
