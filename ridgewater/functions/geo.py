@@ -254,16 +254,46 @@ def _cut_ring(ring: Column, axis: str, limit: float, sign: float) -> Column:
     return F.flatten(F.transform(pairs, cut))
 
 
+def open_ring(ring: Column) -> Column:
+    """A ring without the repetition of its first point at its end."""
+    closed = F.element_at(ring, 1) == F.element_at(ring, -1)
+    return F.when(closed, F.slice(ring, F.lit(1), F.size(ring) - 1)).otherwise(ring)
+
+
+def clip_ring_to_convex(ring: Column, window: Column) -> Column:
+    """An open ring cut to a convex window (its corners, anticlockwise), one side of the window after the other."""
+    following = F.concat(F.slice(window, F.lit(2), F.size(window) - 1), F.slice(window, 1, 1))
+    sides = F.zip_with(window, following, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+    def cut(points: Column, s: Column) -> Column:
+        left = lambda p: side(p.x, p.y, s.a.x, s.a.y, s.b.x, s.b.y)
+        after = F.concat(F.slice(points, F.lit(2), F.greatest(F.size(points) - 1, F.lit(0))), F.slice(points, 1, 1))
+        steps = F.zip_with(points, after, lambda p, q: F.struct(p.alias("p"), q.alias("q"), left(p).alias("dp"), left(q).alias("dq")))
+
+        def kept(e: Column) -> Column:
+            t = F.try_divide(e.dp, e.dp - e.dq)
+            hit = F.struct((e.p.x + t * (e.q.x - e.p.x)).alias("x"), (e.p.y + t * (e.q.y - e.p.y)).alias("y"))
+            nothing = F.array().cast("array<struct<x:double,y:double>>")
+            return F.when((e.dp >= 0) & (e.dq >= 0), F.array(e.q)).when(e.dp >= 0, F.array(hit)).when(e.dq >= 0, F.array(hit, e.q)).otherwise(nothing)
+
+        return F.flatten(F.transform(steps, kept))
+
+    # Spark takes a fold's state as what its start is, so the start's points must be nullable like the cut ones.
+    return F.aggregate(sides, ring.cast("array<struct<x:double,y:double>>"), cut)
+
+
+def keep_rings(polygons: DataFrame, rings: Column) -> DataFrame:
+    """Polygons with new rings in place of theirs, one for one; rings of fewer than three points go, with their parts."""
+    kept = polygons.withColumn("rings", rings)
+    if "parts" in polygons.columns:
+        numbered = F.filter(F.arrays_zip(F.col("rings").alias("ring"), F.col("parts").alias("part")), lambda z: F.size(z["ring"]) >= 3)
+        kept = kept.withColumn("parts", F.transform(numbered, lambda z: z["part"]))
+    return kept.withColumn("rings", F.filter("rings", lambda r: F.size(r) >= 3)).filter(F.size("rings") > 0)
+
+
 def clip_to_box(polygons: DataFrame, west: float, south: float, east: float, north: float) -> DataFrame:
     """Polygons cut to a box; polygons left with no area are dropped."""
-    first_open = lambda r: F.when(
-        F.element_at(r, 1) == F.element_at(r, -1), F.slice(r, F.lit(1), F.size(r) - 1)
-    ).otherwise(r)
-    cut = F.filter(
-        F.transform(F.col("rings"), lambda r: clip_ring_to_box(first_open(r), west, south, east, north)),
-        lambda r: F.size(r) >= 3,
-    )
-    return polygons.withColumn("rings", cut).filter(F.size("rings") > 0)
+    return keep_rings(polygons, F.transform("rings", lambda r: clip_ring_to_box(open_ring(r), west, south, east, north)))
 
 
 def thin_ring(ring: Column, tolerance: float) -> Column:

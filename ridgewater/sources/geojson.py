@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,27 +32,49 @@ def _parts(kind: Column, coordinates: Column) -> Column:
     return F.when(kind == "Polygon", polygon).when(kind == "MultiPolygon", numbered)
 
 
+def _feature_mark(spark: SparkSession, path: str) -> str | None:
+    """How the first file writes the start of a feature, up to its type; None where the type does not come first."""
+    head = spark.read.text(path, lineSep='"Feature"').first()
+    found = re.search(r'\{\s*"type"\s*:\s*$', head["value"]) if head else None
+    return found.group(0) + '"Feature"' if found else None
+
+
 def read_features(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Features of a layer: position (order in the files), properties (map), geometry_type, coordinates (JSON text).
 
-    A file holds one FeatureCollection, Feature or bare geometry. With ``lines`` every line is one of these,
-    which is the form to use for large layers: such files are split between tasks.
+    A file holds one FeatureCollection, Feature or bare geometry; with ``lines`` every line is one of these. A large
+    collection is split between tasks at the starts of its features: the text source takes what writers put there
+    (``{ "type": "Feature"``, with the white space of the first file) as its line end. A broken feature is then lost
+    alone. Files that write it otherwise, or other members first, are read whole, each in one task. A feature nested
+    in another's properties is not expected.
     """
-    text = spark.read.text(path, wholetext=not lines)
+    mark = None if lines else _feature_mark(spark, path)
+    if mark is None:
+        text = spark.read.text(path, wholetext=not lines).select("value", F.lit(False).alias("part"))
+    else:
+        # What follows a mark never starts with a brace; the beginning of a file does.
+        text = spark.read.text(path, lineSep=mark).select("value", (~F.col("value").rlike("^\\s*\ufeff?\\s*\\{")).alias("part"))
+        text = text.filter("length(trim(value)) > 0")
     whole = F.from_json("value", f"struct<type:string,features:array<{_FEATURE}>,properties:map<string,string>,"
                                  "geometry:struct<type:string,coordinates:string>,coordinates:string>")
+    # Between two marks: the rest of a feature and a comma; after the last, the end of the collection, which the parser leaves unread.
+    rest = F.regexp_replace("value", r",\s*$", "")
+    parts = F.from_json(F.concat(F.lit("[" + (mark or "")), rest, F.lit("]")), f"array<{_FEATURE}>")
     one = F.struct(F.col("v.type").alias("type"), F.col("v.properties").alias("properties"), F.col("v.geometry").alias("geometry"))
     bare = F.struct(
         F.lit("Feature").alias("type"), F.lit(None).cast("map<string,string>").alias("properties"),
         F.struct(F.col("v.type").alias("type"), F.col("v.coordinates").alias("coordinates")).alias("geometry"),
     )
     features = (
-        F.when(F.col("v.type") == "FeatureCollection", F.col("v.features"))
+        F.when(F.col("part"), F.col("p"))
+        .when(F.col("v.type") == "FeatureCollection", F.col("v.features"))
         .when(F.col("v.type") == "Feature", F.array(one))
         .otherwise(F.array(bare))
     )
-    found = text.select(whole.alias("v")).select(F.explode(features).alias("f"))
-    found = found.withColumn("position", F.monotonically_increasing_id())
+    found = text.select("part", F.when(~F.col("part"), whole).alias("v"), F.when(F.col("part"), parts).alias("p"))
+    if mark is not None:
+        found = found.filter("part OR v.type IS NOT NULL")
+    found = found.select(F.explode(features).alias("f")).withColumn("position", F.monotonically_increasing_id())
     return found.select(
         "position",
         F.col("f.properties").alias("properties"), F.col("f.geometry.type").alias("geometry_type"),
