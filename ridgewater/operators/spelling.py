@@ -36,9 +36,15 @@ def similar_names(words: DataFrame, names: DataFrame, least: float = 0.6) -> Dat
         # The longer length M of a pair gives the shorter at least M - edits(M).
         return F.filter(F.sequence(F.lit(1), F.ceil(n / least).cast("int")), lambda m: F.abs(n - m) <= _edits(F.greatest(n, m), least))
 
+    def lengths_of(df: DataFrame, text: str) -> DataFrame:
+        return df.select(F.length(F.lower(text)).alias("_o")).distinct()
+
+    # Lengths that the other side has: one row each, so that odd long words are not cut for nobody.
+    there = {False: lengths_of(names, "name"), True: lengths_of(words, "word")}
+
     def keyed(df: DataFrame, text: str, name_side: bool) -> DataFrame:
         low = df.select(F.col(text), F.lower(text).alias("_t")).filter("length(_t) > 0").withColumn("_n", F.length("_t"))
-        pairs = low.select(text, "_t", "_n", F.explode(other_lengths(F.col("_n"))).alias("_o"))
+        pairs = low.select(text, "_t", "_n", F.explode(other_lengths(F.col("_n"))).alias("_o")).join(there[name_side], "_o", "left_semi")
         pairs = pairs.withColumn("_k", _edits(F.greatest("_n", "_o"), least))
         cut = pairs.select("*", F.explode(F.sequence(F.lit(0), F.col("_k"))).alias("seg"))
         name_len = F.col("_n") if name_side else F.col("_o")
@@ -62,7 +68,7 @@ def similar_names(words: DataFrame, names: DataFrame, least: float = 0.6) -> Dat
 def correct_spelling(queries: DataFrame, query: str, places: DataFrame, least: float = 0.6) -> DataFrame:
     """``queries`` with ``fixed``: the first comma-separated part replaced by the most similar known place.
 
-    ``places``: place and position; of equally similar places the first counts. A query stays as it is where its
+    ``places``: place and position; of equally similar places the first counts, then the least name. A query stays as it is where its
     part is empty or null, nothing is similar enough, or the best place is that part, case ignored. Each spelling is
     looked up once, however many queries have it.
     """
@@ -71,7 +77,8 @@ def correct_spelling(queries: DataFrame, query: str, places: DataFrame, least: f
     words = asked.select(F.col("_word").alias("word")).filter("length(word) > 0").distinct()
     known = places.groupBy(F.col("place").alias("name")).agg(F.min("position").alias("position"))
     scored = similar_names(words, known.select("name"), least).join(known, "name")
-    best = scored.groupBy(F.col("word").alias("_word")).agg(F.max_by("name", F.struct("score", (-F.col("position")).alias("_p"))).alias("_best"))
+    order = F.struct((-F.col("score")).alias("_s"), "position", "name")
+    best = scored.groupBy(F.col("word").alias("_word")).agg(F.min_by("name", order).alias("_best"))
     whole, at = F.col(query), F.position(F.col("_word"), F.col(query))
     swapped = F.concat(F.left(whole, at - 1), F.col("_best"), F.substr(whole, at + F.length("_word")))
     wanted = F.col("_best").isNotNull() & (F.lower("_best") != F.lower("_word"))

@@ -11,6 +11,7 @@ FAMILIES = [
     "feed_plans",
     "layer_plans",
     "model_plans",
+    "outline_plans",
     "rain_plans",
     "raster_plans",
     "road_plans",

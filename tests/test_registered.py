@@ -12,7 +12,7 @@ QUICK = [
     "zone_status", "nearest_polygon", "radius_join", "trailing_totals", "forecast_outlook", "district_days", "roc_auc",
     "exact_quantile", "rarity_other_years", "event_episodes", "report_lifecycle", "ffpi_bands", "road_edges", "warning_feed",
     "polygon_measures", "best_f1", "alert_messages", "fold_assignment", "fetch_plan", "layer_health", "zones_in_order",
-    "covering_polygons", "shelter_clusters", "layers_read_back", "sql_functions",
+    "covering_polygons", "shelter_clusters", "clipped_squares", "spell_fix_words", "layers_read_back", "sql_functions",
 ]
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
 
