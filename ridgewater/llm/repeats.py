@@ -204,7 +204,8 @@ def covered(docs: DataFrame, symbols: Symbols, judge: Callable[[DataFrame], Data
     places = hot.groupBy("doc", "part").agg(F.collect_list(F.struct("place", "last")).alias("places"))
     passages = docs.join(places.hint("merge"), ["doc", "part"]).select("doc", "part", "text", "places")
     passages = passages.mapInArrow(around, "passage long, doc long, part long, start long")
-    passages = stage(passages.distinct() if not keep_first else passages, "passages")
+    # Not staged: within one query the texts shuffled for the runs serve here as well, and only the hashing is done twice.
+    passages = passages.distinct() if not keep_first else passages
     first = passages.groupBy("passage").agg(F.min(F.struct("doc", "part", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     repeated = passages.join(first, "passage")
     if keep_first:
