@@ -209,10 +209,11 @@ def first_worst(now_rank: Column, worst: Column) -> Column:
 
 
 def rain_tier(current: Column, next_hours: Column) -> Column:
-    """HEAVY at 15 mm, MODERATE at 5 mm over the current hour and the next three, else LIGHT."""
-    total = F.coalesce(current, F.lit(0.0)) + F.aggregate(
-        F.slice(next_hours, 1, 3), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0))
-    )
+    """HEAVY at 15 mm, MODERATE at 5 mm over the current hour and the next three, else LIGHT.
+
+    Hours are added in order, as a running sum does, so a total on a limit falls on the same side of it.
+    """
+    total = F.aggregate(F.slice(next_hours, 1, 3), F.coalesce(current, F.lit(0.0)), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
     return F.when(total >= 15, "HEAVY").when(total >= 5, "MODERATE").otherwise("LIGHT")
 
 

@@ -109,3 +109,9 @@ def test_sql_functions(spark):
     st.register_sql_functions(spark)
     row = spark.sql("SELECT rw_window_status(9, 4, 8) AS s, rw_index_band(7.0) AS b, rw_haversine_km(30, 79, 31, 79) AS km").first()
     assert row.s == "CRITICAL" and row.b == "VERY HIGH" and abs(row.km - 111.195) < 0.01
+
+
+def test_tier_totals_are_added_in_hour_order(spark):
+    """0.216 + 7.688 + 4.25 + 2.846 is 15 hour by hour, and just below when the coming hours are added up first."""
+    tier = st.rain_tier(F.lit(0.216), F.array(F.lit(7.688), F.lit(4.25), F.lit(2.846)))
+    assert spark.range(1).select(tier.alias("t")).first().t == "HEAVY"
