@@ -69,17 +69,19 @@ def on_segment(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: C
     )
 
 
-def segments_intersect(a: tuple, b: tuple, c: tuple, d: tuple) -> Column:
+def segments_intersect(a: tuple, b: tuple, c: tuple, d: tuple, touching: bool = True) -> Column:
     """True when closed segments a-b and c-d share a point. Each argument is an (x, y) pair.
 
-    Their boxes overlap and neither segment lies wholly on one side of the other.
+    Their boxes overlap and neither segment lies wholly on one side of the other. Without ``touching`` each has to
+    pass through the inside of the other; an end that only lies on the other segment does not count.
     """
     boxes = None
     for k in (0, 1):
         overlap = (F.least(a[k], b[k]) <= F.greatest(c[k], d[k])) & (F.least(c[k], d[k]) <= F.greatest(a[k], b[k]))
         boxes = overlap if boxes is None else boxes & overlap
-    split_ab = F.signum(side(*c, *a, *b)) * F.signum(side(*d, *a, *b)) <= 0
-    split_cd = F.signum(side(*a, *c, *d)) * F.signum(side(*b, *c, *d)) <= 0
+    most = 0 if touching else -1
+    split_ab = F.signum(side(*c, *a, *b)) * F.signum(side(*d, *a, *b)) <= most
+    split_cd = F.signum(side(*a, *c, *d)) * F.signum(side(*b, *c, *d)) <= most
     return boxes & split_ab & split_cd
 
 

@@ -342,15 +342,18 @@ def join_on_position(left: DataFrame, right: DataFrame, places: int = 5) -> Data
     return keyed_left.join(keyed_right, ["lat_key", "lon_key"])
 
 
-def segments_in_polygons(segments: DataFrame, polygons: DataFrame, size: float = 0.15) -> DataFrame:
-    """Every (segment_id, polygon_id) that share a point. ``segments``: segment_id, x1, y1, x2, y2."""
+def segments_in_polygons(segments: DataFrame, polygons: DataFrame, size: float = 0.15, touching: bool = True) -> DataFrame:
+    """Every (segment_id, polygon_id) that share a point. ``segments``: segment_id, x1, y1, x2, y2.
+
+    Without ``touching`` a segment has to start inside or to cross a side; meeting a corner exactly is no crossing.
+    """
     index = stage(polygon_index(polygons, size), "polygon-index")
     ends = ("x1", "y1", "x2", "y2")
     pieces = segment_cells(spread(segments.select("segment_id", *ends), "segment_id"), size, ends=ends).filter("local").drop("local")
     start_here = (F.floor(F.col("y1") / size) == F.col("cell_row")) & (F.floor(F.col("x1") / size) == F.col("cell_col"))
     joined = spread_join(pieces, index.filter("local"), ["cell_row", "cell_col"], row_id="segment_id")
     meets = segments_intersect(
-        (F.col("x1"), F.col("y1")), (F.col("x2"), F.col("y2")), (F.col("ax"), F.col("ay")), (F.col("bx"), F.col("by"))
+        (F.col("x1"), F.col("y1")), (F.col("x2"), F.col("y2")), (F.col("ax"), F.col("ay")), (F.col("bx"), F.col("by")), touching
     )
     flips = F.when(start_here, _crossings(F.col("x1"), F.col("y1"), size) + F.col("corner")).otherwise(0)
     return (

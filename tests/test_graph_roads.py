@@ -230,3 +230,19 @@ def test_rounds_write_what_improves(spark, monkeypatch):
     assert {r.node: r.cost for r in got} == {i: float(i) for i in range(n + 1)}
     assert sum(k for label, k in written if label == "paths") == n + 1
     assert len([1 for label, _ in written if label == "known"]) == 3
+
+
+def test_touching_a_corner_is_no_hazard(spark):
+    """Edge 0-1 meets the corner (1, 0) of the polygon only, 2-3 crosses it and 4-5 starts inside."""
+    nodes = spark.createDataFrame(
+        [(0, -1.0, 1.0), (1, 1.0, 1.0), (2, -1.0, 0.5), (3, 1.0, 0.5), (4, 0.0, 0.25), (5, 0.125, 0.25)],
+        "node_id long, lat double, lon double",
+    )
+    edges = spark.createDataFrame([(0, 1, 1.0), (3, 2, 1.0), (4, 5, 1.0)], "src long, dst long, length_m double")
+    ring = [(1.0, 0.0), (0.0, 1.0), (-1.0, 0.0), (0.0, -1.0)]
+    polygons = spark.createDataFrame(
+        [(1, "EXTREME", [[{"x": x, "y": y} for x, y in ring]])],
+        "polygon_id long, hazard_class string, rings array<array<struct<x:double,y:double>>>",
+    )
+    found = {r.src: (r.risk, r.hazard_code) for r in roads.hazard_overlay(edges, nodes, polygons).collect()}
+    assert found == {0: (1.0, 0), 3: (8.0, 4), 4: (8.0, 4)}
