@@ -259,6 +259,11 @@ def _distinct_places(targets: DataFrame, k: int) -> DataFrame:
     return top_per_group(targets, ["lat", "lon"], [F.col("target_id")], k, "_copy").drop("_copy")
 
 
+def _spots(points: DataFrame) -> DataFrame:
+    """The different positions of ``points``, written with a number of their own as point_id."""
+    return stage(points.select("lat", "lon").distinct().withColumn("point_id", F.monotonically_increasing_id()), "spots")
+
+
 def _fullest_cell(targets: DataFrame, radius_km: float) -> int:
     size = radius_km / KM_PER_DEGREE
     return (
@@ -272,21 +277,30 @@ def nearest_k(
 ) -> DataFrame:
     """The k nearest targets of every point: point_id, target_id, km, rank. Exact, with no pair cap.
 
-    The search starts at a radius fitted to the fullest part of the target layer, settles the points
-    that already have k targets inside it, and doubles it for the rest.
+    The search starts at a radius fitted to the fullest part of the target layer, settles the places
+    that already have k targets inside it, and doubles it for the rest. Points at one place share its
+    search; a point without a position has no targets.
     """
+    known = points.select("point_id", "lat", "lon").filter("lat IS NOT NULL AND lon IS NOT NULL")
+    spots = _spots(known)
+    found = stage(_nearest_k(spots, targets, k, max_km, start_km).join(spots, "point_id").drop("point_id"), "nearest")
+    return known.join(found, ["lat", "lon"]).select("point_id", "target_id", "km", "rank")
+
+
+def _nearest_k(points: DataFrame, targets: DataFrame, k: int, max_km: float | None, start_km: float) -> DataFrame:
+    """``nearest_k`` for points at different places."""
     spark = points.sparkSession
     places = stage(_distinct_places(targets.select("target_id", "lat", "lon"), k), "targets")
     limit_km = max_km if max_km is not None else 20_100.0
     radius = min(start_km, limit_km)
     fullest = _fullest_cell(places, radius)
-    while radius > 0.05 and fullest > 64 * k:
+    while radius > 0.05 and fullest > 16 * k:
         radius /= 2.0
         fullest = _fullest_cell(places, radius)
     while radius * 2.0 < limit_km and fullest < 2 * k:
         radius *= 2.0
         fullest = _fullest_cell(places, radius)
-    pending, done = points.select("point_id", "lat", "lon"), None
+    pending, done = points, None
     while True:
         pairs = within_radius(pending, places, radius).select("point_id", "target_id", "km")
         ranked = top_per_group(pairs, ["point_id"], [F.col("km"), F.col("target_id")], k)
@@ -309,9 +323,32 @@ def nearest_k(
 def nearest_on_grid(points: DataFrame, grid: DataFrame, max_degrees: float = 0.3, step: float = 0.25) -> DataFrame:
     """Left outer: nearest point of a regular-ish grid, by degrees with longitude scaled by cos(lat).
 
-    ``grid`` needs target_id, lat, lon. Beyond ``max_degrees`` the match is null.
+    ``grid`` needs target_id, lat, lon. Beyond ``max_degrees`` the match is null. The search starts at a reach fitted
+    to the fullest part of the grid, at most ``step``, and doubles it for the places that have found nothing.
     """
-    size = max(max_degrees, step)
+    known = points.filter("lat IS NOT NULL AND lon IS NOT NULL")
+    pending = _spots(known)
+    places = stage(_distinct_places(grid.select("target_id", "lat", "lon"), 1), "targets")
+    reach, done = min(step, max_degrees), None
+    while reach > 0.0005 and _fullest_cell(places, reach * KM_PER_DEGREE) > 16:
+        reach /= 2.0
+    while True:
+        found = stage(_nearest_by_degrees(pending, places, reach), "nearest-round")
+        done = found if done is None else done.unionByName(found)
+        if reach >= max_degrees:
+            break
+        pending = stage(pending.join(found.select("point_id"), "point_id", "left_anti"), "nearest-pending")
+        if pending.isEmpty():
+            break
+        reach = min(reach * 2.0, max_degrees)
+    return points.join(done.select("lat", "lon", "target_id", "degrees"), ["lat", "lon"], "left").select(
+        *points.columns, "target_id", "degrees"
+    )
+
+
+def _nearest_by_degrees(points: DataFrame, grid: DataFrame, reach: float) -> DataFrame:
+    """Points with a grid point within ``reach`` degrees: point_id, lat, lon, target_id, degrees."""
+    size = reach * (1 + 1e-9)
     renamed = grid.select("target_id", F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"))
     top = F.least(F.lit(89.0), F.abs(F.col("t_lat")) + size)
     d_lon = F.lit(size) / F.cos(F.radians(top))
@@ -324,12 +361,11 @@ def nearest_on_grid(points: DataFrame, grid: DataFrame, max_degrees: float = 0.3
     pairs = spread_join(keyed, spread, ["cell_row", "cell_col"], row_id="point_id")
     dx = (F.col("lon") - F.col("t_lon")) * F.cos(F.radians("lat"))
     dy = F.col("lat") - F.col("t_lat")
-    best = first_per_group(
-        pairs.withColumn("degrees", F.sqrt(dx * dx + dy * dy)).filter(F.col("degrees") <= max_degrees),
+    return first_per_group(
+        pairs.withColumn("degrees", F.sqrt(dx * dx + dy * dy)).filter(F.col("degrees") <= reach),
         ["point_id"],
         [F.col("degrees"), F.col("target_id")],
-    )
-    return points.join(best.select("point_id", "target_id", "degrees"), "point_id", "left")
+    ).select("point_id", "lat", "lon", "target_id", "degrees")
 
 
 def join_on_position(left: DataFrame, right: DataFrame, places: int = 5) -> DataFrame:

@@ -187,3 +187,30 @@ def test_background_sample_is_exact(spark):
     assert all(78 < r.lon < 79 and 30 < r.lat < 31 and math.hypot((r.lon - 78.5) * 95.7, (r.lat - 30.5) * 111) > 19 for r in rows)
     nowhere = (10.0, 10.0, 11.0, 11.0)
     assert sampling.background_points(events, region, nowhere, 3, 10, barren=2).collect() == []
+
+
+def test_nearest_searches_by_place_and_by_density(spark, monkeypatch):
+    """200 points at four places and 2,500 targets close together: searched once a place, near targets only."""
+    targets = [(i, 30.0 + (i % 50) * 0.004, 78.0 + (i // 50) * 0.004) for i in range(2500)]
+    spots = [(30.0501, 78.0502), (30.1011, 78.1507), (30.149, 78.02), (30.42, 78.1)]
+    points = [(i, *spots[i % 4]) for i in range(200)] + [(200, None, 78.0)]
+    p = spark.createDataFrame(points, "point_id long, lat double, lon double")
+    t = spark.createDataFrame(targets, "target_id long, lat double, lon double")
+    pairs, plain = [], spatial.spread_join
+
+    def counted(*args, **kwargs):
+        out = plain(*args, **kwargs)
+        pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(spatial, "spread_join", counted)
+    got = {(r.point_id, r["rank"]): r.target_id for r in spatial.nearest_k(p, t, 2, 60.0).collect()}
+    by_grid = {r.point_id: r.target_id for r in spatial.nearest_on_grid(p, t).collect()}
+    assert sum(pairs) < 20_000
+    for i, (lat, lon) in enumerate(spots):
+        near = sorted((haversine(lat, lon, y, x), k) for k, y, x in targets)[:2]
+        flat = min((math.hypot((lon - x) * math.cos(math.radians(lat)), lat - y), k) for k, y, x in targets)
+        for point in range(i, 200, 4):
+            assert [got[point, 1], got[point, 2]] == [k for _, k in near]
+            assert by_grid[point] == (flat[1] if flat[0] <= 0.3 else None)
+    assert len(got) == 400 and len(by_grid) == 201 and by_grid[200] is None
