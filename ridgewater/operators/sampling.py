@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgewater.operators.scale import global_positions, top_per_group
-from ridgewater.operators.spatial import containing_polygons, grid_nodes_in, nearest_k
+from ridgewater.functions.geo import KM_PER_DEGREE, haversine_km
+from ridgewater.operators.scale import global_positions, spread_join, top_per_group
+from ridgewater.operators.spatial import containing_polygons, grid_nodes_in, nearest_k, polygon_index
 from ridgewater.session import stage
 
 
@@ -16,6 +17,24 @@ def uniform(*parts: Column | int) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 53)) / F.lit(float(1 << 53))
 
 
+def _open_cells(region: DataFrame, events: DataFrame, size: float, away_km: float) -> DataFrame:
+    """Cells of the region that no single event takes whole: cell_row, cell_col."""
+    cells = polygon_index(region, size).select("cell_row", "cell_col").distinct()
+    places = events.select(F.col("lat").alias("e_lat"), F.col("lon").alias("e_lon")).dropna().distinct()
+    d_lat = away_km / KM_PER_DEGREE
+    d_lon = F.lit(d_lat) / F.cos(F.radians(F.least(F.lit(89.0), F.abs("e_lat") + d_lat)))
+    rows = F.sequence(F.floor((F.col("e_lat") - d_lat) / size), F.floor((F.col("e_lat") + d_lat) / size))
+    cols = F.sequence(F.floor((F.col("e_lon") - d_lon) / size), F.floor((F.col("e_lon") + d_lon) / size))
+    near = places.withColumn("cell_row", F.explode(rows)).withColumn("cell_col", F.explode(cols))
+    corners = [
+        haversine_km((F.col("cell_row") + r) * size, (F.col("cell_col") + c) * size, F.col("e_lat"), F.col("e_lon"))
+        for r in (0, 1)
+        for c in (0, 1)
+    ]
+    taken = near.filter(F.greatest(*corners) < away_km * 0.999).select("cell_row", "cell_col").distinct()
+    return stage(cells.join(taken, ["cell_row", "cell_col"], "left_anti"), "open-cells")
+
+
 def background_points(
     events: DataFrame,
     region: DataFrame,
@@ -31,19 +50,25 @@ def background_points(
     """``n`` uniform points in the region, at least ``away_km`` from every event.
 
     With ``settlements`` they are also within ``settled_km`` of one. Points are numbered and fixed by number and seed;
-    ranges of ``candidates`` numbers are drawn until ``n`` qualify, and the last range is cut to what is missing by
-    the exact order of a hash. Fewer come back only after ``barren`` ranges in a row without a single point that
-    qualifies, which means that the region has no room.
+    ranges of ``candidates`` numbers, or more when few qualify, are drawn until there are ``n``, and the last range is
+    cut to what is missing by the exact order of a hash. Only points in cells that no event takes whole are looked at
+    closely. Fewer come back only when no such cell is left or after ``barren`` ranges in a row without a single point
+    that qualifies, which means that the region has no room.
     """
     west, south, east, north = box
     spark = events.sparkSession
+    size = max(away_km / KM_PER_DEGREE / 4.0, 0.001)
+    cells = _open_cells(region, events, size, away_km)
+    room = not cells.isEmpty()
 
-    def qualified(start: int) -> DataFrame:
-        drawn = spark.range(start, start + candidates).select(
+    def qualified(start: int, width: int) -> DataFrame:
+        drawn = spark.range(start, start + width).select(
             F.col("id").alias("point_id"),
             (F.lit(south) + uniform(F.col("id"), seed, 1) * (north - south)).alias("lat"),
             (F.lit(west) + uniform(F.col("id"), seed, 2) * (east - west)).alias("lon"),
         )
+        placed = drawn.withColumn("cell_row", F.floor(F.col("lat") / size)).withColumn("cell_col", F.floor(F.col("lon") / size))
+        drawn = stage(spread_join(placed, cells, ["cell_row", "cell_col"], "point_id", "left_semi").select("point_id", "lat", "lon"), "drawn")
         inside = containing_polygons(drawn, region).select("point_id").distinct()
         kept = drawn.join(inside, "point_id", "left_semi")
         targets = events.select(F.col("event_id").alias("target_id"), "lat", "lon")
@@ -53,16 +78,18 @@ def background_points(
             kept = kept.join(nearest_k(kept, towns, 1, settled_km).select("point_id"), "point_id", "left_semi")
         return stage(kept, "background")
 
-    out, missing, start, empty = None, n, 0, 0
-    while missing > 0 and empty < barren:
-        found = qualified(start)
+    out, missing, start, empty, width = None, n, 0, 0, candidates
+    while missing > 0 and empty < barren and room:
+        found = qualified(start, width)
         count = found.count()
         if count > missing:
             order = uniform(F.col("point_id"), seed, 3)
             found = global_positions(found, [order, F.col("point_id")]).filter(F.col("position") < missing).drop("position")
         out = found if out is None else out.unionByName(found)
-        missing, start, empty = missing - min(count, missing), start + candidates, 0 if count else empty + 1
-    return out if out is not None else qualified(0).limit(0)
+        missing, start, empty = missing - min(count, missing), start + width, 0 if count else empty + 1
+        if count and 10 * count < missing:
+            width = min(2 * width, 64 * candidates)
+    return out if out is not None else spark.createDataFrame([], "point_id long, lat double, lon double")
 
 
 def points_in_polygons(polygons: DataFrame, step: float, per_polygon: int = 250, seed: int = 42) -> DataFrame:

@@ -214,3 +214,16 @@ def test_nearest_searches_by_place_and_by_density(spark, monkeypatch):
             assert [got[point, 1], got[point, 2]] == [k for _, k in near]
             assert by_grid[point] == (flat[1] if flat[0] <= 0.3 else None)
     assert len(got) == 400 and len(by_grid) == 201 and by_grid[200] is None
+
+
+def test_background_sample_sees_that_no_room_is_left(spark, monkeypatch):
+    """Events everywhere: the covered cells show it, so no candidate is drawn."""
+    from ridgewater.operators import sampling
+
+    events = spark.createDataFrame([(20 * i + j, i * 0.01, j * 0.01) for i in range(20) for j in range(20)], "event_id long, lat double, lon double")
+    corners = [(0.05, 0.05), (0.15, 0.05), (0.15, 0.15), (0.05, 0.15)]
+    region = spark.createDataFrame([(1, [[{"x": x, "y": y} for x, y in corners]])], "polygon_id long, rings array<array<struct<x:double,y:double>>>")
+    drawn = []
+    monkeypatch.setattr(sampling, "uniform", lambda *parts: drawn.append(parts) or F.lit(0.5))
+    assert sampling.background_points(events, region, (0.0, 0.0, 0.2, 0.2), 5, 50).collect() == []
+    assert len(drawn) <= 3
