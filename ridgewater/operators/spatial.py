@@ -484,12 +484,13 @@ def distance_clusters(points: DataFrame, degrees: float = 0.03) -> DataFrame:
     """Single-link clusters: point_id, cluster (its smallest point), joined where points lie within ``degrees``.
 
     Cells are so small that all points of one cell are within reach, so a crowded cell costs one link per point;
-    only cells up to two away are compared, and of those pairs one link per pair of cells goes on.
+    only cells up to two away are compared, place by place, and of those pairs one link per pair of cells goes on.
     """
     from ridgewater.operators.graph import components
 
     side = degrees / 2**0.5 * (1 - 1e-9)
-    own = points.select(
+    spots = points.filter("lat IS NOT NULL AND lon IS NOT NULL").groupBy("lat", "lon").agg(F.min("point_id").alias("point_id"))
+    own = spots.select(
         "point_id", "lat", "lon", F.floor(F.col("lat") / side).alias("cell_row"), F.floor(F.col("lon") / side).alias("cell_col")
     )
     own = stage(own, "cells")
@@ -501,9 +502,10 @@ def distance_clusters(points: DataFrame, degrees: float = 0.03) -> DataFrame:
         F.col("point_id").alias("a"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"),
         F.col("cell_row").alias("from_row"), F.col("cell_col").alias("from_col"), step.alias("s"),
     ).withColumn("cell_row", F.col("from_row") + F.col("s.r")).withColumn("cell_col", F.col("from_col") + F.col("s.c"))
-    met = spread_join(moved.drop("s"), own, ["cell_row", "cell_col"], row_id="a")
+    met = spread_join(spread(moved.drop("s"), "a"), own, ["cell_row", "cell_col"], row_id="a")
     near = met.filter(F.hypot(F.col("lat") - F.col("a_lat"), F.col("lon") - F.col("a_lon")) <= degrees)
     across = near.groupBy("from_row", "from_col", "cell_row", "cell_col").agg(F.min(F.struct("a", F.col("point_id").alias("b"))).alias("link"))
     links = inner.unionByName(across.select("link.a", "link.b"))
     found = components(links).select(F.col("node").alias("point_id"), F.col("component").alias("cluster"))
-    return own.select("point_id").join(found, "point_id", "left").select("point_id", F.coalesce("cluster", "point_id").alias("cluster"))
+    placed = own.join(found, "point_id", "left").select("lat", "lon", F.coalesce("cluster", "point_id").alias("cluster"))
+    return points.join(placed, ["lat", "lon"], "left").select("point_id", F.coalesce("cluster", "point_id").alias("cluster"))

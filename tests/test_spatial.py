@@ -227,3 +227,21 @@ def test_background_sample_sees_that_no_room_is_left(spark, monkeypatch):
     monkeypatch.setattr(sampling, "uniform", lambda *parts: drawn.append(parts) or F.lit(0.5))
     assert sampling.background_points(events, region, (0.0, 0.0, 0.2, 0.2), 5, 50).collect() == []
     assert len(drawn) <= 3
+
+
+def test_clusters_compare_places_not_copies(spark, monkeypatch):
+    """400 points at four places, and one without a position: each pair of places is compared once."""
+    spots = [(30.0, 78.0), (30.028, 78.0), (30.05, 78.01), (30.5, 78.0)]
+    points = [(i, *spots[i % 4]) for i in range(400)] + [(400, None, 78.0)]
+    pairs, plain = [], spatial.spread_join
+
+    def counted(*args, **kwargs):
+        out = plain(*args, **kwargs)
+        pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(spatial, "spread_join", counted)
+    df = spark.createDataFrame(points, "point_id long, lat double, lon double")
+    got = {r.point_id: r.cluster for r in spatial.distance_clusters(df, 0.03).collect()}
+    assert got == {**{i: 3 if i % 4 == 3 else 0 for i in range(400)}, 400: 400}
+    assert sum(pairs) <= 6
