@@ -17,15 +17,27 @@ FORECAST_HOURS = 6
 
 
 def densify(observed: DataFrame) -> DataFrame:
-    """Every hour between the first and last reading for every point; absent hours are null."""
-    span = observed.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
-    spine = (
-        observed.select("point_id")
-        .distinct()
-        .join(F.broadcast(span), F.lit(True))  # one row
-        .select("point_id", F.explode(F.sequence("lo", "hi", F.expr("interval 1 hour"))).alias("ts"))
+    """Every hour between the first and last reading for every point; absent hours are null.
+
+    A reading fills the hours up to the next one of its point, so only readings are shuffled, by point, and what
+    follows by point is not shuffled again. Readings off the hours counted from the first are left out.
+    """
+    rest = [c for c in observed.columns if c not in ("point_id", "ts")]
+    span = F.broadcast(observed.agg(F.min("ts").alias("_lo"), F.max("ts").alias("_hi")))  # one row
+    starts = observed.select("point_id").distinct().join(span, F.lit(True)).filter("_lo IS NOT NULL").select(
+        "point_id", F.col("_lo").alias("ts"), "_hi", F.lit(0).alias("_real")
+    )
+    whole = (F.unix_micros("ts") - F.unix_micros("_lo")) % F.lit(3_600_000_000) == 0
+    real = observed.join(span, F.lit(True)).filter(whole & F.col("point_id").isNotNull()).drop("_lo").withColumn("_real", F.lit(1))
+    hour = F.expr("interval 1 hour")
+    by_time = Window.partitionBy("point_id").orderBy("ts", "_real")
+    rows = starts.unionByName(real, allowMissingColumns=True).withColumn(
+        "_next", F.coalesce(F.lead("ts").over(by_time), F.col("_hi") + hour)
     )
-    return spine.join(observed, ["point_id", "ts"], "left")
+    hours = F.when(F.col("_next") > F.col("ts"), F.sequence("ts", F.col("_next") - hour, hour)).when(F.col("_real") == 1, F.array("ts"))
+    filled = rows.select("point_id", "_real", *rest, F.posexplode(hours).alias("_at", "ts"))
+    own = (F.col("_at") == 0) & (F.col("_real") == 1)
+    return filled.select("point_id", "ts", *[F.when(own, F.col(c)).alias(c) for c in rest])
 
 
 def read_point_years(records: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from ridgewater.operators import rain as rn
 from ridgewater.operators import verify as ver
 from ridgewater.operators.scale import exact_quantiles
 from ridgewater.plans import views as v
+from ridgewater.session import stage
 
 TARGETS = [0.05, 0.10, 0.15, 0.20, 0.30]
 WINDOWS = ["value", "value2"]
@@ -168,7 +169,7 @@ LEVELS = [i / 20 for i in range(1, 20)]
 
 
 def bias_table(spark, sf):
-    out = cal.bias_table(_paired(spark, sf), LEVELS, ["window_name"])
+    out = cal.bias_table(stage(_paired(spark, sf), "pairs"), LEVELS, ["window_name"])
     return out.select(
         "window_name", "n", F.round("correlation", 6).alias("correlation"), F.round("p99_ratio", 6).alias("p99_ratio"),
         F.round(F.element_at("archive_quantiles", 10), 6).alias("archive_median"), F.round(F.element_at("live_quantiles", 10), 6).alias("live_median"),
@@ -177,7 +178,7 @@ def bias_table(spark, sf):
 
 def quantile_map(spark, sf):
     """Every daily maximum in live units through the matched quantiles."""
-    pairs = _paired(spark, sf)
+    pairs = stage(_paired(spark, sf), "pairs")
     bias = cal.bias_table(pairs, LEVELS, ["window_name"]).withColumn("levels", F.array(*[F.lit(x) for x in LEVELS]))
     mapped = pairs.join(F.broadcast(bias), "window_name")  # one row per window
     out = cal.to_live_units(F.col("archive"), F.col("archive_quantiles"), F.col("live_quantiles"), F.col("levels"))

@@ -115,3 +115,15 @@ def test_tier_totals_are_added_in_hour_order(spark):
     """0.216 + 7.688 + 4.25 + 2.846 is 15 hour by hour, and just below when the coming hours are added up first."""
     tier = st.rain_tier(F.lit(0.216), F.array(F.lit(7.688), F.lit(4.25), F.lit(2.846)))
     assert spark.range(1).select(tier.alias("t")).first().t == "HEAVY"
+
+
+def test_hours_are_filled_from_the_readings_alone(spark):
+    """Gaps, a late first and an early last reading, a reading off the hour; only the readings are shuffled."""
+    t = lambda h, m=0: dt.datetime(2024, 6, 1) + dt.timedelta(hours=h, minutes=m)
+    rows = [(1, t(0), 1.0), (1, t(3), 2.0), (2, t(2), 3.0), (2, t(4), None), (3, t(1, 30), 9.0), (4, t(6), 4.0)]
+    observed = spark.createDataFrame(rows, "point_id long, ts timestamp, mm double")
+    out = rn.densify(observed)
+    known = {(p, ts): mm for p, ts, mm in rows}
+    assert sorted((r.point_id, r.ts, r.mm) for r in out.collect()) == [(p, t(h), known.get((p, t(h)))) for p in (1, 2, 3, 4) for h in range(7)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftOuter" not in plan
