@@ -6,15 +6,25 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ridgewater.operators.scale import hot_keys, spread, spread_join
+from ridgewater.operators.scale import global_positions, hot_keys, spread, spread_join
 from ridgewater.session import drop_staged, stage
 
+# Origins that share a row of costs, and labels of which a round takes all without looking for the cheapest.
+SLOTS = 16
+SMALL_ROUND = 100_000
+
 
 def _observed_stage(df: DataFrame, changed: Column, label: str) -> tuple[DataFrame, int]:
     """Write a table and count its changed rows in the same pass."""
+    out, seen = _measured_stage(df, {"n": F.coalesce(F.sum(changed.cast("long")), F.lit(0))}, label)
+    return out, seen["n"]
+
+
+def _measured_stage(df: DataFrame, measures: dict[str, Column], label: str) -> tuple[DataFrame, dict]:
+    """Write a table and aggregate over it in the same pass."""
     seen = Observation()
-    out = stage(df.observe(seen, F.coalesce(F.sum(changed.cast("long")), F.lit(0)).alias("n")), label)
-    return out, seen.get["n"]
+    out = stage(df.observe(seen, *[c.alias(n) for n, c in measures.items()]), label)
+    return out, seen.get
 
 
 def _split_hubs(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -57,14 +67,19 @@ class _Known:
         self.key, self.value = key, value
         self.held: list[tuple[DataFrame, DataFrame, int]] = []
         self.late: list[DataFrame] = []
+        self.merges = 0
 
     def add(self, written: DataFrame, rows: int) -> None:
         self.held.append((written, spread(written, *self.key).persist(StorageLevel.MEMORY_AND_DISK), rows))
         if len(self.held) > self.LEVELS or 2 * sum(n for _, _, n in self.held[1:]) > self.held[0][2] > 1_000_000:
-            merged, n = _observed_stage(self._least(), F.lit(1), "known")
+            merged, n = _observed_stage(self._least(), self._labels(), "known")
+            self.merges += 1
             self.drop(but=written)  # the next round still reads it
             self.held = [(merged, spread(merged, *self.key).persist(StorageLevel.MEMORY_AND_DISK), n)]
 
+    def _labels(self) -> Column:
+        return F.lit(1)
+
     def _least(self) -> DataFrame:
         every = self.held[0][0]
         for written, _, _ in self.held[1:]:
@@ -95,6 +110,35 @@ class _Known:
         return out
 
 
+class _KnownCosts(_Known):
+    """``_Known`` for rows of costs, one column an origin: each column has a least value of its own."""
+
+    def _labels(self) -> Column:
+        return _count_costs(self.value)
+
+    def _least(self) -> DataFrame:
+        every = self.held[0][0]
+        for written, _, _ in self.held[1:]:
+            every = every.unionByName(written)
+        return _least_costs(every, self.key, self.value)
+
+    def better(self, found: DataFrame) -> DataFrame:
+        for _, table, _ in self.held:
+            k, f = table.alias("k"), found.alias("f")
+            same = [F.col(f"k.{c}") == F.col(f"f.{c}") for c in self.key]
+            less = [F.when(F.col(f"k.{c}").isNull() | (F.col(f"f.{c}") < F.col(f"k.{c}")), F.col(f"f.{c}")).alias(c) for c in self.value]
+            found = f.join(k.hint("shuffle_hash"), same, "left").select(*[f"f.{c}" for c in self.key], *less)
+        return found.filter(F.coalesce(*self.value).isNotNull())
+
+
+def _least_costs(rows: DataFrame, key: list[str], costs: list[str]) -> DataFrame:
+    return rows.groupBy(*key).agg(*[F.min(c).alias(c) for c in costs])
+
+
+def _count_costs(costs: list[str]) -> Column:
+    return sum((F.col(c).isNotNull().cast("int") for c in costs), F.lit(0))
+
+
 def _least_per_key(rows: DataFrame, key: list[str], value: list[str]) -> DataFrame:
     if len(value) == 1:  # a plain numeric buffer, so Spark hashes instead of sorting
         return rows.groupBy(*key).agg(F.min(value[0]).alias(value[0]))
@@ -109,7 +153,6 @@ def _search(
     key: list[str],
     value: list[str],
     max_cost: float | None = None,
-    forbid: Column | None = None,
     label: str = "paths",
 ) -> DataFrame:
     """Least values per key over all steps from ``starts``; value is the cost and then what breaks its ties."""
@@ -120,8 +163,6 @@ def _search(
         f, e = _repeat_hubs(frontier, hubs).alias("f"), edges.alias("e")
         moved = f.join(e, (F.col("f.node") == F.col("e.src")) & (F.col("f._salt") == F.col("e._salt")))
         total = F.col("f.cost") + F.col("e.cost")
-        if forbid is not None:
-            moved = moved.filter(~forbid)
         if max_cost is not None:
             moved = moved.filter(total <= max_cost)
         others = [F.col(f"f.{c}").alias(c) for c in [*key, *value[1:]] if c != "node"]
@@ -132,6 +173,105 @@ def _search(
     return known.result(label)
 
 
+class _Slots:
+    """Numbers origins, so that a row of costs serves up to SLOTS of them: block, node and one column for each slot."""
+
+    KEY = ["block", "node"]
+
+    def __init__(self, origins: DataFrame):
+        placed = stage(global_positions(origins.select("origin").distinct(), [F.col("origin")], "_at"), "origins")
+        self.n = placed.count()
+        blocks = max(1, -(-self.n // SLOTS))
+        self.width = max(1, -(-self.n // blocks))
+        self.table = placed.select("origin", F.col("_at").cast("long").alias("_at"))
+        self.costs = [f"d{i}" for i in range(self.width)]
+
+    def wide(self, rows: DataFrame) -> DataFrame:
+        """origin, node, cost to rows of costs; the least of a key counts."""
+        numbered = rows.join(self.table, "origin").withColumn("_slot", F.col("_at") % self.width)
+        each = [F.when(F.col("_slot") == i, F.col("cost")).alias(c) for i, c in enumerate(self.costs)]
+        return _least_costs(numbered.select(F.expr(f"_at div {self.width}").alias("block"), "node", *each), self.KEY, self.costs)
+
+    def long(self, rows: DataFrame) -> DataFrame:
+        """Rows of costs to _at, node, cost."""
+        pairs = ", ".join(f"{i}L, {c}" for i, c in enumerate(self.costs))
+        each = rows.select("block", "node", F.expr(f"stack({self.width}, {pairs}) AS (_slot, cost)"))
+        return each.filter("cost IS NOT NULL").select((F.col("block") * self.width + F.col("_slot")).alias("_at"), "node", "cost")
+
+    def named(self, rows: DataFrame) -> DataFrame:
+        return rows.join(self.table, "_at").drop("_at")
+
+
+def _search_costs(
+    slots: _Slots,
+    starts: DataFrame,
+    edges: DataFrame,
+    hubs: DataFrame | None,
+    max_cost: float | None = None,
+    closed: DataFrame | None = None,
+) -> DataFrame:
+    """Least cost of every origin and node as rows of costs, written.
+
+    A round takes the open labels below a limit, at least those that no other open one can improve; all of them while they
+    are few. The limit's distance grows when it takes a small share, so wide ranges of costs need few rounds. Once every
+    node that a step leads to is known from every origin, steps to more than an origin's highest cost are left out.
+    """
+    key, costs = slots.KEY, slots.costs
+    known = _KnownCosts(key, costs)
+    first = slots.wide(starts)
+    marks = starts.select("origin", "node")
+    if closed is not None:
+        # Below any cost, so that no step improves it; it is never open.
+        known.add(*_observed_stage(slots.wide(closed.select("origin", "node", F.lit(-1.0).alias("cost"))), _count_costs(costs), "closed"))
+        first, marks = known.better(first), marks.union(closed.select("origin", "node")).distinct()
+    ends = edges.select(F.col("dst").alias("node")).distinct()
+    every_label, tops = None, [max_cost] * slots.width
+    step = edges.agg(F.min("cost")).first()[0] or 0.0
+    frontier, fresh = _observed_stage(first, _count_costs(costs), "paths")
+    pool, written = None, None
+    while fresh or pool is not None:
+        merges = known.merges
+        if fresh:
+            known.add(frontier, fresh)
+        if known.merges > merges:
+            if every_label is None:
+                every_label = ends.count() * slots.n + marks.join(ends, "node", "left_anti").count()
+            if known.held[0][2] == every_label:
+                highest = known.held[0][0].agg(*[F.max(c) for c in costs]).first()
+                tops = [top if max_cost is None else min(top, max_cost) for top in highest]
+        taken, before = frontier, written
+        if pool is None and fresh <= SMALL_ROUND:
+            written = None
+        else:
+            measures = {"n": F.coalesce(F.sum(_count_costs(costs)), F.lit(0)), "low": F.min(F.least(*costs, F.lit(None).cast("double")))}
+            both = frontier if pool is None else _least_costs(pool.unionByName(frontier), key, costs)
+            written, seen = _measured_stage(both, measures, "open")
+            taken, pool = written, None
+            if seen["n"] > SMALL_ROUND:
+                limit = seen["low"] + step
+                taken = _costs_where(written, key, costs, lambda c: c <= limit)
+                n = taken.agg(F.sum(_count_costs(costs))).first()[0]
+                pool = _costs_where(written, key, costs, lambda c: c > limit) if n < seen["n"] else None
+                step = step * 4.0 if 32 * n < seen["n"] else step
+        f, e = _repeat_hubs(taken, hubs).hint("shuffle_hash").alias("f"), edges.alias("e")  # sorting all edges would cost more
+        moved = f.join(e, (F.col("f.node") == F.col("e.src")) & (F.col("f._salt") == F.col("e._salt")))
+        moved = moved.select("f.block", F.col("e.dst").alias("node"), *[(F.col(f"f.{c}") + F.col("e.cost")).alias(c) for c in costs])
+        if tops[0] is not None:
+            limits = dict(zip(costs, tops))
+            moved = moved.select(*key, *[F.when(F.col(c) <= limits[c], F.col(c)).alias(c) for c in costs])
+            moved = moved.filter(F.coalesce(*costs).isNotNull())
+        frontier, fresh = _observed_stage(known.better(_least_costs(moved, key, costs)), _count_costs(costs), "paths")
+        if before is not None:
+            drop_staged(before)
+    return known.result("paths") if known.held else frontier
+
+
+def _costs_where(rows: DataFrame, key: list[str], costs: list[str], keep) -> DataFrame:
+    """Rows of costs with those that fit only."""
+    out = rows.select(*key, *[F.when(keep(F.col(c)), F.col(c)).alias(c) for c in costs])
+    return out.filter(F.coalesce(*costs).isNotNull())
+
+
 def contract(edges: DataFrame, keep: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(long steps, inner places): chains of nodes with two neighbours each become one step.
 
@@ -178,23 +318,24 @@ def shortest_paths(
     origins: DataFrame,
     carry: dict[str, Column] | None = None,
     max_cost: float | None = None,
-    forbid: Column | None = None,
+    closed: DataFrame | None = None,
     chains: bool = False,
 ) -> DataFrame:
     """Cheapest cost from every origin to every node it reaches, all origins at once.
 
     ``edges``: src, dst, cost (positive) and whatever ``carry`` mentions. ``origins``: origin, node (several
     nodes may share an origin, which then means "nearest of them") and optionally a starting cost. Columns:
-    origin, node, cost, and, when ``carry`` is given, prev and the carried sums along the chosen path. Each
-    round extends the rows that improved in the round before and writes improved rows only; candidates are
+    origin, node, cost, and, when ``carry`` is given, prev and the carried sums along the chosen path. Origins
+    are searched SLOTS to a row, so a step is read, moved and compared once for all of them. Each
+    round extends the cheapest rows not yet extended and writes improved rows only; candidates are
     reduced map-side before they are compared. With ``chains`` the search steps over chains of nodes with two
     neighbours at once and fills in their inner nodes at the end: rounds follow the junctions of a road network,
-    not its nodes; costs are then summed chain by chain. ``forbid`` rules out steps, given the path row as f and
-    the edge as e.
+    not its nodes; costs are then summed chain by chain. ``closed`` (origin, node) are nodes that an origin's
+    paths may not enter.
     """
     carry = carry or {}
-    if forbid is not None and (carry or chains):
-        raise ValueError("sums along paths and chains are not supported with forbidden steps")
+    if closed is not None and (carry or chains):
+        raise ValueError("sums along paths and chains are not supported with closed nodes")
     sums = [f"_e_{n}" for n in carry]
     steps = edges.select("src", "dst", F.col("cost").cast("double").alias("cost"), *[c.cast("double").alias(f"_e_{n}") for n, c in carry.items()])
     first = F.col("cost").cast("double") if "cost" in origins.columns else F.lit(0.0)
@@ -205,9 +346,13 @@ def shortest_paths(
     elif carry:
         steps = steps.withColumn("via", F.col("src"))
     prepared, hubs = _split_hubs(steps)
-    found = _search(starts, prepared, hubs, ["origin", "node"], ["cost"], max_cost, forbid)
+    slots = _Slots(starts if closed is None else starts.select("origin").union(closed.select("origin")))
+    wide = _search_costs(slots, starts, prepared, hubs, max_cost, closed)
     if carry:
-        found = _add_path_sums(found, starts, prepared, hubs, sums)
+        found = _add_path_sums(wide, slots, starts, prepared, hubs, sums)
+    else:
+        found = slots.named(slots.long(wide))
+        found = found if closed is None else found.filter("cost >= 0")
     prepared.unpersist()
     if inner is not None:
         found = _with_inner(found, inner, sums, bool(carry), max_cost)
@@ -229,38 +374,47 @@ def _with_inner(found: DataFrame, inner: DataFrame, sums: list[str], carried: bo
     return out
 
 
-def _add_path_sums(found: DataFrame, starts: DataFrame, edges: DataFrame, hubs: DataFrame | None, sums: list[str]) -> DataFrame:
+def _add_path_sums(wide: DataFrame, slots: _Slots, starts: DataFrame, edges: DataFrame, hubs: DataFrame | None, sums: list[str]) -> DataFrame:
     """Adds prev (lowest ``via`` of a cheapest last step) and the sums of ``sums`` from origin to node.
 
-    A step is on a cheapest path when its start's cost plus its own is exactly the end's cost. Sums are
-    completed by doubling: what a row lacks is its ancestor's sum, 1, 2, 4, 8 .. steps up.
+    A step is on a cheapest path when its start's cost plus its own is exactly the end's cost; this is seen on rows of
+    costs, and only such steps are listed by origin. Sums are completed by doubling: what a row lacks is its ancestor's sum,
+    1, 2, 4, 8 .. steps up.
     """
-    f, e = _repeat_hubs(found, hubs).alias("f"), edges.alias("e")
+    costs = slots.costs
+    tops = wide.agg(*[F.max(c) for c in costs]).first()
+    f, e = _repeat_hubs(wide, hubs).hint("shuffle_hash").alias("f"), edges.alias("e")
     steps = f.join(e, (F.col("f.node") == F.col("e.src")) & (F.col("f._salt") == F.col("e._salt"))).select(
-        F.col("f.origin").alias("origin"), F.col("e.dst").alias("node"), (F.col("f.cost") + F.col("e.cost")).alias("cost"),
-        F.col("e.via").alias("via"), F.col("f.node").alias("up"), *[F.col(f"e.{c}").alias(c) for c in sums],
+        "f.block", F.col("e.dst").alias("node"), F.col("e.via").alias("via"), F.col("f.node").alias("up"), *[F.col(f"e.{c}").alias(c) for c in sums],
+        *[(F.col(f"f.{c}") + F.col("e.cost")).alias(c) for c in costs],
     )
-    tight = steps.join(found, ["origin", "node", "cost"], "left_semi")
-    best = tight.groupBy("origin", "node", "cost").agg(F.min(F.struct("via", "up", *sums)).alias("b"))
-    roots = starts.join(found, ["origin", "node", "cost"], "left_semi").select("origin", "node", F.lit(True).alias("_root"))
-    linked = found.join(best, ["origin", "node", "cost"], "left").join(roots, ["origin", "node"], "left")
-    own = F.col("_root").isNull()
-    rows = linked.select(
-        "origin", "node", "cost", F.when(own, F.col("b.via")).alias("prev"), F.when(own, F.col("b.up")).alias("_up"),
-        *[F.when(own, F.col(f"b.{c}")).otherwise(0.0).alias(c) for c in sums],
+    others = ["block", "node", "via", "up", *sums]
+    steps = steps.select(*others, *[F.when(F.col(c) <= F.lit(top), F.col(c)).alias(c) for c, top in zip(costs, tops)])
+    steps = steps.filter(F.coalesce(*costs).isNotNull())
+    ends = wide.select("block", "node", *[F.col(c).alias(f"_to_{c}") for c in costs])
+    hit = [F.when(F.col(c) == F.col(f"_to_{c}"), F.struct(F.lit(i).cast("long").alias("slot"), F.col(c).alias("cost"))) for i, c in enumerate(costs)]
+    tight = steps.join(ends, ["block", "node"]).filter(F.coalesce(*[F.when(F.col(c) == F.col(f"_to_{c}"), True) for c in costs]))
+    tight = tight.select(*others, F.explode(F.array_compact(F.array(*hit))).alias("_h")).select(
+        (F.col("block") * slots.width + F.col("_h.slot")).alias("_at"), "node", "_h.cost", F.lit(1).alias("_own"), "via", "up", *sums
     )
+    found = slots.long(wide)
+    roots = slots.table.join(starts, "origin").select("_at", "node", "cost").join(found, ["_at", "node", "cost"], "left_semi")
+    nothing = F.lit(None).cast(dict(edges.dtypes)["src"])
+    roots = roots.select("_at", "node", "cost", F.lit(0).alias("_own"), nothing.alias("via"), nothing.alias("up"), *[F.lit(0.0).alias(c) for c in sums])
+    best = tight.unionByName(roots).groupBy("_at", "node").agg(F.min("cost").alias("cost"), F.min(F.struct("_own", "via", "up", *sums)).alias("b"))
+    rows = best.select("_at", "node", "cost", F.col("b.via").alias("prev"), F.col("b.up").alias("_up"), *[F.col(f"b.{c}").alias(c) for c in sums])
     table = stage(rows, "sums")
     while True:
-        above = table.select("origin", F.col("node").alias("_up"), F.col("_up").alias("_next"), *[F.col(c).alias(f"_up{c}") for c in sums])
-        grown = table.join(above, ["origin", "_up"], "left").select(
-            "origin", "node", "cost", "prev", F.col("_next").alias("_up"),
+        above = table.select("_at", F.col("node").alias("_up"), F.col("_up").alias("_next"), *[F.col(c).alias(f"_up{c}") for c in sums])
+        grown = table.join(above, ["_at", "_up"], "left").select(
+            "_at", "node", "cost", "prev", F.col("_next").alias("_up"),
             *[(F.col(c) + F.coalesce(f"_up{c}", F.lit(0.0))).alias(c) for c in sums],
         )
         before = table
         table, left = _observed_stage(grown, F.col("_up").isNotNull(), "sums")
         drop_staged(before)
         if left == 0:
-            return table.drop("_up")
+            return slots.named(table.drop("_up"))
 
 
 def nearest_source(edges: DataFrame, sources: DataFrame, max_cost: float | None = None) -> DataFrame:

@@ -246,3 +246,28 @@ def test_touching_a_corner_is_no_hazard(spark):
     )
     found = {r.src: (r.risk, r.hazard_code) for r in roads.hazard_overlay(edges, nodes, polygons).collect()}
     assert found == {0: (1.0, 0), 3: (8.0, 4), 4: (8.0, 4)}
+
+
+def test_origins_share_rows_and_rounds_take_the_cheapest(spark, net, monkeypatch):
+    """Five origins in rows of two or three costs, each round below a limit: same costs, far fewer rows than labels."""
+    monkeypatch.setattr(graph, "SLOTS", 3)
+    monkeypatch.setattr(graph, "SMALL_ROUND", 5)
+    rows, df, adj = net
+    written, stage = [], graph._observed_stage
+
+    def counted(frame, changed, label):
+        out = stage(frame, changed, label)
+        written.append((label, out[0].count()))
+        return out
+
+    monkeypatch.setattr(graph, "_observed_stage", counted)
+    at = {1: 1, 2: 2, 3: 17, 4: 30, 5: 44}
+    origins = spark.createDataFrame(list(at.items()), "origin long, node long")
+    want = {(o, n): c for o, s in at.items() for n, c in dijkstra(adj, {s: 0.0}).items()}
+    found = graph.shortest_paths(df.withColumn("cost", F.col("length_m")), origins, {"metres": F.col("length_m"), "hops": F.lit(1.0)})
+    got = {(r.origin, r.node): r for r in found.collect()}
+    assert {k: r.cost for k, r in got.items()} == want == {k: r.metres for k, r in got.items()}
+    assert sum(n for label, n in written if label == "paths") < len(want)
+    for (o, n), r in got.items():  # prev is the lowest node before the end on any cheapest path
+        tight = [a for a, b, c, _ in rows if b == n and (o, a) in want and want[o, a] + c == r.cost]
+        assert r.prev == (None if r.cost == 0 else min(tight)) and r.hops == (0 if r.prev is None else got[o, r.prev].hops + 1)
