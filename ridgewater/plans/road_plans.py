@@ -100,7 +100,8 @@ def nearest_by_cost(spark, sf):
 
 
 def farthest_within(spark, sf):
-    return roads.farthest_within(shortest_paths(spark, sf), 150.0)
+    edges = _edges(spark, sf).select("src", "dst", F.col("length_m").alias("cost"))
+    return roads.farthest_within(graph.shortest_paths(edges, _depots(spark, sf), max_cost=150.0), 150.0)
 
 
 def road_components(spark, sf):
