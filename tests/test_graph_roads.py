@@ -263,8 +263,11 @@ def test_origins_share_rows_and_rounds_take_the_cheapest(spark, net, monkeypatch
     monkeypatch.setattr(graph, "_observed_stage", counted)
     at = {1: 1, 2: 2, 3: 17, 4: 30, 5: 44}
     origins = spark.createDataFrame(list(at.items()), "origin long, node long")
+    rows = [(a, b, c + 30.0, r) for a, b, c, r in rows]  # steps are long, so few rounds have to be run
+    adj = {a: [(b, c + 30.0) for b, c in out] for a, out in adj.items()}
     want = {(o, n): c for o, s in at.items() for n, c in dijkstra(adj, {s: 0.0}).items()}
-    found = graph.shortest_paths(df.withColumn("cost", F.col("length_m")), origins, {"metres": F.col("length_m"), "hops": F.lit(1.0)})
+    priced = df.withColumn("cost", F.col("length_m") + 30.0)
+    found = graph.shortest_paths(priced, origins, {"metres": F.col("cost"), "hops": F.lit(1.0)})
     got = {(r.origin, r.node): r for r in found.collect()}
     assert {k: r.cost for k, r in got.items()} == want == {k: r.metres for k, r in got.items()}
     assert sum(n for label, n in written if label == "paths") < len(want)
