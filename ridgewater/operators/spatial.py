@@ -137,6 +137,11 @@ def _crossings(px: Column, py: Column, size: float) -> Column:
 def _matches(points: DataFrame, polygons: DataFrame, size: float, reach_km: float, measure: bool) -> DataFrame:
     """One row per point and nearby polygon: inside (bool) and, when measured, km to its outline."""
     index = stage(polygon_index(polygons, size, reach_km), "polygon-index")
+    return _flips(points, index, size, measure).withColumn("inside", F.col("_flips") % 2 == 1).drop("_flips")
+
+
+def _flips(points: DataFrame, index: DataFrame, size: float, measure: bool = False) -> DataFrame:
+    """point_id, polygon_id, _flips (odd: inside) and, when measured, km, from the cell table of a layer."""
     keyed = points.select(
         "point_id",
         "lat",
@@ -148,9 +153,7 @@ def _matches(points: DataFrame, polygons: DataFrame, size: float, reach_km: floa
     flips = _crossings(F.col("lon"), F.col("lat"), size) + F.col("corner")
     km = segment_km(F.col("lon"), F.col("lat"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
     aggs = [F.sum(flips).alias("_flips")] + ([F.min(km).alias("km")] if measure else [])
-    return joined.groupBy("point_id", "polygon_id").agg(*aggs).withColumn("inside", F.col("_flips") % 2 == 1).drop(
-        "_flips"
-    )
+    return joined.groupBy("point_id", "polygon_id").agg(*aggs)
 
 
 def containing_polygons(points: DataFrame, polygons: DataFrame, size: float = 0.15) -> DataFrame:
@@ -378,29 +381,49 @@ def join_on_position(left: DataFrame, right: DataFrame, places: int = 5) -> Data
     return keyed_left.join(keyed_right, ["lat_key", "lon_key"])
 
 
-def segments_in_polygons(segments: DataFrame, polygons: DataFrame, size: float = 0.15, touching: bool = True) -> DataFrame:
-    """Every (segment_id, polygon_id) that share a point. ``segments``: segment_id, x1, y1, x2, y2.
+def _touched_cells(segments: DataFrame, size: float, ends: tuple = ("x1", "y1", "x2", "y2")) -> DataFrame:
+    """Repeat each segment for the cells it touches: what ``segment_cells`` marks as local, without a reach."""
+    ax, ay, bx, by = (F.col(c) for c in ends)
+    steep = segments.withColumn("_slope", (bx - ax) / F.when(by != ay, by - ay))
+    rows = steep.withColumn("cell_row", F.explode(_cells(F.least(ay, by) - _MARGIN, F.greatest(ay, by) + _MARGIN, size)))
 
-    Without ``touching`` a segment has to start inside or to cross a side; meeting a corner exactly is no crossing.
+    def at(limit: Column) -> Column:
+        """Longitude at the row's limit; at an end where the segment does not get that far."""
+        y = F.greatest(F.least(ay, by), F.least(F.greatest(ay, by), limit))
+        return F.when(y == ay, ax).when(y == by, bx).otherwise(ax + (y - ay) * F.col("_slope"))
+
+    low, high = at(F.col("cell_row") * size - _MARGIN), at((F.col("cell_row") + 1) * size + _MARGIN)
+    placed = rows.select("*", F.when(ay == by, ax).otherwise(low).alias("_x1"), F.when(ay == by, bx).otherwise(high).alias("_x2"))
+    cols = _cells(F.least("_x1", "_x2") - _MARGIN, F.greatest("_x1", "_x2") + _MARGIN, size)
+    return placed.withColumn("cell_col", F.explode(cols)).drop("_slope", "_x1", "_x2")
+
+
+def segment_hits(segments: DataFrame, polygons: DataFrame, size: float = 0.15, touching: bool = True) -> DataFrame:
+    """``segments_in_polygons`` with a pair repeated for every side met, for callers that aggregate anyway.
+
+    Only sides are looked up along a segment; whether it starts inside is asked once for each position starts are at.
     """
-    index = stage(polygon_index(polygons, size), "polygon-index")
+    index = stage(polygon_index(polygons, size).filter("local").drop("local"), "polygon-index")
     ends = ("x1", "y1", "x2", "y2")
-    pieces = segment_cells(spread(segments.select("segment_id", *ends), "segment_id"), size, ends=ends).filter("local").drop("local")
-    start_here = (F.floor(F.col("y1") / size) == F.col("cell_row")) & (F.floor(F.col("x1") / size) == F.col("cell_col"))
-    joined = spread_join(pieces, index.filter("local"), ["cell_row", "cell_col"], row_id="segment_id")
+    whole = stage(spread(segments.select("segment_id", *ends), "segment_id"), "segments")
+    pieces = _touched_cells(whole, size)
+    joined = spread_join(pieces, index.filter("ax IS NOT NULL").drop("corner"), ["cell_row", "cell_col"], row_id="segment_id")
     meets = segments_intersect(
         (F.col("x1"), F.col("y1")), (F.col("x2"), F.col("y2")), (F.col("ax"), F.col("ay")), (F.col("bx"), F.col("by")), touching
     )
-    flips = F.when(start_here, _crossings(F.col("x1"), F.col("y1"), size) + F.col("corner")).otherwise(0)
-    return (
-        joined.groupBy("segment_id", "polygon_id")
-        .agg(
-            F.max(F.when(F.col("ax").isNotNull(), meets.cast("int")).otherwise(0)).alias("_meets"),
-            F.sum(flips).alias("_flips"),
-        )
-        .filter((F.col("_meets") == 1) | (F.col("_flips") % 2 == 1))
-        .select("segment_id", "polygon_id")
-    )
+    starts = _spots(whole.select(F.col("x1").alias("lon"), F.col("y1").alias("lat")).filter("lat IS NOT NULL AND lon IS NOT NULL"))
+    within = _flips(starts, index.withColumn("local", F.lit(True)), size).filter(F.col("_flips") % 2 == 1)
+    within = stage(within.join(starts, "point_id").select("polygon_id", F.col("lon").alias("x1"), F.col("lat").alias("y1")), "starts")
+    inside = spread_join(whole, within, ["x1", "y1"], row_id="segment_id")
+    return joined.filter(meets).select("segment_id", "polygon_id").unionByName(inside.select("segment_id", "polygon_id"))
+
+
+def segments_in_polygons(segments: DataFrame, polygons: DataFrame, size: float = 0.15, touching: bool = True) -> DataFrame:
+    """Every (segment_id, polygon_id) that share a point. ``segments``: segment_id, x1, y1, x2, y2.
+
+    Without ``touching`` a segment has to start inside or to cross a side; meeting a corner exactly is no crossing.
+    """
+    return segment_hits(segments, polygons, size, touching).distinct()
 
 
 def flooded_ratio(segments: DataFrame, polygons: DataFrame, size: float = 0.15) -> DataFrame:

@@ -245,3 +245,18 @@ def test_clusters_compare_places_not_copies(spark, monkeypatch):
     got = {r.point_id: r.cluster for r in spatial.distance_clusters(df, 0.03).collect()}
     assert got == {**{i: 3 if i % 4 == 3 else 0 for i in range(400)}, 400: 400}
     assert sum(pairs) <= 6
+
+
+def test_segments_look_up_sides_only(spark):
+    """Lines are repeated over the cells they touch and no others; polygons around a start count without a side met."""
+    rng = random.Random(11)
+    lines = [(i, rng.uniform(78, 80), rng.uniform(29, 31), rng.uniform(78, 80), rng.uniform(29, 31)) for i in range(60)]
+    lines += [(60, 78.1, 29.3, 79.9, 29.3), (61, 78.3, 29.1, 78.3, 30.9), (62, 78.25, 29.25, 78.25, 29.25), (63, 79.0, 30.0, 78.0, 30.0 + 1e-12)]
+    df = spark.createDataFrame(lines, "segment_id long, x1 double, y1 double, x2 double, y2 double")
+    cells = lambda d: {(r.segment_id, r.cell_row, r.cell_col) for r in d.collect()}
+    known = spatial.segment_cells(df, 0.15, ends=("x1", "y1", "x2", "y2")).filter("local")
+    assert cells(spatial._touched_cells(df, 0.15)) == cells(known)
+    box = [[{"x": x, "y": y} for x, y in ((78.0, 29.0), (79.0, 29.0), (79.0, 30.0), (78.0, 30.0))]]
+    layer = spark.createDataFrame([(1, box)], "polygon_id long, rings array<array<struct<x:double,y:double>>>")
+    hits = [r.segment_id for r in spatial.segment_hits(df, layer, touching=False).collect()]
+    assert 62 in hits and {r.segment_id for r in spatial.segments_in_polygons(df, layer, touching=False).collect()} == set(hits)
