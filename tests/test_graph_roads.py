@@ -274,3 +274,13 @@ def test_origins_share_rows_and_rounds_take_the_cheapest(spark, net, monkeypatch
     for (o, n), r in got.items():  # prev is the lowest node before the end on any cheapest path
         tight = [a for a, b, c, _ in rows if b == n and (o, a) in want and want[o, a] + c == r.cost]
         assert r.prev == (None if r.cost == 0 else min(tight)) and r.hops == (0 if r.prev is None else got[o, r.prev].hops + 1)
+
+
+def test_steps_beyond_what_is_known_are_not_moved(spark):
+    """Of a node's edges only those up to the highest cost it is known by stay; the nodes no origin knows lose theirs."""
+    edges = spark.createDataFrame([(0, 1, 5.0, 0), (0, 2, 9.0, 0), (1, 2, 2.0, 0), (2, 9, 1.0, 0)], "src long, dst long, cost double, _salt int")
+    wide = spark.createDataFrame([(0, 0, 0.0, 7.0), (0, 1, 5.0, None), (0, 2, 7.0, 0.0), (1, 2, 8.0, None)], "block long, node long, d0 double, d1 double")
+    found = {(r.src, r.dst): r._most for r in graph._bounded(edges, wide, ["d0", "d1"]).collect()}
+    assert found == {(0, 1): 5.0, (0, 2): 8.0, (1, 2): 8.0}
+    one = {(r.src, r.dst): r._most for r in graph._bounded(edges, wide.drop("d1"), ["d0"]).collect()}
+    assert one == found
