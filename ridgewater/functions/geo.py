@@ -286,7 +286,8 @@ def clip_ring_to_convex(ring: Column, window: Column) -> Column:
 
 def keep_rings(polygons: DataFrame, rings: Column) -> DataFrame:
     """Polygons with new rings in place of theirs, one for one; rings of fewer than three points go, with their parts."""
-    kept = polygons.withColumn("rings", rings)
+    # As a generator's output: the filter below would otherwise be pushed down and work the rings out once more.
+    kept = polygons.withColumn("rings", F.explode(F.array(rings)))
     if "parts" in polygons.columns:
         numbered = F.filter(F.arrays_zip(F.col("rings").alias("ring"), F.col("parts").alias("part")), lambda z: F.size(z["ring"]) >= 3)
         kept = kept.withColumn("parts", F.transform(numbered, lambda z: z["part"]))

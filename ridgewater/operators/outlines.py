@@ -46,12 +46,26 @@ def convex_pieces(boundary: DataFrame) -> DataFrame:
     return both.filter("r0 IS NOT NULL AND (r0 > l0 OR r1 > l1)").select(F.struct("band", "pair").alias("piece_id"), window.alias("window"))
 
 
-def _cells_of(points: Column) -> Column:
-    """The grid cells that the box of some points touches, as structs, lowest first."""
-    low = lambda axis: F.floor(F.array_min(F.transform(points, lambda p: p[axis])) / CELL)
-    high = lambda axis: F.floor(F.array_max(F.transform(points, lambda p: p[axis])) / CELL)
-    rows = F.sequence(low("y"), high("y"))
-    return F.flatten(F.transform(F.sequence(low("x"), high("x")), lambda cx: F.transform(rows, lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
+def _box(points: Column) -> Column:
+    """West, south, east, north of some points."""
+    along = lambda axis: F.transform(points, lambda p: p[axis])
+    return F.struct(F.array_min(along("x")).alias("w"), F.array_min(along("y")).alias("s"), F.array_max(along("x")).alias("e"), F.array_max(along("y")).alias("n"))
+
+
+def _in_cells(boxed: DataFrame, box: str) -> DataFrame:
+    """Repeat rows for the grid cells, cx and cy, that their box touches."""
+    cells = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / CELL), F.floor(F.col(high) / CELL)))
+    return boxed.withColumn("cx", cells(f"{box}.w", f"{box}.e")).withColumn("cy", cells(f"{box}.s", f"{box}.n"))
+
+
+def _box_within(box: str, window: str) -> Column:
+    """True when a box lies in a convex window of four corners, anticlockwise."""
+    inside = F.lit(True)
+    for i in range(4):
+        a, b = F.col(window)[i], F.col(window)[(i + 1) % 4]
+        for x, y in (("w", "s"), ("e", "s"), ("e", "n"), ("w", "n")):
+            inside = inside & (geo.side(F.col(f"{box}.{x}"), F.col(f"{box}.{y}"), a.x, a.y, b.x, b.y) >= 0)
+    return inside
 
 
 def clip_to_boundary(polygons: DataFrame, boundary: DataFrame) -> DataFrame:
@@ -61,14 +75,16 @@ def clip_to_boundary(polygons: DataFrame, boundary: DataFrame) -> DataFrame:
     add up. Polygons outside have no row. Polygons meet only the pieces in their own grid cells; a pair that shares
     several cells is taken in the first of them.
     """
-    pieces = convex_pieces(boundary)
-    cell_of = F.explode(_cells_of(F.col("window")))
-    pieces = stage(pieces.select("piece_id", "window", F.element_at(_cells_of(F.col("window")), 1).alias("first_b"), cell_of.alias("cell")), "pieces")
-    own = _cells_of(F.flatten("rings"))
-    cells = polygons.filter(F.size("rings") > 0).select("*", F.element_at(own, 1).alias("_first"), F.explode(own).alias("cell"))
-    once = (F.col("cell.cx") == F.greatest("_first.cx", "first_b.cx")) & (F.col("cell.cy") == F.greatest("_first.cy", "first_b.cy"))
-    met = cells.join(pieces, "cell").filter(once)
-    cut = geo.keep_rings(met, F.transform("rings", lambda r: geo.clip_ring_to_convex(geo.open_ring(r), F.col("window"))))
+    pieces = convex_pieces(boundary).withColumn("_of", _box(F.col("window")))
+    pieces = stage(_in_cells(pieces, "_of"), "pieces")
+    boxed = polygons.filter(F.size("rings") > 0).withColumn("_box", F.explode(F.array(_box(F.flatten("rings")))))
+    apart = (F.col("_box.w") > F.col("_of.e")) | (F.col("_box.e") < F.col("_of.w")) | (F.col("_box.s") > F.col("_of.n")) | (F.col("_box.n") < F.col("_of.s"))
+    once = [F.col(c) == F.floor(F.greatest(f"_box.{low}", f"_of.{low}") / CELL) for c, low in (("cx", "w"), ("cy", "s"))]
+    met = _in_cells(boxed, "_box").join(pieces, ["cx", "cy"]).filter(once[0] & once[1] & ~apart)
+    # What lies in a piece is left as it is; only the rest goes side by side through the cut.
+    opened = F.transform("rings", geo.open_ring)
+    clipped = F.transform("rings", lambda r: geo.clip_ring_to_convex(geo.open_ring(r), F.col("window")))
+    cut = geo.keep_rings(met, F.when(_box_within("_box", "window"), opened).otherwise(clipped))
     return cut.select(*polygons.columns, "piece_id")
 
 

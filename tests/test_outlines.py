@@ -143,3 +143,14 @@ def test_shared_borders_stay_shared(spark):
     assert junctions <= set(about)
     total = lambda rings: sum(abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(r, r[1:] + r[:1]))) / 2 for r in rings)
     assert sum(total(r) for i, r in got.items() if i < 50) == pytest.approx(9, abs=0.5)
+
+
+def test_what_lies_in_a_piece_is_left_as_it_is(spark):
+    """A triangle inside keeps its corners in their order; one across the side is cut, one beside it has no row."""
+    ring = lambda pts: [[{"x": x, "y": y} for x, y in pts]]
+    boundary = spark.createDataFrame([(0, ring([(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]), [0])], POLYGON)
+    inner = [(0.2, 0.2), (0.4, 0.2), (0.3, 0.4)]
+    rows = [(1, ring(inner), [0]), (2, ring([(x + 0.7, y) for x, y in inner]), [0]), (3, ring([(x + 0.85, y) for x, y in inner]), [0])]
+    cut = {r.polygon_id: [(p.x, p.y) for p in r.rings[0]] for r in outlines.clip_to_boundary(spark.createDataFrame(rows, POLYGON), boundary).collect()}
+    assert cut[1] == inner and set(cut) == {1, 2}
+    assert max(x for x, _ in cut[2]) == 1.0
