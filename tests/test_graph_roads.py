@@ -284,3 +284,12 @@ def test_steps_beyond_what_is_known_are_not_moved(spark):
     assert found == {(0, 1): 5.0, (0, 2): 8.0, (1, 2): 8.0}
     one = {(r.src, r.dst): r._most for r in graph._bounded(edges, wide.drop("d1"), ["d0"]).collect()}
     assert one == found
+
+
+def test_components_stop_at_stars(spark, monkeypatch):
+    """No further round is run to see that nothing changes."""
+    written, stage = [], graph.stage
+    monkeypatch.setattr(graph, "stage", lambda df, label: written.append(label) or stage(df, label))
+    links = spark.createDataFrame([(1, 2), (3, 1), (7, 8)], "a long, b long")
+    assert {r.node: r.component for r in graph.components(links).collect()} == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7}
+    assert len(written) == 3
