@@ -293,3 +293,32 @@ def test_components_stop_at_stars(spark, monkeypatch):
     links = spark.createDataFrame([(1, 2), (3, 1), (7, 8)], "a long, b long")
     assert {r.node: r.component for r in graph.components(links).collect()} == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7}
     assert len(written) == 3
+
+
+def test_rounds_follow_steps_not_ranges_of_costs(spark, monkeypatch):
+    """Costs from 1 to 1e9 in a network of short paths: as many rounds as the longest cheapest path has steps, with plain plans."""
+    rng = random.Random(5)
+    monkeypatch.setattr(graph, "SMALL_ROUND", 3)
+    rows = {(rng.randrange(40), rng.randrange(40)): float(rng.randint(1, 9)) * 10.0 ** rng.choice([0, 3, 6, 9]) for _ in range(300)}
+    adj = {}
+    for (a, b), c in rows.items():
+        adj.setdefault(a, []).append((b, c))
+    starts = {0: 0, 1: 1, 2: 2}
+    want = {(o, n): c for o, s in starts.items() for n, c in dijkstra(adj, {s: 0.0}).items()}
+    name, rounds, stage = "spark.sql.constraintPropagation.enabled", [], graph._observed_stage
+
+    def counted(frame, changed, label):
+        rounds.append((label, spark.conf.get(name)))
+        return stage(frame, changed, label)
+
+    monkeypatch.setattr(graph, "_observed_stage", counted)
+    df = spark.createDataFrame([(a, b, c) for (a, b), c in rows.items()], "src long, dst long, cost double")
+    found = graph.shortest_paths(df, spark.createDataFrame(list(starts.items()), "origin long, node long"))
+    assert {(r.origin, r.node): r.cost for r in found.collect()} == want
+    steps = {(o, s): 0 for o, s in starts.items()}  # of the cheapest path with the fewest steps
+    for (o, n), c in sorted(want.items(), key=lambda x: x[1]):
+        for m, d in adj.get(n, []):
+            if want[o, m] == c + d:
+                steps[o, m] = min(steps.get((o, m), 99), steps[o, n] + 1)
+    assert sum(label == "paths" for label, _ in rounds) <= max(steps.values()) + 2
+    assert {value for _, value in rounds} == {"false"} and spark.conf.get(name) == "true"
