@@ -1,4 +1,5 @@
 import heapq
+import os
 import random
 
 import pytest
@@ -322,3 +323,32 @@ def test_rounds_follow_steps_not_ranges_of_costs(spark, monkeypatch):
                 steps[o, m] = min(steps.get((o, m), 99), steps[o, n] + 1)
     assert sum(label == "paths" for label, _ in rounds) <= max(steps.values()) + 2
     assert {value for _, value in rounds} == {"false"} and spark.conf.get(name) == "true"
+
+
+def test_nearest_reachable_takes_targets_in_groups(spark, net, monkeypatch):
+    """One target at a time: the same answers, and the costs of a group are deleted before the next one."""
+    rows, df, adj = net
+    place = {n: (30.0 + n / 1000.0, 79.0) for n in range(60)}
+    nodes = spark.createDataFrame([(n, *at) for n, at in place.items()], "node_id long, lat double, lon double")
+    points = spark.createDataFrame([(100 + n, *place[n]) for n in (0, 7, 21, 40)], "point_id long, lat double, lon double")
+    targets = spark.createDataFrame([(n, *place[n]) for n in (3, 30, 55)], "target_id long, lat double, lon double")
+    priced = df.withColumn("safest", F.col("length_m"))
+    calls, kept, search = [], [], roads.shortest_paths
+
+    def counted(edges, starts, carry):
+        calls.append(starts.count())
+        out = search(edges, starts, carry)
+        kept.append(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(roads, "SLOTS", 1)
+    monkeypatch.setattr(roads, "LABELS_AT_ONCE", 1)
+    monkeypatch.setattr(roads, "shortest_paths", counted)
+    got = {r.point_id: (r.target_id, r.distance_m) for r in roads.nearest_reachable(priced, nodes, points, targets).collect()}
+    want = {}
+    for n in (0, 7, 21, 40):
+        cost = dijkstra(adj, {n: 0.0})
+        want[100 + n] = min((cost[t], t) for t in (3, 30, 55) if t in cost)
+    assert {p: d for p, (_, d) in got.items()} == {p: d for p, (d, _) in want.items()}
+    assert calls == [1, 1, 1]
+    assert not [f for files in kept for f in files if os.path.exists(f.replace("file://", ""))]
