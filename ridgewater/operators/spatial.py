@@ -251,6 +251,19 @@ def within_radius(points: DataFrame, targets: DataFrame, radius_km: float) -> Da
     return pairs.withColumn("km", km).filter(F.col("km") <= radius_km).drop("cell_row", "cell_col", "t_lat", "t_lon")
 
 
+def within_radius_by_place(points: DataFrame, targets: DataFrame, radius_km: float, digits: int) -> DataFrame:
+    """``within_radius`` for layers whose positions repeat: point_id, target_id, km rounded to ``digits`` places.
+
+    A distance is worked out and rounded once for each pair of places, however many points and targets share them.
+    """
+    at, near = spread(_spots(points)), spread(_spots(targets).withColumnRenamed("point_id", "target_id"))
+    km = F.round("km", digits).alias("km")
+    places = stage(within_radius(at, near, radius_km).select(F.col("point_id").alias("_at"), F.col("target_id").alias("_near"), km), "places")
+    here = points.join(at.withColumnRenamed("point_id", "_at"), ["lat", "lon"]).select("_at", "point_id")
+    there = targets.join(near.withColumnRenamed("target_id", "_near"), ["lat", "lon"]).select("_near", "target_id")
+    return places.join(there, "_near").join(here, "_at").select("point_id", "target_id", "km")
+
+
 def nearest_within(points: DataFrame, targets: DataFrame, max_km: float) -> DataFrame:
     """Left outer: each point with its nearest target inside ``max_km`` (ties to the lower id), or null."""
     best = nearest_k(points.select("point_id", "lat", "lon"), targets.select("target_id", "lat", "lon"), 1, max_km)

@@ -37,8 +37,7 @@ def nearest_shelter_within(spark, sf):
 
 
 def radius_join(spark, sf):
-    out = spatial.within_radius(v.points(spark, sf), v.shelters(spark, sf), 15.0)
-    return _round(out.select("point_id", "target_id", "km"), "km")
+    return spatial.within_radius_by_place(v.points(spark, sf), v.shelters(spark, sf), 15.0, 6)
 
 
 def grid_nearest(spark, sf):

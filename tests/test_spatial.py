@@ -260,3 +260,22 @@ def test_segments_look_up_sides_only(spark):
     layer = spark.createDataFrame([(1, box)], "polygon_id long, rings array<array<struct<x:double,y:double>>>")
     hits = [r.segment_id for r in spatial.segment_hits(df, layer, touching=False).collect()]
     assert 62 in hits and {r.segment_id for r in spatial.segments_in_polygons(df, layer, touching=False).collect()} == set(hits)
+
+
+def test_radius_join_compares_places_not_rows(spark, monkeypatch):
+    """Forty points at two places and nine targets at three: six places are compared, every pair of rows comes out."""
+    at = [(30.0, 79.0), (30.1, 79.1)]
+    near = [(30.0, 79.0), (30.05, 79.05), (31.0, 79.0)]
+    points = spark.createDataFrame([(i, *at[i % 2]) for i in range(40)] + [(99, None, 79.0)], "point_id long, lat double, lon double")
+    targets = spark.createDataFrame([(i, *near[i % 3]) for i in range(9)], "target_id long, lat double, lon double")
+    compared, within = [], spatial.within_radius
+
+    def counted(a, b, radius):
+        compared.append((a.filter("lat IS NOT NULL").count(), b.count()))
+        return within(a, b, radius)
+
+    want = {(r.point_id, r.target_id): round(r.km, 3) for r in within(points, targets, 15.0).collect()}
+    monkeypatch.setattr(spatial, "within_radius", counted)
+    rows = spatial.within_radius_by_place(points, targets, 15.0, 3).collect()
+    assert {(r.point_id, r.target_id): r.km for r in rows} == want and len(rows) == len(want) == 40 * 6
+    assert compared == [(2, 3)]
